@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmalt.llm import pieces
+from sparkmalt.llm import chat, pieces, quality, shards, warc
 from sparkmalt.llm.store import table
 
 
@@ -29,5 +29,69 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_sentencepiece": op3_sentencepiece}
-ORACLES: dict[str, str] = {}
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.lit(trap).alias("text"),
+    )
+    out = chat.format_chats(told.unionByName(extra))
+    back = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.learned_text(F.col("segments")).alias("learned"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality.apply(docs, forest, carry=["doc_id"])
+    return out.select("doc_id", *[F.col(f"rules.{c}").alias(c) for c in quality.COUNTS], "rules.base_failed", "rules.anomaly", "rules.kept")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return shards.shuffled_shards(docs, 8, seed=11).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        shards.shard_of(F.col("doc_id"), 9, 11).alias("grown_shard"),
+    )
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentencepiece": op3_sentencepiece,
+    "op6_chat": op6_chat,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS h FROM p),
+        f AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
+               CASE WHEN f.first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.first < page_id THEN f.first END AS refers_to
+        FROM d LEFT JOIN f ON n >= 100 AND d.h = f.h
+    """,
+}
