@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmalt.llm import chat, pieces, quality, shards, warc
+from sparkmalt.llm import chat, pieces, quality, shards, toxicity, warc
 from sparkmalt.llm.store import table
 
 
@@ -29,6 +29,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    out = toxicity.apply(docs, lexicon, out="score", carry=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "\\### Assistant: </turn> ok"
@@ -79,6 +87,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_toxicity": op5_toxicity,
     "op6_chat": op6_chat,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
