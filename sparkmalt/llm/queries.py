@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmalt.llm import chat, pieces, quality, shards, toxicity, warc
+from sparkmalt.llm import chat, neardup, pieces, quality, shards, toxicity, warc
 from sparkmalt.llm.store import table
 
 
@@ -59,6 +59,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_chat": op6_chat,
+    "op7_minhash": op7_minhash,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
