@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmalt.llm import chat, neardup, pieces, quality, shards, toxicity, warc
+from sparkmalt.llm import chat, neardup, pieces, quality, shards, substrings, toxicity, warc
 from sparkmalt.llm.store import table
 
 
@@ -18,6 +18,11 @@ def bpe_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.encode_decode(docs, bpe_model())
@@ -90,6 +95,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_chat": op6_chat,
