@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmalt.llm import chat, neardup, pieces, quality, shards, substrings, toxicity, warc
+from sparkmalt.llm import chat, decontaminate, neardup, pieces, quality, shards, substrings, toxicity, warc
 from sparkmalt.llm.store import table
 
 
@@ -34,6 +34,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    one = out.select("doc_id", F.explode("matches").alias("m"))
+    return one.select("doc_id", F.col("m.item").alias("item_id"), "m.score", F.col("m.question").alias("question_overlap"), F.col("m.answer").alias("answer_overlap"), F.col("m.word").alias("passage_word"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -97,6 +104,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_chat": op6_chat,
     "op7_minhash": op7_minhash,
