@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmalt.llm import chat, decontaminate, neardup, pieces, quality, shards, substrings, toxicity, warc
+from sparkmalt.llm import chat, decontaminate, lm, neardup, pieces, quality, shards, substrings, toxicity, warc
 from sparkmalt.llm.store import table
 
 
@@ -18,6 +18,12 @@ def bpe_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm.score(docs, lm.train(docs), carry=["doc_id"])
+    return out.select("doc_id", "pseudo.n_words", "pseudo.log_prob", "pseudo.mean_log_prob")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -102,6 +108,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
