@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkmalt.llm.store import written
 from sparkmalt.llm.words import chunks, grams, inside, mix, powers, split
@@ -150,15 +151,16 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["key"].eqNullSafe(b["key"]) & (a["tag"] == b["tag"])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(key, n_words, n_removed, spans, kept_text) for every row of ``docs``.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, out: str = "dedup", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with struct ``out``: n_words, n_removed, spans, kept_text.
 
     Words are runs of characters other than space and U+0009..U+000D. ``spans``
     has the maximal removed runs (start, words), ``kept_text`` the other words
     joined by one space. A null or empty text has no words; repeated rows repeat
     each other's windows; a null key is allowed; an empty table gives an empty
-    table. Of other columns nothing is read.
+    table. Other columns pass unchanged, one named as the result is replaced.
     """
+    kept = [c for c in (docs.columns if carry is None else carry) if c != out]
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.hash(text).alias("tag"), F.col(text).alias("text"))
 
@@ -235,33 +237,40 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     placed = found.join(verdicts, ["anchor", "content"]).select("key", "tag", F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), r["length"].alias("length"))).alias("runs"))
     marks = placed.groupBy("key", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
+    width = len(kept)
+
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column(2)
-            for begin, stop, part in chunks(batch.column(1)):
-                counts, gone, where, kept = [], [], [], []
+            runs = batch.column(width + 1)
+            for begin, stop, part in chunks(batch.column(width)):
+                counts, gone, where, left = [], [], [], []
                 for i, x in enumerate(part, begin):
                     words = x.split()
                     counts.append(len(words))
                     if not runs[i].is_valid:
                         gone.append(0)
                         where.append([])
-                        kept.append(b" ".join(words))
+                        left.append(b" ".join(words))
                         continue
                     cover = np.zeros(len(words) + 1, dtype=np.int64)
                     inner = runs[i].values
                     first, length = inner.field("first").to_numpy(), inner.field("length").to_numpy()
                     np.add.at(cover, first, 1)
                     np.add.at(cover, first + length + window - 1, -1)
-                    out = np.cumsum(cover)[:-1] > 0
-                    gone.append(int(out.sum()))
-                    edge = np.flatnonzero(np.diff(out, prepend=False, append=False))
+                    under = np.cumsum(cover)[:-1] > 0
+                    gone.append(int(under.sum()))
+                    edge = np.flatnonzero(np.diff(under, prepend=False, append=False))
                     where.append([{"start": int(a), "words": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                    kept.append(b" ".join([word for word, o in zip(words, out, strict=True) if not o]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, stop - begin), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=[key, "n_words", "n_removed", "spans", "kept_text"],
+                    left.append(b" ".join([word for word, u in zip(words, under, strict=True) if not u]))
+                got = pa.StructArray.from_arrays(
+                    [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))), pa.array(left, pa.binary()).cast(pa.string())],
+                    names=["n_words", "n_removed", "spans", "kept_text"],
                 )
-
-    joined = rows.join(marks, same_row(rows, marks), "left").select(rows["key"], "text", "runs")
-    return joined.mapInArrow(removed, f"`{key}` {kind}, n_words long, n_removed long, spans array<struct<start:int,words:int>>, kept_text string")
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, stop - begin) for i in range(width)), got], names=[*kept, out])
+
+    # the rows once more with what is carried; the row's own columns have names that no other column has
+    full = docs.select(F.col(f"`{key}`").alias("key"), F.hash(F.col(f"`{text}`")).alias("tag"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept if c not in (key, text)]).alias("rest")) if set(kept) - {key, text} else rows
+    joined = full.join(marks, same_row(full, marks), "left")
+    columns = [full["key"].alias(c) if c == key else full["text"].alias(c) if c == text else F.col("rest")[c].alias(c) for c in kept]
+    result = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T._parse_datatype_string("n_words long, n_removed long, spans array<struct<start:int,words:int>>, kept_text string"))])
+    return joined.select(*columns, full["text"].alias("__text"), "runs").mapInArrow(removed, result)
