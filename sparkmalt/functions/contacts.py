@@ -14,7 +14,7 @@ SERVICE = ["цены без ндс", "без ндс", "цена указана 
 
 
 def all_of(c: Column, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)), lambda x: F.trim(x))
 
 
 def phones(c: Column) -> Column:

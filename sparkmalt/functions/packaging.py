@@ -60,7 +60,7 @@ def packed(c: Column) -> Column:
 
 def strength(c: Column) -> Column:
     """Struct (abv, ibu) of 'ABV', 'ABV / IBU' or 'ABV / OG / IBU'."""
-    parts = F.transform(F.split(clean(c), "/"), F.trim)
+    parts = F.transform(F.split(clean(c), "/"), lambda x: F.trim(x))
     first = F.replace(F.replace(parts[0], F.lit("%"), F.lit("")), F.lit(","), F.lit("."))
     n = F.size(parts)
     return F.struct(F.nullif(F.trim(first), F.lit("")).alias("abv"), F.when(n >= 3, F.get(parts, F.lit(2))).when(n == 2, F.get(parts, F.lit(1))).alias("ibu"))
@@ -68,7 +68,7 @@ def strength(c: Column) -> Column:
 
 def name_and_text(c: Column) -> Column:
     """Struct (name, text): the first line, and the others joined."""
-    lines = F.filter(F.transform(F.split(clean(c), r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(clean(c), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("name"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), " ").alias("text"))
 
 

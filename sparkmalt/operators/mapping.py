@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sparkmalt.functions.numbers import probe
 from sparkmalt.functions.text import clean
@@ -55,7 +56,7 @@ def locked_field(c: Column) -> Column:
     return F.when(h == "", None).when(skip, "__skip__").when(h.isin("og", "original gravity") | h.startswith("og "), "__og__").otherwise(field)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -89,7 +90,7 @@ def heading_text(word: str) -> str:
 
 def content_scores(values: Column) -> dict[str, Column]:
     """Score 0 to 10 by field for an array of a column's first cell texts."""
-    v = F.transform(values, F.trim)
+    v = F.transform(values, lambda x: F.trim(x))
     n = F.size(v)
     numbers = F.filter(F.transform(v, probe), lambda x: x.isNotNull())
     k = F.size(numbers)

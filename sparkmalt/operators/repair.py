@@ -11,7 +11,7 @@ from sparkmalt.functions.text import clean, clean_name, description_like, is_emp
 def field_repair() -> dict[str, Column]:
     """New brewery, beer_name and description of a row; of the rules that end the repair the first wins."""
     name, text, style, brewery = (clean(F.col(c)) for c in ("beer_name", "description", "style", "brewery"))
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     title = clean_name(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
     body = F.trim(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), " "))
     swapped = description_like(name) & name_like(text)

@@ -45,4 +45,4 @@ def learned(feedback: DataFrame) -> DataFrame:
 
 def keyword_list(text: Column) -> Column:
     """Words of a list parted by commas or semicolons."""
-    return F.filter(F.transform(F.split(text, "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
