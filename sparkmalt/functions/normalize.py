@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmalt.functions.numbers import NUMBER, first_number, safe_float
-from sparkmalt.functions.text import clean, null_if_empty, present
+from sparkmalt.functions.text import clean, null_if_empty, present, settled
 
 # Currency words in the order in which they are looked for: fixed values.
 CURRENCIES = [("руб", "RUB"), ("рублей", "RUB"), ("рубль", "RUB"), ("р.", "RUB"), ("р", "RUB"), ("usd", "USD"), ("доллар", "USD"), ("долларов", "USD"), ("eur", "EUR"), ("евро", "EUR"), ("€", "EUR"), ("$", "USD")]
@@ -80,8 +80,7 @@ def packaging(c: Column) -> Column:
 
 
 def is_city(c: Column) -> Column:
-    t = F.lower(F.trim(c))
-    return t.isin(CITIES) | t.startswith("г.") | t.startswith("г ")
+    return F.lower(F.trim(c)).rlike("^(" + "|".join(CITIES) + r")$|^г[. ]")
 
 
 def brewery(c: Column, boundary: bool = False, passes: int = 5) -> Column:
@@ -125,9 +124,9 @@ def split_brewery(name: Column, brewery_: Column) -> Column:
 def normalized(items: DataFrame) -> DataFrame:
     """Raw text fields (beer_name, brewery, abv, price, currency?, volume, format_type) in their normal form."""
     have = set(items.columns)
-    out = items.withColumn("__b", split_brewery(F.col("beer_name"), F.col("brewery")))
-    out = out.withColumn("beer_name", F.col("__b.beer_name")).withColumn("__raw", F.col("__b.brewery")).withColumn("__p", price(null_if_empty(F.col("price"))))
-    city_free = F.nullif(brewery(F.col("__raw")), F.lit(""))
+    out = settled(items, {"__b": split_brewery(F.col("beer_name"), F.col("brewery"))})
+    out = settled(out.withColumn("beer_name", F.col("__b.beer_name")), {"__raw": F.col("__b.brewery"), "__p": price(null_if_empty(F.col("price"))), "__free": brewery(F.col("__b.brewery"))})
+    city_free = F.nullif(F.col("__free"), F.lit(""))
     fields = {
         "brewery": F.coalesce(city_free, clean(F.col("__raw"))),
         "abv": abv(null_if_empty(F.col("abv"))),
@@ -136,4 +135,4 @@ def normalized(items: DataFrame) -> DataFrame:
         "volume": F.coalesce(volume(null_if_empty(F.col("volume"))), F.col("__p.volume")),
         "format_type": packaging(F.col("format_type")),
     }
-    return out.withColumns(fields).drop("__b", "__raw", "__p")
+    return settled(out, fields).drop("__b", "__raw", "__p", "__free")

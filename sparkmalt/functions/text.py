@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that stand for "nothing": fixed values.
@@ -77,3 +77,9 @@ def matches(field: Column, mode: str, query: str) -> Column:
     """One of contains, equals, starts_with, ends_with, without regard to case."""
     f, q = F.lower(F.coalesce(field.cast("string"), F.lit(""))), F.lit(query.lower())
     return {"contains": f.contains(q), "equals": f == q, "starts_with": f.startswith(q), "ends_with": f.endswith(q)}[mode]
+
+
+def settled(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """``df.withColumns(fields)``, by way of a generator: the optimizer then reads the results as columns and doesn't copy long expressions into each place that uses them."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in fields]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(name) for name, c in fields.items()]))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmalt.functions import contacts
-from sparkmalt.functions.text import clean, present
+from sparkmalt.functions.text import clean, present, settled
 
 HEADINGS = ["название", "наименование", "наличие", "наличии"]  # fixed values
 FIELDS = ["brewery", "beer_name", "style", "abv", "ibu", "price", "volume", "format_type", "stock", "description"]
@@ -27,7 +27,7 @@ def is_product() -> Column:
 
 def classified(rows: DataFrame) -> DataFrame:
     """``rows`` with ``row_text`` and ``is_product``."""
-    return rows.withColumn("row_text", row_text(rows.columns)).withColumn("is_product", is_product())
+    return settled(rows, {"row_text": row_text(rows.columns), "is_product": is_product()})
 
 
 def metadata(rows: DataFrame, key: str = "file_id") -> DataFrame:

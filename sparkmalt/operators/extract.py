@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmalt.functions import normalize, packaging
-from sparkmalt.functions.text import DASHES, clean, null_if_empty, present
+from sparkmalt.functions.text import DASHES, clean, null_if_empty, present, settled
 from sparkmalt.operators.headers import SHEET
 
 WIDE = ["brewery", "beer_name", "style", "abv", "ibu", "price", "currency", "volume", "format_type", "stock", "supplier_name", "description"]
@@ -28,7 +28,7 @@ def wide(cells: DataFrame, header_rows: DataFrame, mapping: DataFrame) -> DataFr
 def split_cells(rows: DataFrame) -> DataFrame:
     """Cells that hold several fields taken apart: name and text, strength and bitterness, packaging and volume, brewery in a name."""
     name, strong, packed = packaging.name_and_text(F.col("beer_name")), packaging.strength(F.col("abv")), packaging.packed(F.col("format_type"))
-    out = rows.withColumns({"__n": name, "__s": strong, "__p": packed, "__label": packaging.is_label(F.col("beer_name"))})
+    out = settled(rows, {"__n": name, "__s": strong, "__p": packed, "__label": packaging.is_label(F.col("beer_name"))})
     fields = {
         "beer_name": F.nullif(F.col("__n.name"), F.lit("")),
         "description": F.coalesce(F.col("description"), F.nullif(F.col("__n.text"), F.lit(""))),
@@ -40,7 +40,7 @@ def split_cells(rows: DataFrame) -> DataFrame:
         "stock": F.when(~packaging.is_price_heading(F.col("stock")), F.col("stock")),
         "brewery": F.coalesce(F.col("brewery"), packaging.brewery_in_name(F.col("__n.name"))),
     }
-    return out.withColumns(fields).drop("__n", "__s", "__p", "__label")
+    return settled(out, fields).drop("__n", "__s", "__p", "__label")
 
 
 def continued(rows: DataFrame, order: str = "row_idx") -> DataFrame:
@@ -107,10 +107,10 @@ def valid_rows(rows: DataFrame, strict_cities: bool = False) -> DataFrame:
     mix = (name & (price | brewery | style)) | (brewery & price) | (price & form)
     alone = brewery & ~name & ~price & ~style & (any_in(c("brewery"), packaging.PLACE_WORDS + packaging.SERVICE_WORDS) | (F.length(clean(c("brewery"))) < 3))
     city = any_in(c("brewery"), packaging.CITY_WORDS)
-    left = normalize.brewery(c("brewery"), boundary=not strict_cities)
-    bad_city = city & (F.lit(strict_cities) | ~name | (left == "") | any_in(left, packaging.CITY_WORDS))
     code = packaging.is_code(c("beer_name"), c("description")) | (F.lower(clean(c("beer_name"))) == "егаис") | (F.lower(clean(c("brewery"))) == "егаис")
-    return rows.where(mix & ~alone & ~bad_city & ~code)
+    out = settled(rows, {"__good": mix & ~alone & ~code, "__city": city, "__left": F.when(city, normalize.brewery(c("brewery"), boundary=not strict_cities)).otherwise(""), "__named": name})
+    stays = (c("__left") == "") | any_in(c("__left"), packaging.CITY_WORDS)
+    return out.where(c("__good") & ~(c("__city") & (F.lit(strict_cities) | ~c("__named") | stays))).drop("__good", "__city", "__left", "__named")
 
 
 def finished(rows: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def finished(rows: DataFrame) -> DataFrame:
     form = F.coalesce(F.nullif(clean(F.col("format_type")), F.lit("")), F.when(draft, F.lit("кега")), F.lit(""))
     can, keg = F.lower(form).rlike("банка|can"), F.lower(form).rlike("кег|keg")
     volume = F.coalesce(F.col("volume"), F.when(can, F.lit(str(packaging.DEFAULT_CAN_LITRES))))
-    return rows.withColumns({"format_type": form, "volume": volume}).where(volume.isNotNull() | keg)
+    return settled(rows, {"format_type": form, "volume": volume, "__keg": keg}).where("volume IS NOT NULL OR __keg").drop("__keg")
 
 
 def merged_by_name(rows: DataFrame, order: str, fields: list[str] = ("brewery", "style", "abv", "price", "volume")) -> DataFrame:

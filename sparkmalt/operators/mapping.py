@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sparkmalt.functions.numbers import probe
-from sparkmalt.functions.text import clean
+from sparkmalt.functions.text import clean, settled
 from sparkmalt.operators.headers import SHEET, heading
 from sparkmalt.sources.registry import FIELDS
 
@@ -88,15 +88,13 @@ def heading_text(word: str) -> str:
     return " ".join(word.lower().split())
 
 
-def content_scores(values: Column) -> dict[str, Column]:
-    """Score 0 to 10 by field for an array of a column's first cell texts."""
-    v = F.transform(values, lambda x: F.trim(x))
-    n = F.size(v)
-    numbers = F.filter(F.transform(v, probe), lambda x: x.isNotNull())
-    k = F.size(numbers)
-    share = F.when(n > 0, k / n).otherwise(0.0)
-    length = F.aggregate(v, F.lit(0.0), lambda a, x: a + F.length(x)) / F.greatest(n, F.lit(1))
-    text = F.lower(F.array_join(v, " "))
+def content_scored(columns: DataFrame) -> DataFrame:
+    """``columns`` (with ``values``, a column's first cell texts) with scores 0 to 10, s_<field>, instead of the values."""
+    out = settled(columns, {"__v": F.transform("values", lambda x: F.trim(x))})
+    out = settled(out, {"__numbers": F.filter(F.transform("__v", probe), lambda x: x.isNotNull()), "__text": F.lower(F.array_join("__v", " ")), "__n": F.size("__v")})
+    v, n, numbers, k, text = F.col("__v"), F.col("__n"), F.col("__numbers"), F.size("__numbers"), F.col("__text")
+    out = settled(out, {"__share": F.when(n > 0, k / n).otherwise(0.0), "__length": F.aggregate(v, F.lit(0.0), lambda a, x: a + F.length(x)) / F.greatest(n, F.lit(1))})
+    share, length = F.col("__share"), F.col("__length")
     within = lambda lo, hi: F.size(F.filter(numbers, lambda x: x.between(lo, hi)))
     some = lambda pattern: F.size(F.filter(v, lambda x: x.rlike(pattern)))
     ten = lambda c: F.least(F.lit(10.0), c.cast("double"))
@@ -119,7 +117,8 @@ def content_scores(values: Column) -> dict[str, Column]:
         "description": F.when(length > 50, ten(4 + (length - 50) / 25)).otherwise(0.0),
         "format_type": F.when(has(["банка", "can", "кег", "keg", "бутыл", "bottle", "розлив", "тара", "фасов"]), 8.0).otherwise(0.0),
     }
-    return {f: F.when(n > 0, s).otherwise(0.0) for f, s in scores.items()}
+    out = settled(out, {f"s_{f}": F.when(n > 0, s).otherwise(0.0) for f, s in scores.items()})
+    return out.drop("values", "__v", "__numbers", "__text", "__n", "__share", "__length")
 
 
 def samples(cells: DataFrame, header_rows: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -132,7 +131,7 @@ def samples(cells: DataFrame, header_rows: DataFrame, rows: int = SAMPLE_ROWS) -
 def candidates(cells: DataFrame, header_rows: DataFrame, keywords: dict[str, list[str]] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """(file_id, sheet, col_idx, header, field, field_order, header_score, content_score)."""
     headers = cells.join(header_rows, SHEET).where("row_idx = header_row").select(*SHEET, "col_idx", F.trim("value").alias("header"))
-    content = samples(cells, header_rows).withColumns({f"s_{f}": c for f, c in content_scores(F.col("values")).items()}).drop("values")
+    content = content_scored(samples(cells, header_rows))
     out = header_scores(headers, keywords, weights).join(content, [*SHEET, "col_idx"], "left")
     score = F.coalesce(*[F.when(F.col("field") == c[2:], F.col(c)) for c in content.columns if c.startswith("s_")], F.lit(0.0))
     return out.select(*SHEET, "col_idx", "header", "field", "field_order", "header_score", score.alias("content_score"))

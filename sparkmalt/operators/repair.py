@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmalt.functions.text import clean, clean_name, description_like, is_empty, name_like, upper_title, word_count
+from sparkmalt.functions.text import clean, clean_name, description_like, is_empty, name_like, settled, upper_title, word_count
 
 
-def field_repair() -> dict[str, Column]:
-    """New brewery, beer_name and description of a row; of the rules that end the repair the first wins."""
-    name, text, style, brewery = (clean(F.col(c)) for c in ("beer_name", "description", "style", "brewery"))
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
-    title = clean_name(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
-    body = F.trim(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), " "))
-    swapped = description_like(name) & name_like(text)
+def fields_repaired(rows: DataFrame) -> DataFrame:
+    """Rows with brewery, beer_name and description put right one by one; of the rules that end the repair the first wins."""
+    c = F.col
+    lines = F.filter(F.transform(F.split(clean(c("description")), r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    out = settled(rows, {"__name": clean(c("beer_name")), "__text": clean(c("description")), "__style": clean(c("style")), "__brewery": clean(c("brewery")), "__lines": lines})
+    title = clean_name(F.coalesce(F.get(c("__lines"), F.lit(0)), F.lit("")))
+    body = F.trim(F.array_join(F.slice("__lines", 2, F.greatest(F.size("__lines") - 1, F.lit(1))), " "))
+    words = F.filter(F.split(c("__brewery"), r"\s+"), lambda w: w != "")
+    out = settled(out, {"__title": title, "__body": body, "__words": words, "__swapped": description_like(c("__name")) & name_like(c("__text"))})
     # a first line that is a name, over a description
-    titled = (title != "") & name_like(title) & description_like(body) & (is_empty(name) | description_like(name))
-    name1, text1 = F.when(titled, title).otherwise(name), F.when(titled, body).otherwise(text)
-    only_text = is_empty(name1) & name_like(text1)
-    is_style = (name1 != "") & (style != "") & (F.lower(name1) == F.lower(style)) & name_like(text1)
-    words = F.filter(F.split(brewery, r"\s+"), lambda w: w != "")
-    both = (brewery != "") & (is_empty(name1) | (brewery == name1)) & upper_title(brewery) & (F.size(words) >= 2)
-    name2 = F.when(both, F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), " ")).otherwise(name1)
-    brewery2 = F.when(both, words[0]).otherwise(brewery)
-    long_name = description_like(name2) & (title != "") & name_like(title)
-    name3, text3 = F.when(long_name, title).otherwise(name2), F.when(long_name & (body != ""), body).otherwise(text1)
-    paragraph = description_like(brewery2) & name_like(name3)
-    return {
-        "beer_name": F.when(swapped, text).when(only_text | is_style, text1).otherwise(name3),
-        "description": F.when(swapped, name).when(only_text | is_style, text1).otherwise(text3),
-        "brewery": F.when(swapped | only_text | is_style, brewery).otherwise(F.when(paragraph, F.lit("")).otherwise(brewery2)),
-    }
+    titled = (c("__title") != "") & name_like(c("__title")) & description_like(c("__body")) & (is_empty(c("__name")) | description_like(c("__name")))
+    out = settled(out, {"__titled": titled})
+    out = settled(out, {"__name1": F.when(c("__titled"), c("__title")).otherwise(c("__name")), "__text1": F.when(c("__titled"), c("__body")).otherwise(c("__text"))})
+    only_text = is_empty(c("__name1")) & name_like(c("__text1"))
+    is_style = (c("__name1") != "") & (c("__style") != "") & (F.lower("__name1") == F.lower("__style")) & name_like(c("__text1"))
+    both = (c("__brewery") != "") & (is_empty(c("__name1")) | (c("__brewery") == c("__name1"))) & upper_title(c("__brewery")) & (F.size("__words") >= 2)
+    out = settled(out, {"__ends": only_text | is_style, "__both": both})
+    name2 = F.when(c("__both"), F.array_join(F.slice("__words", 2, F.greatest(F.size("__words") - 1, F.lit(1))), " ")).otherwise(c("__name1"))
+    out = settled(out, {"__name2": name2, "__brewery2": F.when(c("__both"), c("__words")[0]).otherwise(c("__brewery"))})
+    out = settled(out, {"__long": description_like(c("__name2")) & (c("__title") != "") & name_like(c("__title"))})
+    out = settled(out, {"__name3": F.when(c("__long"), c("__title")).otherwise(c("__name2")), "__text3": F.when(c("__long") & (c("__body") != ""), c("__body")).otherwise(c("__text1"))})
+    paragraph = description_like(c("__brewery2")) & name_like(c("__name3"))
+    out = settled(
+        out,
+        {
+            "beer_name": F.when(c("__swapped"), c("__text")).when(c("__ends"), c("__text1")).otherwise(c("__name3")),
+            "description": F.when(c("__swapped"), c("__name")).when(c("__ends"), c("__text1")).otherwise(c("__text3")),
+            "brewery": F.when(c("__swapped") | c("__ends"), c("__brewery")).otherwise(F.when(paragraph, F.lit("")).otherwise(c("__brewery2"))),
+        },
+    )
+    return out.drop(*[x for x in out.columns if x.startswith("__") and x not in rows.columns])
 
 
 def repaired(rows: DataFrame, key: str = "file_id") -> DataFrame:
@@ -41,6 +48,6 @@ def repaired(rows: DataFrame, key: str = "file_id") -> DataFrame:
     filled = F.count(brewery)
     suspect = rows.groupBy(key).agg((F.count_distinct(brewery) > 0.7 * filled).alias("various"), (F.count(long) > 0.3 * filled).alias("long"))
     doubtful = suspect.where("various AND long").select(F.col(key).alias("__key"), F.lit(True).alias("__doubtful"))
-    out = rows.withColumns(field_repair()).join(doubtful, F.col(key).eqNullSafe(F.col("__key")), "left")
+    out = fields_repaired(rows).join(doubtful, F.col(key).eqNullSafe(F.col("__key")), "left")
     moved = F.coalesce(F.col("__doubtful"), F.lit(False)) & (F.col("brewery") != "") & is_empty(F.col("beer_name"))
-    return out.withColumns({"beer_name": F.when(moved, F.col("brewery")).otherwise(F.col("beer_name")), "brewery": F.when(moved, F.lit("")).otherwise(F.col("brewery"))}).drop("__key", "__doubtful")
+    return settled(out, {"beer_name": F.when(moved, F.col("brewery")).otherwise(F.col("beer_name")), "brewery": F.when(moved, F.lit("")).otherwise(F.col("brewery"))}).drop("__key", "__doubtful")
