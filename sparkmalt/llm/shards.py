@@ -63,7 +63,7 @@ def shuffled_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     done = scattered.groupBy("shard", "__bucket").applyInArrow(fisher_yates, schema)
     done.sortWithinPartitions("shard", "bucket", "place").write.option("compression", "zstd").partitionBy("shard").parquet(path)
     read = spark.read.schema(schema).parquet(path)
-    starts = read.groupBy("shard", "bucket").count()
+    starts = read.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    starts = starts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return read.join(starts, ["shard", "bucket"]).select(*[F.col(f"`{c}`") for c in own], "shard", (F.col("start") + F.col("place")).alias("slot"))
