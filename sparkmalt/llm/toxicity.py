@@ -2,7 +2,9 @@
 
 Texts are folded first: lower case, accents and homoglyphs to plain Latin,
 digits and signs that stand for letters inside a word to those letters, all
-else to spaces. The lexicon holds whole words and word beginnings with weights:
+else to spaces. As an accent can be what tells a toxic word from a clean one,
+a second form of the text keeps the accents of Latin letters; terms with
+accents are looked for in that one. The lexicon holds whole words and word beginnings with weights:
 the log ratio of the share of toxic to the share of clean documents that
 contain them. Hits inside an exception phrase don't count. The score is a
 logistic function of the summed weight of the hits and of that sum normalised
@@ -60,15 +62,21 @@ def folding() -> dict[int, str]:
 
 
 FOLD = folding()
+#: The same but for Latin letters with accents, which stay.
+KEEP = FOLD | {code: chr(code).lower() for code in range(0xC0, 0x250) if chr(code).isalpha()}
 SPELLED = re.compile(r"(?<![\w@$!])[0-9@$]?[^\W\d_]+(?:[0-9@$!]{1,2}[^\W\d_]+)+[0-9]?(?![\w@])|(?<![\w@$!])[0-9@$][^\W\d_]+(?![\w@])")
 READ = str.maketrans(SIGNS)
 
 
-def fold(text: str) -> str:
-    """The folded text: words of small letters between single or repeated spaces, with a space at both ends."""
+def forms(text: str) -> tuple[str, str]:
+    """The folded text and the one with accents kept: words of small letters between single or repeated spaces, with a space at both ends."""
     if SPELLED.search(text):
         text = SPELLED.sub(lambda m: m[0].translate(READ), text)
-    return " " + text.translate(FOLD) + " "
+    return " " + text.translate(FOLD) + " ", " " + unicodedata.normalize("NFC", text).translate(KEEP) + " "
+
+
+def fold(text: str) -> str:
+    return forms(text)[0]
 
 
 @dataclass
@@ -82,9 +90,9 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton | None:
         a = ahocorasick.Automaton()
         for phrase in self.exceptions:
-            a.add_word(re.sub(" +", " ", fold(phrase)), (len(re.sub(" +", " ", fold(phrase))), None))
+            a.add_word(re.sub(" +", " ", fold(phrase)), (len(re.sub(" +", " ", fold(phrase))), None, True))
         for term, weight in self.weights.items():
-            a.add_word(term, (len(term), weight))
+            a.add_word(term, (len(term), weight, term.isascii()))
         if not self.weights:
             return None
         a.make_automaton()
@@ -97,13 +105,16 @@ def features(a: ahocorasick.Automaton | None, texts: list[str]) -> np.ndarray:
     if a is None:
         return out
     for i, text in enumerate(texts):
-        folded = fold(text)
+        folded, accented = forms(text)
         total, free, hits = 0.0, [], []
-        for end, (size, weight) in a.iter(folded):
-            (free if weight is None else hits).append((end - size + 1, end, weight))
+        for end, (size, weight, plain) in a.iter(folded):
+            if plain:
+                (free if weight is None else hits).append((end - size + 1, end, weight))
         for start, end, weight in hits:
             if not any(x <= start and end <= y for x, y, _ in free):
                 total += weight
+        if not accented.isascii():
+            total += sum(weight for _, (_, weight, plain) in a.iter(accented) if not plain)
         if total:
             words = folded.count(" ")
             out[i] = np.log1p(total), np.log1p(100 * total / (words + 20))
@@ -112,12 +123,9 @@ def features(a: ahocorasick.Automaton | None, texts: list[str]) -> np.ndarray:
 
 def patterns(text: str) -> set[str]:
     """Whole words and word beginnings of a text, each once."""
-    out = set()
-    for w in set(fold(text).split()):
-        if len(w) >= 3:
-            out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in BEGINNINGS if k <= len(w))
-    return out
+    plain, accented = (set(x.split()) for x in forms(text))
+    found = lambda words: {f for w in words if len(w) >= 3 for f in (f" {w} ", *(f" {w[:k]}" for k in BEGINNINGS if k <= len(w)))}
+    return {f for f in found(plain) if f.isascii()} | {f for f in found(accented) if not f.isascii()}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[float, ...]:
