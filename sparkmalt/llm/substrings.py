@@ -173,7 +173,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_at), batch.column(1).take(rows_at), pa.array(anchor), pa.array(content), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["key", "tag", "anchor", "content", "start", "count"])
 
     units = rows.mapInArrow(cut, f"key {kind}, tag int, anchor long, content long, start int, count int")
-    twice = units.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that the join below reads two plain sides and a hot anchor can be split
+    twice = written(units.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     found = written(units.join(twice, "anchor"), "units")
     reference = found.groupBy("anchor", "content").agg(F.count("*").alias("weight"), F.min(F.struct("key", "tag", "start")).alias("at"), F.min("count").alias("count"))
     sizes = reference.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
