@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmalt.llm.store import fresh
+from sparkmalt.llm.store import fresh, spare
 
 BUCKET_BYTES = 24 << 20
 
@@ -41,29 +41,30 @@ def shuffled_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     spark = docs.sparkSession
     path = path or fresh(spark, "shards")
     own = [c for c in docs.columns if c not in ("shard", "slot")]
+    bucket_, place_, start_, dealt, tie = (spare(docs, c) for c in ("bucket", "place", "start", "dealt", "tie"))
     rows = docs.select(*[F.col(f"`{c}`") for c in own], shard_of(F.col(f"`{key}`"), shards, seed).alias("shard"))
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + 1
     # one row per shard
     sizes = {r["shard"]: r["bytes"] for r in rows.groupBy("shard").agg(F.sum(size).alias("bytes")).collect()}
     counts = [max(1, math.ceil(sizes.get(i, 0) / bucket_bytes)) for i in range(shards)]
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(f"`{key}`"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")))), F.element_at(F.array(*map(F.lit, counts)), F.col("shard") + 1))
-    scattered = rows.withColumn("__bucket", bucket.cast("int")).withColumn("__tie", F.xxhash64(F.lit(seed + 2), *[F.col(f"`{c}`") for c in own]))
-    schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("shard", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType())])
+    scattered = rows.withColumn(dealt, bucket.cast("int")).withColumn(tie, F.xxhash64(F.lit(seed + 2), *[F.col(f"`{c}`") for c in own]))
+    schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("shard", T.IntegerType()), T.StructField(bucket_, T.IntegerType()), T.StructField(place_, T.LongType())])
 
     def fisher_yates(t: pa.Table) -> pa.Table:
-        shard, bucket = t.column("shard")[0].as_py(), t.column("__bucket")[0].as_py()
+        shard, bucket = t.column("shard")[0].as_py(), t.column(dealt)[0].as_py()
         # a fixed order first, so that a task that runs again gives the same permutation
-        fixed = pc.sort_indices(t, sort_keys=[("__tie", "ascending")]).to_numpy()
+        fixed = pc.sort_indices(t, sort_keys=[(tie, "ascending")]).to_numpy()
         order = np.arange(len(fixed))
         np.random.Generator(np.random.PCG64([seed, shard, bucket])).shuffle(order)  # numpy's shuffle is Fisher-Yates
         out = t.select(own).take(pa.array(fixed[order]))
         n = len(order)
-        return pa.Table.from_arrays([*out.columns, pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(np.arange(n))], schema=pa.schema([*(out.schema.field(c) for c in own), ("shard", pa.int32()), ("bucket", pa.int32()), ("place", pa.int64())]))
+        return pa.Table.from_arrays([*out.columns, pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(np.arange(n))], schema=pa.schema([*(out.schema.field(c) for c in own), ("shard", pa.int32()), (bucket_, pa.int32()), (place_, pa.int64())]))
 
-    done = scattered.groupBy("shard", "__bucket").applyInArrow(fisher_yates, schema)
-    done.sortWithinPartitions("shard", "bucket", "place").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    done = scattered.groupBy("shard", dealt).applyInArrow(fisher_yates, schema)
+    done.sortWithinPartitions("shard", bucket_, place_).write.option("compression", "zstd").partitionBy("shard").parquet(path)
     read = spark.read.schema(schema).parquet(path)
-    starts = read.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return read.join(starts, ["shard", "bucket"]).select(*[F.col(f"`{c}`") for c in own], "shard", (F.col("start") + F.col("place")).alias("slot"))
+    starts = read.groupBy("shard", bucket_).agg(F.count("*").alias(start_))
+    before = Window.partitionBy("shard").orderBy(bucket_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("shard", bucket_, F.coalesce(F.sum(start_).over(before), F.lit(0)).alias(start_))
+    return read.join(starts, ["shard", bucket_]).select(*[F.col(f"`{c}`") for c in own], "shard", (F.col(start_) + F.col(place_)).alias("slot"))
