@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-sys.path.append("/opt")
 
 
 @pytest.fixture(scope="session")
