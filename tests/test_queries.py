@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from pathlib import Path
 
@@ -11,7 +12,7 @@ import pytest
 
 from sparkmalt.plans import registered
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def value(x: object) -> object:
