@@ -120,6 +120,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
+    "op6_chat": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+            length(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h')) AS role_chars,
+            length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h')) AS text_chars FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(text_chars + CASE WHEN before IS NULL THEN 11 + role_chars WHEN before = role THEN 7 ELSE 19 + role_chars END) + 8 AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS h FROM p),

@@ -33,6 +33,12 @@ def test_chat_query(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(turns), sha("".join(f"{role}\n{t}\n" for _, role, t in turns)), len(loss), sha(loss))
 
 
+def test_chat_oracle(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    assert Counter(tuple(r) for r in queries.op6_chat(spark, SF).collect()) == Counter(con.execute(queries.ORACLES["op6_chat"]).fetchall())
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "<says>\n"), (1, 1, "user", "\\l\\h\\b<also>\n"), (1, 2, "assistant", ""), (1, 3, "assistant", None), (1, 4, "### <says>\n", "x</turn>\n"), (1, 130, "user", "far"), (1, 131, None, None), (None, None, "user", "who"), (1, 131, None, None), (2, 5, "assistant", "only")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, chunk string")
