@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmalt.functions.text import clean
+from sparkmalt.functions.text import clean, settled
 from sparkmalt.sources.registry import FIELDS, HEADINGS
 
 SHEET = ["file_id", "sheet"]
@@ -17,10 +17,9 @@ def heading(c: Column) -> Column:
     return F.regexp_replace(F.lower(clean(c)), r"\s+", " ")
 
 
-def hits(c: Column, words: list[str]) -> Column:
-    """True if a word is in a heading or the heading in a word."""
-    h = heading(c)
-    return (h != "") & reduce(lambda a, b: a | b, [h.contains(w) | F.lit(w).contains(h) for w in words])
+def hits(h: Column, words: list[str]) -> Column:
+    """True if a word is in the normal form ``h`` of a heading, or that in a word."""
+    return (h != "") & F.exists(F.array(*map(F.lit, words)), lambda w: h.contains(w) | w.contains(h))
 
 
 def by_score(cells: DataFrame, rows: int = 8) -> DataFrame:
@@ -28,10 +27,10 @@ def by_score(cells: DataFrame, rows: int = 8) -> DataFrame:
 
     A cell gives 2 if it matches a field, 0.5 if it has at most 40 characters, and loses 0.8 if it has a digit.
     """
-    h = heading(F.col("value"))
+    cells, h = settled(cells.where(F.col("row_idx") < rows), {"__h": heading(F.col("value"))}), F.col("__h")
     words = sorted({w for ws in FIELDS.values() for w in ws})
-    score = F.when(hits(F.col("value"), words), 2.0).otherwise(0.0) + F.when(F.length(h) <= 40, 0.5).otherwise(0.0) - F.when(h.rlike(r"\d"), 0.8).otherwise(0.0)
-    scored = cells.where((F.col("row_idx") < rows) & (h != "")).groupBy(*SHEET, "row_idx").agg(F.sum(score.cast("decimal(10,2)")).alias("score"))
+    score = F.when(hits(h, words), 2.0).otherwise(0.0) + F.when(F.length(h) <= 40, 0.5).otherwise(0.0) - F.when(h.rlike(r"\d"), 0.8).otherwise(0.0)
+    scored = cells.where(h != "").groupBy(*SHEET, "row_idx").agg(F.sum(score.cast("decimal(10,2)")).alias("score"))
     return scored.groupBy(*SHEET).agg(F.max_by("row_idx", F.struct("score", -F.col("row_idx"))).alias("header_row"))
 
 
