@@ -14,8 +14,8 @@ Training takes every document: each partition runs minibatch Adagrad from the
 same start over its documents and gives its weights, which are averaged by
 numbers of words seen, in two steps over blocks of the weights; so what is
 gathered grows with the corpus, and only the averaged weights (of fixed size)
-reach the driver. One position in ``EVERY`` of each document is predicted in
-training (all are seen as surroundings); scoring predicts all.
+reach the driver. Every position of every document is predicted, in training
+as in scoring.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from sparkmalt.llm.store import written
 from sparkmalt.llm.words import chunks, split
 
-VOCABULARY, OWN, ENDINGS, HIDDEN, SIDE, EVERY = 4096, 31, 97, 16, 2, 4
+VOCABULARY, OWN, ENDINGS, HIDDEN, SIDE = 4096, 31, 97, 16, 2
 BATCH, RATE = 4096, 0.1
 BLOCKS = 32  # of the averaged weights
 MOST_COUNTED = 400_000
@@ -163,7 +163,7 @@ class Network:
                 x -= rate * g / np.sqrt(s)
 
 
-def train(docs: DataFrame, text: str = "text", hidden: int = HIDDEN, every: int = EVERY, rate: float = RATE, seed: int = 3) -> tuple[Symbols, Network]:
+def train(docs: DataFrame, text: str = "text", hidden: int = HIDDEN, rate: float = RATE, seed: int = 3) -> tuple[Symbols, Network]:
     """A symbol table and a network trained on all documents."""
     table = symbols(docs, text)
     start = Network.start(table, hidden, seed)
@@ -177,7 +177,7 @@ def train(docs: DataFrame, text: str = "text", hidden: int = HIDDEN, every: int
         for batch in batches:
             for _, _, part in chunks(batch.column(0)):
                 seq, _ = table.of(part)
-                at = np.flatnonzero(seq != table.edge)[turn % every :: every]
+                at = np.flatnonzero(seq != table.edge)
                 turn += 1
                 at = np.random.Generator(np.random.PCG64([seed, turn])).permutation(at)
                 for a in range(0, len(at), BATCH):

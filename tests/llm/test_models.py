@@ -171,6 +171,19 @@ def test_lm_scores(spark):
     assert float((logp[np.arange(len(at)), table.kind[seq[at]]] + table.inner[seq[at]]).sum()) == pytest.approx(out[some[0][0]]["log_prob"], rel=1e-4)
 
 
+def test_lm_trains_on_every_position(spark):
+    text = " ".join(f"w{i * i % 37} x{i % 11}" for i in range(3000))
+    table, net = lm.train(spark.createDataFrame([(text,)], "text string").coalesce(1))
+    want = lm.Network.start(table, lm.HIDDEN, 3)
+    sums = want.like(np.full(want.flat().shape, 1e-6))
+    seq, _ = table.of([text.encode()])
+    at = np.random.Generator(np.random.PCG64([3, 1])).permutation(np.flatnonzero(seq != table.edge))
+    assert len(at) == 6000
+    for a in range(0, len(at), lm.BATCH):
+        want.learn(seq, at[a : a + lm.BATCH], table.kind[seq[at[a : a + lm.BATCH]]], sums, lm.RATE)
+    assert np.allclose(net.flat(), want.flat(), atol=1e-5)
+
+
 def test_lm_hostile(spark):
     docs = hostile(spark)
     out = lm.score(docs, lm.train(docs))
