@@ -2,13 +2,17 @@
 
 The network predicts the class of a word from the ``SIDE`` words on either side
 (each slot has an embedding table; their sum goes through tanh and a softmax
-over classes); within its class a word has its share of the corpus counts. A
+over classes); within its class a word has its own share of the corpus counts. A
 document's score is the sum, over all its words, of the log-probability of the
 word given its surroundings. The network is written in numpy.
 
-Words are counted over all documents. The ``VOCABULARY`` commonest are symbols
-of their own; the others share a symbol per class. The ``OWN`` commonest are
-classes of their own; other words have the class of their last two bytes.
+Words are counted over all documents. The ``OWN`` commonest are classes of their
+own; other words have the class of their last two bytes, and the classes are
+cut from the sorted endings so that each has about the same part of the corpus.
+The ``VOCABULARY`` commonest have embeddings of their own, the others share one
+per class. The counts of the ``KNOWN`` commonest go to all tasks; those of all
+other words stay in a table that scoring joins, so every word has its own
+share. A word without a count has half an occurrence in its class.
 
 Training takes every document: each partition runs minibatch Adagrad from the
 same start over its documents and gives its weights, which are averaged by
@@ -31,28 +35,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmalt.llm.store import written
-from sparkmalt.llm.words import chunks, split
+from sparkmalt.llm.store import fresh, spare, written
+from sparkmalt.llm.words import Words, chunks, split
 
-VOCABULARY, OWN, ENDINGS, HIDDEN, SIDE = 4096, 31, 97, 16, 2
+VOCABULARY, KNOWN, OWN, ENDINGS, HIDDEN, SIDE = 4096, 65536, 31, 97, 16, 2
+UNSEEN = 0.5  # occurrences, in each class, of words without a count
+FIXED = 1 << 32  # log shares of joined words are summed in whole parts of this, so that their order doesn't matter
 BATCH, RATE = 4096, 0.1
 BLOCKS = 32  # of the averaged weights
 MOST_COUNTED = 400_000
 
 
-def ending(word: bytes) -> int:
-    return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) % ENDINGS
+def endings(w: Words) -> np.ndarray:
+    """The last two bytes of each word as a number under 65536, the last one first."""
+    before = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
+    return w.data[w.end - 1].astype(np.int64) * 256 + before
 
 
 @dataclass
 class Symbols:
-    """Symbols: 0..ENDINGS-1 for rare words by ending, then the vocabulary, then the text's edge."""
+    """Symbols: 0..ENDINGS-1 for rare words by class, then the known words, then the text's edge."""
 
-    hashes: np.ndarray  # sorted hashes of vocabulary words
+    hashes: np.ndarray  # sorted hashes of known words
     symbol: np.ndarray  # their symbols
     kind: np.ndarray  # class of each symbol
-    inner: np.ndarray  # log share of each symbol in its class
+    inner: np.ndarray  # log share in its class of each known word, or of a word without a count
     prior: np.ndarray  # log share of each class
+    row: np.ndarray | None = None  # embedding of each symbol and of the edge
+    classes: np.ndarray | None = None  # class of each ending
+    counts: str | None = None  # path of the counts of all words (h, n)
+
+    def __post_init__(self) -> None:
+        if self.row is None:
+            self.row = np.arange(self.edge + 1)
 
     @property
     def edge(self) -> int:
@@ -60,17 +75,20 @@ class Symbols:
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, first): symbols of the words of each text, with SIDE edges before, between and after texts."""
+        return self.with_hashes(texts)[:2]
+
+    def with_hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, first, hashes): as ``of``, and the hash of every word."""
         w = split(texts)
         h = w.hashes()
-        before = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
-        got = (w.data[w.end - 1].astype(np.int64) * 31 + before) % ENDINGS
+        got = self.classes[endings(w)]
         if len(self.hashes) and len(h):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             got = np.where(self.hashes[at] == h, self.symbol[at], got)
         doc = np.repeat(np.arange(len(texts)), w.counts)
         out = np.full(len(h) + SIDE * (len(texts) + 1), self.edge, dtype=np.int64)
         out[np.arange(len(h)) + SIDE * (doc + 1)] = got
-        return out, w.first + SIDE * (np.arange(len(w.first)) + 1)
+        return out, w.first + SIDE * (np.arange(len(w.first)) + 1), h
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -93,31 +111,60 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def symbols(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, own: int = OWN) -> Symbols:
-    """The symbol table of a corpus; ``vocabulary`` words and a total per ending reach the driver."""
-    counts = written(count_words(docs, text), "word-counts")
-    last = lambda i: F.coalesce(F.conv(F.hex(F.substring("word", -i, 1)), 16, 10).cast("int"), F.lit(0))
-    before = F.when(F.length("word") > 1, last(2)).otherwise(0)
-    totals = {r["c"]: r["n"] for r in counts.groupBy(F.pmod(last(1) * 31 + before, F.lit(ENDINGS)).alias("c")).agg(F.sum("n").alias("n")).collect()}
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
-    kind = np.array([*range(ENDINGS), *(ENDINGS + i if i < own else ending(w) for i, (w, _) in enumerate(top))])
-    n = np.array([totals.get(c, 0) for c in range(ENDINGS)] + [c for _, c in top], dtype=np.float64)
-    for i, (w, c) in enumerate(top):
-        n[ending(w)] -= c
-    n[:ENDINGS] += 0.5
-    of = np.bincount(kind, weights=n, minlength=ENDINGS + own) + 1e-9
-    hashes = split([w for w, _ in top]).hashes() if top else np.zeros(0, dtype=np.uint64)
+def with_forms(counts: DataFrame) -> DataFrame:
+    """``counts`` with the hash ``h`` and the ending ``code`` of each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = split(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w.hashes().view(np.int64)), pa.array(endings(w), pa.int32())], names=["word", "n", "h", "code"])
+
+    return counts.mapInArrow(run, "word binary, n long, h long, code int")
+
+
+def symbols(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, own: int = OWN, known: int = KNOWN) -> Symbols:
+    """The symbol table of a corpus; about ``known`` words and a total per ending reach the driver, the counts of all words stay in a table."""
+    path = fresh(docs.sparkSession, "word-counts")
+    with_forms(count_words(docs, text)).write.parquet(path)
+    counts = docs.sparkSession.read.parquet(path)
+    mass = np.zeros(1 << 16)
+    for r in counts.groupBy("code").agg(F.sum("n").alias("n")).collect():  # 65536 rows at most
+        mass[r["code"]] = r["n"]
+    # the lowest count that at most ``known`` words reach, by eighths of its binary logarithm
+    octave = F.floor(F.log2("n") * 8).cast("int")
+    reached, low = 0, None
+    for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["o"]):
+        if (reached := reached + r["words"]) > known:
+            break
+        low = r["o"]
+    found = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).select("word", "n").collect()}
+    if low is not None:
+        found |= {bytes(r["word"]): r["n"] for r in counts.where(octave >= low).select("word", "n").collect()}
+    top = sorted(found.items(), key=lambda x: (-x[1], x[0]))
+    own_words = min(own, vocabulary, len(top))
+    w = split([x for x, _ in top]) if top else None
+    code, hashes = (endings(w), w.hashes()) if top else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    n = np.array([c for _, c in top], dtype=np.float64)
+    np.subtract.at(mass, code[:own_words], n[:own_words])
+    classes = np.minimum(ENDINGS - 1, (np.cumsum(mass) - mass / 2) * ENDINGS // max(mass.sum(), 1)).astype(np.int64)
+    kind = np.concatenate((np.arange(ENDINGS), ENDINGS + np.arange(own_words), classes[code[own_words:]]))
+    of = np.concatenate((np.bincount(classes, weights=mass, minlength=ENDINGS) + UNSEEN, np.zeros(own)))
+    of[ENDINGS : ENDINGS + own_words] = n[:own_words]
+    inner = np.log(np.concatenate((np.full(ENDINGS, UNSEEN), n)) / of[kind])
+    rows = ENDINGS + min(vocabulary, len(top))
+    row = np.where(np.arange(len(kind)) < rows, np.arange(len(kind)), kind)
     order = np.argsort(hashes)
-    return Symbols(hashes[order], order + ENDINGS, kind, np.log(n / of[kind]), np.log((of + 0.5) / (of + 0.5).sum()))
+    return Symbols(hashes[order], order + ENDINGS, kind, inner, np.log((of + 0.5) / (of + 0.5).sum()), np.append(row, rows), classes, path)
 
 
 @dataclass
 class Network:
-    """Embeddings (slot, symbol, hidden), output weights (hidden, class) and bias."""
+    """Embeddings (slot, row, hidden), output weights (hidden, class), bias, and the row of each symbol."""
 
     tables: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    row: np.ndarray
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.tables, self.out, self.bias)])
@@ -126,18 +173,18 @@ class Network:
     def start(s: Symbols, hidden: int, seed: int) -> Network:
         rng = np.random.Generator(np.random.PCG64(seed))
         classes = len(s.prior)
-        return Network((rng.standard_normal((2 * SIDE, s.edge + 1, hidden)) * 0.1).astype(np.float32), (rng.standard_normal((hidden, classes)) * 0.1).astype(np.float32), s.prior.astype(np.float32))
+        return Network((rng.standard_normal((2 * SIDE, int(s.row[-1]) + 1, hidden)) * 0.1).astype(np.float32), (rng.standard_normal((hidden, classes)) * 0.1).astype(np.float32), s.prior.astype(np.float32), s.row)
 
     def like(self, flat: np.ndarray) -> Network:
         a, b = self.tables.size, self.tables.size + self.out.size
         flat = flat.astype(np.float32)
-        return Network(flat[:a].reshape(self.tables.shape), flat[a:b].reshape(self.out.shape), flat[b:])
+        return Network(flat[:a].reshape(self.tables.shape), flat[a:b].reshape(self.out.shape), flat[b:], self.row)
 
     def forward(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hidden values, log-probabilities of classes) at the positions ``at``."""
         total = np.zeros((len(at), self.tables.shape[2]), dtype=np.float32)
         for slot, move in enumerate(m for m in range(-SIDE, SIDE + 1) if m):
-            total += self.tables[slot][seq[at + move]]
+            total += self.tables[slot][self.row[seq[at + move]]]
         h = np.tanh(total)
         logits = h @ self.out + self.bias
         logits -= logits.max(axis=1, keepdims=True)
@@ -155,7 +202,7 @@ class Network:
             s += g * g
             x -= rate * g / np.sqrt(s)
         for slot, move in enumerate(m for m in range(-SIDE, SIDE + 1) if m):
-            ids = seq[at + move]
+            ids = self.row[seq[at + move]]
             for k in range(into.shape[1]):
                 g = np.bincount(ids, weights=into[:, k], minlength=self.tables.shape[1]).astype(np.float32)
                 s, x = sums.tables[slot][:, k], self.tables[slot][:, k]
@@ -163,9 +210,9 @@ class Network:
                 x -= rate * g / np.sqrt(s)
 
 
-def train(docs: DataFrame, text: str = "text", hidden: int = HIDDEN, rate: float = RATE, seed: int = 3) -> tuple[Symbols, Network]:
+def train(docs: DataFrame, text: str = "text", hidden: int = HIDDEN, rate: float = RATE, seed: int = 3, vocabulary: int = VOCABULARY, known: int = KNOWN) -> tuple[Symbols, Network]:
     """A symbol table and a network trained on all documents."""
-    table = symbols(docs, text)
+    table = symbols(docs, text, vocabulary, known=known)
     start = Network.start(table, hidden, seed)
     shared = docs.sparkSession.sparkContext.broadcast((table, start))
     edges = np.linspace(0, len(start.flat()), BLOCKS + 1).astype(int)
@@ -220,16 +267,17 @@ def score(docs: DataFrame, model: tuple[Symbols, Network], text: str = "text", o
     score alike; an empty table gives an empty table. Other columns pass
     unchanged, one named as the result is replaced.
     """
+    spark = docs.sparkSession
     kept = [c for c in (docs.columns if carry is None else carry) if c != out]
-    fields = T._parse_datatype_string("n_words long, log_prob double, mean_log_prob double")
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, fields)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    id_, rare, words_, sum_, gain = (spare(docs, c) for c in ("row_id", "rare", "words", "log_sum", "gain"))
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(words_, T.LongType()), T.StructField(sum_, T.DoubleType()), T.StructField(rare, T.ArrayType(T.LongType()))])
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, net = shared.value
         for batch in batches:
             for begin, stop, part in chunks(batch.column(len(kept))):
-                seq, first = table.of(part)
+                seq, first, hashes = table.with_hashes(part)
                 value = np.zeros(len(seq) + 1)
                 at = np.flatnonzero(seq != table.edge)
                 for a in range(0, len(at), BATCH):
@@ -240,7 +288,16 @@ def score(docs: DataFrame, model: tuple[Symbols, Network], text: str = "text", o
                 n = np.diff(first) - SIDE
                 # a text's words end SIDE edges before the next text's begin
                 total = np.where(n > 0, sums[first[1:] - SIDE] - sums[first[:-1]], 0.0)
-                got = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=["n_words", "log_prob", "mean_log_prob"])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, stop - begin) for i in range(len(kept))), got], names=[*kept, out])
-
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, schema)
+                unknown = seq[at] < ENDINGS
+                ends = np.concatenate(([0], np.cumsum(unknown)))[np.concatenate(([0], np.cumsum(n)))]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[unknown].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, stop - begin) for i in range(len(kept))), pa.array(n, pa.int64()), pa.array(total), lists], names=[*kept, words_, sum_, rare])
+
+    first = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, schema)
+    first = written(first.withColumn(id_, F.monotonically_increasing_id()), "first-scores")
+    # words that aren't in the broadcast table stand as words without a count until here
+    counts = spark.read.parquet(model[0].counts).select("h", F.round(F.log(F.col("n") / UNSEEN) * FIXED).cast("long").alias(gain))
+    gains = first.select(id_, F.explode(rare).alias("h")).join(counts, "h").groupBy(id_).agg(F.sum(gain).alias(gain))
+    total = F.col(sum_) + F.coalesce(F.col(gain) / FIXED, F.lit(0.0))
+    n = F.col(words_)
+    return first.join(gains, id_, "left").select(*[F.col(f"`{c}`") for c in kept], F.struct(n.alias("n_words"), total.alias("log_prob"), F.when(n > 0, total / n).alias("mean_log_prob")).alias(out))

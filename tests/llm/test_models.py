@@ -184,6 +184,29 @@ def test_lm_trains_on_every_position(spark):
     assert np.allclose(net.flat(), want.flat(), atol=1e-5)
 
 
+def test_lm_every_word_has_its_own_share(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.choice('abcd')}{int(rng.paretovariate(0.7)) % 3000}ing" for _ in range(200)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    counts = Counter(x for t in texts for x in words(t))
+    few, all_ = lm.train(docs, vocabulary=20, known=40), lm.train(docs, vocabulary=20, known=len(counts))
+    assert len(few[0].hashes) <= 40 < len(all_[0].hashes) == len(counts)
+    # the words outside the broadcast table are scored by the joined counts, as if they were in it
+    one, other = ({r["doc_id"]: r["pseudo"]["log_prob"] for r in lm.score(docs, m).collect()} for m in (few, all_))
+    assert one == pytest.approx(other, rel=1e-4)
+    # in every class the shares of its words and of the unseen sum to 1
+    table = all_[0]
+    shares = np.bincount(table.kind, weights=np.exp(table.inner), minlength=len(table.prior))
+    assert np.allclose(shares[shares > 0], 1)
+    # one surroundings, one class: scores differ by the words' own counts
+    rare = [x for x, _ in counts.most_common() if few[0].of([x.encode()])[0][lm.SIDE] < lm.ENDINGS]
+    df = spark.createDataFrame([(0, rare[0]), (1, rare[-1]), (2, "neverseening")], "doc_id int, text string")
+    out = {r["doc_id"]: r["pseudo"]["log_prob"] for r in lm.score(df, few).collect()}
+    assert counts[rare[0]] > counts[rare[-1]]
+    assert out[0] - out[1] == pytest.approx(np.log(counts[rare[0]] / counts[rare[-1]]), abs=1e-6)
+    assert out[1] - out[2] == pytest.approx(np.log(counts[rare[-1]] / lm.UNSEEN), abs=1e-6)
+
+
 def test_lm_hostile(spark):
     docs = hostile(spark)
     out = lm.score(docs, lm.train(docs))
