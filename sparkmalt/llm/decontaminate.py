@@ -11,7 +11,9 @@ answer stand in the passage. The answer of an item is its last sentence (its
 last quarter if it has one sentence only), the question what comes before.
 
 The index is broadcast, in blocks of at most ``BLOCK_BYTES`` of item text; more
-items than that take several passes, each written to the shared folder.
+items than that take several passes, each written to the shared folder. What a
+score and a passage hang on (document frequencies, number of items, mean and
+longest length) is counted over all items first, so blocks don't change results.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,15 +79,25 @@ class Index:
     left: np.ndarray | None = None
 
 
-def build(rows: list[tuple], threshold: float) -> Index:
-    """An index of items (id, text); items without words are left out."""
+@dataclass
+class Corpus:
+    """Figures over all items that have words."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[bytes, int]  # of the terms that are asked for
+
+
+def build(rows: list[tuple], threshold: float, corpus: Corpus | None = None) -> Index:
+    """An index of items (id, text), a block of the items of ``corpus`` or else all there are; items without words are left out."""
     kept = [(i, t, terms(t.encode())) for i, t in rows if t and terms(t.encode())]
-    longest = max([SHORTEST, *(len(w) for _, _, w in kept)])
-    out = Index([i for i, _, _ in kept], longest)
-    n, mean = len(kept), np.mean([len(w) for _, _, w in kept]) if kept else 1.0
-    df = Counter(w for _, _, words in kept for w in set(words))
+    if corpus is None:
+        corpus = Corpus(len(kept), sum(len(w) for _, _, w in kept), max([0, *(len(w) for _, _, w in kept)]), Counter(w for _, _, words in kept for w in set(words)))
+    out = Index([i for i, _, _ in kept], max(SHORTEST, corpus.longest))
+    n, mean, df = corpus.n, corpus.words / max(corpus.n, 1), corpus.df
     lists: dict[bytes, list[tuple[int, float]]] = {}
-    out.left = np.zeros(n)
+    out.left = np.zeros(len(kept))
     rare: dict[bytes, list[tuple[int, float]]] = {}
     for i, (_, text, words) in enumerate(kept):
         tf = Counter(words)
@@ -212,6 +224,24 @@ def matches(index: Index, texts: list[bytes], threshold: float, overlap: float)
     return out
 
 
+def item_terms(items: DataFrame, item: str, text: str, blocks: int) -> DataFrame:
+    """(block, size, term): a row per item that has words, with their number, and one per distinct word of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, _, texts in chunks(batch.column(1)):
+                block = batch.column(0).slice(begin, len(texts)).to_pylist()
+                words = [terms(t) for t in texts]
+                out = [x for b, w in zip(block, words, strict=True) if w for x in [(b, len(w), None), *((b, None, t) for t in set(w))]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["block", "size", "term"])
+
+    return items.select(block_of(item, blocks).alias("block"), F.col(text).alias("text")).mapInArrow(run, "block int, size long, term binary")
+
+
+def block_of(item: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
+
+
 def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "matches", threshold: float = THRESHOLD, overlap: float = OVERLAP, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with array ``out``: the test items found in each whole text.
 
@@ -229,9 +259,16 @@ def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     total = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     done = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), F.array().cast(entry).alias("__found"))
+    if blocks > 1:
+        told = written(item_terms(items, item, item_text, blocks), "item-terms")
+        whole = told.agg(F.count("size").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.coalesce(F.max("size"), F.lit(0)).alias("longest")).first()
+        # a term's frequency over all items, in the blocks that have the term
+        df = told.where("term IS NOT NULL").groupBy("block", "term").agg(F.count("*").alias("df"))
+        df = written(df.join(df.groupBy("term").agg(F.sum("df").alias("all")), "term").select("block", "term", "all"), "item-frequencies")
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b).select(item, item_text)
-        shared = spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], threshold))  # at most about block_bytes of text
+        part = items.where(block_of(item, blocks) == b).select(item, item_text)
+        corpus = Corpus(whole["n"], whole["words"], whole["longest"], {bytes(r["term"]): r["all"] for r in df.where(F.col("block") == b).collect()}) if blocks > 1 else None
+        shared = spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], threshold, corpus))  # at most about block_bytes of text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

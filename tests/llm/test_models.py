@@ -119,6 +119,21 @@ def test_decontamination_against_full_scores(spark):
             assert got == {i: set(plain_matches(items, t)) for i, t in shown}
 
 
+def test_decontamination_is_the_same_in_all_block_sizes(spark):
+    items = [tuple(r.values()) for r in pq.read_table(f"{SF}/benchmark.parquet").select(["item_id", "text"]).to_pylist()]
+    items += [(90_001, " ".join(f"long{i}" for i in range(900))), (90_002, ""), (90_003, None)]
+    rng = random.Random(5)
+    # items with a part of their words replaced: many near the threshold
+    docs = [(n, " ".join(w if rng.random() > share else f"x{rng.randrange(50)}" for w in words(t)) + " filler" * rng.randint(0, 90)) for n, (share, (_, t)) in enumerate((s, x) for s in (0, 0.05, 0.1, 0.15, 0.2) for x in items if x[1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for block_bytes in (1 << 30, 6000, 1500):
+        rows = decontaminate.with_matches(df, bench, block_bytes=block_bytes, carry=["doc_id"]).collect()
+        got.append({(r["doc_id"], m["item"]): (round(m["score"], 9), m["question"], m["answer"], m["word"]) for r in rows for m in r["matches"]})
+    assert len(got[0]) > len(items) and got[0] == got[1] == got[2]
+
+
 def test_decontamination_hostile(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, " ".join(f"w{i}" for i in range(40))), (3, " ".join(f"w{i}" for i in range(40))), (None, "w1 w2 zz")], "item_id long, text string")
     out = decontaminate.with_matches(hostile(spark), bench)
