@@ -19,6 +19,8 @@ from sparkmalt.sources import files, registry, xlsx
 ROWS = 200
 COLUMNS = {"Пивоварня": "brewery", "Название": "beer_name", "Стиль": "style", "Цена, руб": "price", "Объем": "volume", "Тип тары": "format_type"}
 
+MISSPELT = ["Наименоване", "Пивоварная", "Стилль", "Ценна", "Обьем", "Упаковки"]
+
 
 def listed(s: SparkSession, d: str) -> DataFrame:
     """Items with file_id (text), sheet and row_idx (1 for the first under the heading)."""
@@ -117,6 +119,14 @@ def mapped(s: SparkSession, d: str) -> DataFrame:
     return mapping.assigned(mapping.candidates(cells(s, d), heads)).select("file_id", "field", "col_idx")
 
 
+def misspelt(s: SparkSession, d: str) -> DataFrame:
+    """The distinct headings of all parts: a misspelling by the key, with the first letters of the part's name after it, from none to all of them."""
+    key, name = F.col("p_partkey"), F.coalesce("p_name", F.lit(""))
+    word = F.element_at(F.array(*map(F.lit, MISSPELT)), (F.pmod(key, F.lit(len(MISSPELT))) + 1).cast("int"))
+    letters = F.pmod(F.floor(key / len(MISSPELT)), F.length(name) + 1).cast("int")
+    return bound.table(s, d, "part").select(F.concat(word, F.substring(name, F.lit(1), letters)).alias("header")).distinct()
+
+
 def file_kinds(s: SparkSession, d: str) -> DataFrame:
     i = F.col("page_id")
     name = F.concat(F.lit("Price-"), i.cast("string"), F.element_at(F.array(*map(F.lit, [".PDF", ".xlsx", ".zip", ".txt"])), (i % 4 + 1).cast("int")))
@@ -132,7 +142,7 @@ QUERIES = {
     "header_rows": lambda s, d: headers.by_score(cells(s, d)),
     "header_rows_by_kind": lambda s, d: headers.by_kinds(cells(s, d)),
     "column_assignment": mapped,
-    "fuzzy_header_scores": lambda s, d: mapping.header_scores(bound.table(s, d, "part").where("p_partkey < 6").select(F.element_at(F.array(*map(F.lit, ["Наименоване", "Пивоварная", "Стилль", "Ценна", "Обьем", "Упаковки"])), (F.col("p_partkey") + 1).cast("int")).alias("header"))),
+    "fuzzy_header_scores": lambda s, d: mapping.header_scores(misspelt(s, d)),
     "text_dump": lambda s, d: files.text_dump(cells(s, d)).select("file_id", "row_idx", "text"),
     "forward_fill": lambda s, d: extract.forward_filled(gappy(s, d)).select("id", "brewery"),
     "continuation": lambda s, d: extract.continued(gappy(s, d)).select("id", "beer_name", "style"),
