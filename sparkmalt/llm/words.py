@@ -7,11 +7,15 @@ byte table, finished by a bijective mixer; they depend on content only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -19,7 +23,8 @@ BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 STEP = U(0xD6E8FEB86659FD93)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -81,17 +86,47 @@ def split(texts: list[bytes]) -> Words:
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
     """Slices (from, to, UTF-8 texts) of a string column of about ``limit`` bytes each; null is empty; a longer text stands alone."""
-    raw = column.cast(pa.binary()).to_pylist()
-    begin, size, part = 0, 0, []
-    for i, text in enumerate(raw):
-        text = text or b""
-        if part and size + len(text) > limit:
-            yield begin, i, part
-            begin, size, part = i, 0, []
-        part.append(text)
-        size += len(text)
-    if part:
-        yield begin, begin + len(part), part
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(column):
+        before = int(ends[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield begin, stop, [x or b"" for x in column.slice(begin, stop - begin).cast(pa.binary()).to_pylist()]
+        begin = stop
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of text that go to a Python worker at once, unless the session has set a bound of its own."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
+def per_text(spark: SparkSession, judge: Callable[..., pa.Array], kind: T.DataType) -> Callable[..., Column]:
+    """A column function of a text column (and another one): ``judge`` gets texts of about CHUNK bytes (and that column's slice) and gives a value for each.
+
+    Only the text goes to Python and only the values come back; what else a row
+    has stays with Spark.
+    """
+    small_batches(spark)
+
+    def values(column: pa.Array, *more: pa.Array) -> pa.Array:
+        parts = [judge(texts, *(m.slice(begin, stop - begin) for m in more)) for begin, stop, texts in chunks(column)]
+        return pa.concat_arrays(parts) if parts else judge([], *more)
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield values(column)
+
+    def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield values(*columns)
+
+    def column(*of: Column) -> Column:
+        # not deterministic as far as the optimizer knows, so it runs once for each row, whatever uses its value
+        run = F.arrow_udf(one if len(of) == 1 else two, kind)
+        return run.asNondeterministic()(*of)
+
+    return column
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
