@@ -66,29 +66,12 @@ def by_price_column(rows: DataFrame, prices: list[tuple[str, str]]) -> DataFrame
     return out.withColumns({"price": packaging.first_price(F.col("__o.price")), "format_type": F.col("__o.of.format_type"), "volume": F.col("__o.of.volume")}).drop("__o", *[c for c, _ in prices if c != "price"])
 
 
-def active_price_columns(cells: DataFrame, header_rows: DataFrame, rows: int = 120, least: int = 3) -> DataFrame:
-    """(file_id, sheet, col_idx, header): price headings over at least three cells with digits in the first rows."""
-    placed = cells.join(header_rows, SHEET)
-    heads = placed.where((F.col("row_idx") == F.col("header_row")) & packaging.is_price_heading(F.col("value"))).select(*SHEET, "col_idx", F.col("value").alias("header"))
-    body = placed.where((F.col("row_idx") > F.col("header_row")) & (F.col("row_idx") <= F.col("header_row") + rows))
-    return body.join(heads, [*SHEET, "col_idx"]).where(F.col("value").rlike(r"\d")).groupBy(*SHEET, "col_idx", "header").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
-
-
-def price_options(cells: DataFrame, prices: DataFrame) -> DataFrame:
-    """(file_id, sheet, row_idx, options): for sheets with several price columns the filled ones of each row."""
-    many = prices.groupBy(*SHEET).agg(F.count("*").alias("n")).where("n > 1").select(*SHEET)
-    filled = cells.join(prices.join(many, SHEET), [*SHEET, "col_idx"]).where(F.col("value").rlike(r"\d") & (F.col("value") != F.col("header")))
-    one = F.struct("col_idx", packaging.first_price(F.col("value")).alias("price"), packaging.heading_format(F.col("header")).alias("of"))
-    return filled.groupBy(*SHEET, "row_idx").agg(F.sort_array(F.collect_list(one)).alias("options"))
-
-
-def exploded(rows: DataFrame, options: DataFrame) -> DataFrame:
-    """Rows with several price options become a row per option; a sheet with a packaging column keeps its rows."""
-    own = rows.groupBy(*SHEET).agg(F.max(F.col("format_type").isNotNull()).alias("__own"))
-    out = rows.join(options, [*SHEET, "row_idx"], "left").join(own, SHEET).withColumn("__o", F.explode_outer(F.when(~F.col("__own"), F.col("options"))))
+def by_options(rows: DataFrame) -> DataFrame:
+    """Rows with ``options`` (price columns: price and of) become a row per option; others keep their own price."""
+    out = rows.withColumn("__o", F.explode_outer("options"))
     there = F.col("__o").isNotNull()
-    pick = lambda new, old: F.when(there, F.coalesce(new.cast("string"), F.lit(None).cast("string"))).otherwise(F.col(old))
-    return out.withColumns({"price": pick(F.col("__o.price"), "price"), "format_type": pick(F.col("__o.of.format_type"), "format_type"), "volume": pick(F.col("__o.of.volume"), "volume")}).drop("__o", "__own", "options")
+    pick = lambda new, old: F.when(there, new.cast("string")).otherwise(F.col(old))
+    return out.withColumns({"price": pick(F.col("__o.price"), "price"), "format_type": pick(F.col("__o.of.format_type"), "format_type"), "volume": pick(F.col("__o.of.volume"), "volume")}).drop("__o", "options")
 
 
 def any_in(c: Column, words: list[str]) -> Column:
@@ -122,10 +105,10 @@ def finished(rows: DataFrame) -> DataFrame:
     return settled(rows, {"format_type": form, "volume": volume, "__keg": keg}).where("volume IS NOT NULL OR __keg").drop("__keg")
 
 
-def merged_by_name(rows: DataFrame, order: str, fields: list[str] = ("brewery", "style", "abv", "price", "volume")) -> DataFrame:
-    """One row per lower-case name: that with most fields filled, the first among equals."""
+def merged_by_name(rows: DataFrame, order: str, keys: tuple[str, ...] = ("file_id",), fields: tuple[str, ...] = ("style", "abv", "price", "volume", "format_type")) -> DataFrame:
+    """One row per file and lower-case name: that with most fields filled, the first among equals."""
     filled = reduce(lambda a, b: a + b, [present(F.col(f)).cast("int") for f in fields])
-    return rows.groupBy(F.lower(clean(F.col("beer_name"))).alias("__name")).agg(F.max_by(F.struct(*rows.columns), F.struct(filled, -F.col(order))).alias("row")).select("row.*")
+    return rows.groupBy(*keys, F.lower(clean(F.col("beer_name"))).alias("__name")).agg(F.max_by(F.struct(*rows.columns), F.struct(filled, -F.col(order))).alias("row")).select("row.*")
 
 
 def sessions(lines: DataFrame, starts: Column, keys: list[str], order: str) -> DataFrame:

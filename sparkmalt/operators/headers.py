@@ -34,6 +34,26 @@ def by_score(cells: DataFrame, rows: int = 8) -> DataFrame:
     return scored.groupBy(*SHEET).agg(F.max_by("row_idx", F.struct("score", -F.col("row_idx"))).alias("header_row"))
 
 
+def found(cells: DataFrame, rows: int = 8) -> DataFrame:
+    """(file_id, sheet, header_row) of every sheet: the row of the highest score if two of its cells match fields, else the older rule's row.
+
+    Without either a first or second row of nothing but short texts over rows
+    with digits is the heading; a sheet that has none of these gets -1, so its
+    first row counts.
+    """
+    cells, h = settled(cells.where(F.col("row_idx") < 10), {"__h": heading(F.col("value"))}), F.col("__h")
+    words = sorted({w for ws in FIELDS.values() for w in ws})
+    hit, digit = hits(h, words), h.rlike(r"\d")
+    score = F.when(hit, 2.0).otherwise(0.0) + F.when(F.length(h) <= 40, 0.5).otherwise(0.0) - F.when(digit, 0.8).otherwise(0.0)
+    per = cells.where(h != "").groupBy(*SHEET, "row_idx").agg(F.sum(score.cast("decimal(10,2)")).alias("score"), F.count_if(hit & ~digit).alias("hits"), F.count("*").alias("filled"), F.max(digit | (F.length(h) > 40)).alias("data"))
+    good = F.when((F.col("hits") >= 2) & (F.col("row_idx") < rows), F.struct("score", -F.col("row_idx"), "row_idx"))
+    plain = F.when((F.col("row_idx") < 2) & (F.col("filled") >= 2) & ~F.col("data"), F.col("row_idx"))
+    sheets = per.groupBy(*SHEET).agg(F.max(good)["row_idx"].alias("by_score"), F.max(plain).alias("plain"), F.max("data").alias("data"))
+    older = by_kinds(cells).withColumnRenamed("header_row", "older")
+    row = F.coalesce("by_score", "older", F.when(F.col("data"), F.col("plain")), F.lit(-1))
+    return sheets.join(older, SHEET, "left").select(*SHEET, row.cast("int").alias("header_row"))
+
+
 def by_kinds(cells: DataFrame, rows: int = 10, columns: int = 20, patterns: int = 10) -> DataFrame:
     """The older rule: a row with brewery, name and price headings wins; else three points a match, or two."""
     h = heading(F.col("value"))
@@ -46,13 +66,3 @@ def by_kinds(cells: DataFrame, rows: int = 10, columns: int = 20, patterns: int
     score = F.when(three == 3, 1_000_000 - F.col("row_idx")).when(three == 2, 3 * F.col("matches") + F.col("filled")).when(F.col("matches") >= 2, 2 * F.col("matches") + F.col("filled"))
     return per.withColumn("score", score).where("score IS NOT NULL").groupBy(*SHEET).agg(F.max_by("row_idx", F.struct("score", -F.col("row_idx"))).alias("header_row"))
 
-
-def order_template(cells: DataFrame) -> DataFrame:
-    """The heading row of an order form, of rows 2 to 5 and columns 1 to 14: 'кол-во', else 'заказ', else two headings, else row 2."""
-    h = heading(F.col("value"))
-    near = cells.where(F.col("row_idx").between(2, 5) & F.col("col_idx").between(1, 14))
-    words = ["пивоварн", "назван", "цена", "стиль", "объем", "объём"]
-    per = near.groupBy(*SHEET, "row_idx").agg(F.max(h.contains("кол-во")).alias("amount"), F.max(h.contains("заказ")).alias("order"), F.count_if(reduce(lambda a, b: a | b, [h.contains(w) for w in words])).alias("n"))
-    rank = F.when(F.col("amount"), 3).when(F.col("order"), 2).when(F.col("n") >= 2, 1).otherwise(0)
-    best = per.groupBy(*SHEET).agg(F.max_by(F.struct("row_idx", rank.alias("rank")), F.struct(rank, -F.col("row_idx"))).alias("b"))
-    return best.select(*SHEET, F.when(F.col("b.rank") > 0, F.col("b.row_idx")).otherwise(2).alias("header_row"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmalt.functions.text import clean, clean_name, description_like, is_empty, name_like, settled, upper_title, word_count
@@ -44,10 +44,10 @@ def fields_repaired(rows: DataFrame) -> DataFrame:
 def repaired(rows: DataFrame, key: str = "file_id") -> DataFrame:
     """Rows repaired one by one; in files whose brewery column looks like names, breweries of rows without a name become names."""
     brewery = F.when(~is_empty(F.col("brewery")), clean(F.col("brewery")))
-    long = F.when(brewery.isNotNull() & ((word_count(brewery) >= 3) | (F.length(brewery) > 25)), 1)
-    filled = F.count(brewery)
-    suspect = rows.groupBy(key).agg((F.count_distinct(brewery) > 0.7 * filled).alias("various"), (F.count(long) > 0.3 * filled).alias("long"))
-    doubtful = suspect.where("various AND long").select(F.col(key).alias("__key"), F.lit(True).alias("__doubtful"))
-    out = fields_repaired(rows).join(doubtful, F.col(key).eqNullSafe(F.col("__key")), "left")
-    moved = F.coalesce(F.col("__doubtful"), F.lit(False)) & (F.col("brewery") != "") & is_empty(F.col("beer_name"))
-    return settled(out, {"beer_name": F.when(moved, F.col("brewery")).otherwise(F.col("beer_name")), "brewery": F.when(moved, F.lit("")).otherwise(F.col("brewery"))}).drop("__key", "__doubtful")
+    long = (word_count(brewery) >= 3) | (F.length(brewery) > 25)
+    w = Window.partitionBy(key)
+    filled = F.count(brewery).over(w)
+    doubtful = (F.size(F.collect_set(brewery).over(w)) > 0.7 * filled) & (F.count(F.when(long, 1)).over(w) > 0.3 * filled)
+    out = fields_repaired(rows.withColumn("__doubtful", doubtful))
+    moved = F.col("__doubtful") & (F.col("brewery") != "") & is_empty(F.col("beer_name"))
+    return settled(out, {"beer_name": F.when(moved, F.col("brewery")).otherwise(F.col("beer_name")), "brewery": F.when(moved, F.lit("")).otherwise(F.col("brewery"))}).drop("__doubtful")

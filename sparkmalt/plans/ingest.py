@@ -1,34 +1,80 @@
-"""From the cells of price lists to items, metadata and a summary, as one lineage."""
+"""From the cells of price lists to items, metadata and a summary.
+
+Three steps: the cells are written once; from the first rows of each sheet
+comes one row per sheet with all that is to be known of it (heading row, field
+to column, supplier, price columns), written too; then one pass over the cells,
+dealt by file, gives rows. Windows and sums by sheet and file need no further
+shuffle, so no table is joined with an aggregate of itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmalt.functions import normalize, style
-from sparkmalt.operators import classify, extract, headers, mapping, quality, repair
+from sparkmalt.functions import normalize, packaging, style
+from sparkmalt.functions.text import null_if_empty
+from sparkmalt.operators import classify, extract, headers, mapping, quality, repair, rules
+from sparkmalt.operators.headers import SHEET
 from sparkmalt.sources import xlsx
+from sparkmalt.sources.shared import written
+
+FIRST_ROWS = 130  # of a sheet, from which it is judged: a heading and the rows that show which price columns are in use
+
+
+def price_columns(m: Column, columns: Column) -> Column:
+    """Array of (col_idx, of: format_type and volume): the price columns in use, if there are several and no packaging column."""
+    prices = F.filter(columns, lambda c: packaging.is_price_heading(c["header"]) & (c["priced"] >= 3))
+    own = rules.at(m, "format_type").isNotNull() & ~F.exists(prices, lambda c: c["col_idx"] == rules.at(m, "format_type"))
+    options = F.transform(prices, lambda c: F.struct(c["col_idx"].alias("col_idx"), packaging.heading_format(c["header"]).alias("of")))
+    return F.when((F.size(prices) > 1) & ~own, options).otherwise(F.slice(options, 1, 0))
+
+
+def sheets(cells: DataFrame) -> DataFrame:
+    """(file_id, sheet, header_row, mapping, supplier, prices), a row per sheet."""
+    top = written(cells.where(F.col("row_idx") < FIRST_ROWS), "first-rows")
+    heads = written(headers.found(top), "heading-rows")
+    chosen = mapping.assigned(mapping.candidates(top, heads.where("header_row >= 0")))
+    own = chosen.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("field", "col_idx"))).alias("own"))
+    seen = rules.profiles(top, heads).join(own, SHEET, "left").join(heads, SHEET)
+    found = rules.mapped(seen, "own")
+    return found.select(*SHEET, "header_row", "mapping", "supplier", price_columns(F.col("mapping"), F.col("columns")).alias("prices"))
+
+
+def placed(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """A row per sheet row under the heading, a column per field, with ``supplier`` and ``options``: the prices of a row with several."""
+    body = cells.repartition("file_id").join(known, SHEET).where("row_idx > header_row")
+    at = lambda f: F.first(F.when(rules.at(F.col("mapping"), f) == F.col("col_idx"), null_if_empty(F.col("value"))), ignorenulls=True).alias(f)
+    price = F.get(F.filter("prices", lambda p: p["col_idx"] == F.col("col_idx")), F.lit(0))
+    option = F.when(price.isNotNull() & F.col("value").rlike(r"\d"), F.struct("col_idx", packaging.first_price(F.col("value")).alias("price"), price["of"].alias("of")))
+    rows = body.groupBy(*SHEET, "row_idx").agg(*[at(f) for f in extract.WIDE], F.sort_array(F.collect_list(option)).alias("options"), F.first("supplier").alias("supplier"))
+    return rows
 
 
 def raw_rows(cells: DataFrame) -> DataFrame:
     """Mapped, completed and repaired rows of all product sheets."""
-    cells = xlsx.active_rows(xlsx.product_sheets(cells))
-    heads = headers.by_score(cells)
-    fields = mapping.assigned(mapping.candidates(cells, heads))
-    rows = extract.split_cells(extract.wide(cells, heads, fields))
-    rows = extract.exploded(rows, extract.price_options(cells, extract.active_price_columns(cells, heads)))
-    rows = extract.forward_filled(extract.continued(rows))
-    return repair.repaired(rows)
+    cells = written(xlsx.active_rows(xlsx.product_sheets(cells)), "cells")
+    rows = extract.split_cells(placed(cells, written(sheets(cells), "sheets")))
+    rows = extract.by_options(rows)
+    # the brewery of the rows above holds for a distributor's list; a brewery's list has one name
+    filled = extract.forward_filled(extract.continued(rows).withColumn("own_brewery", F.col("brewery")))
+    brewery = F.when(F.col("supplier.kind") == "brewery", F.coalesce("own_brewery", "supplier.name", "brewery")).otherwise(F.col("brewery"))
+    return repair.repaired(filled.withColumn("brewery", brewery).drop("own_brewery", "supplier"))
 
 
-def items(cells: DataFrame) -> DataFrame:
-    """Items with file_id, sheet, row_idx, normal fields, issues and is_valid."""
-    rows = classify.classified(extract.valid_rows(raw_rows(cells)))
+def finished(rows: DataFrame) -> DataFrame:
+    """Items with file_id, sheet, row_idx, normal fields, issues and is_valid, from raw rows."""
+    rows = classify.classified(extract.valid_rows(rows))
     out = normalize.normalized(extract.finished(rows.where("is_product")))
     out = out.withColumn("style", style.filled(F.col("style"), F.col("beer_name"), F.col("description")))
     return quality.validated(out.drop("is_product", "row_text"))
 
 
+def items(cells: DataFrame) -> DataFrame:
+    """Items of all product sheets."""
+    return finished(raw_rows(cells))
+
+
 def metadata(cells: DataFrame) -> DataFrame:
     """Contacts and service phrases of each file from rows that are no products."""
     lines = cells.groupBy("file_id", "sheet", "row_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", "value"))), lambda x: x["value"]), " ").alias("row_text"))
