@@ -55,17 +55,70 @@ def page_links(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1)))
 
 
-def image_rank(url: Column) -> Column:
-    """How well an address suits as a label image: beer labels first, then large images, then any; null where it is none."""
+# Style names of product pages, group after group, and marks of label images: fixed values.
+PAGE_STYLES = [
+    "IPA|India Pale Ale|Imperial IPA|Double IPA|Triple IPA|Hazy IPA|New England IPA|West Coast IPA|Milkshake IPA|Sour IPA|Brut IPA|Black IPA|Red IPA|White IPA|Brown IPA|Rye IPA|Belgian IPA|English IPA|Session IPA",
+    "Stout|Imperial Stout|Russian Imperial Stout|Oatmeal Stout|Milk Stout|Sweet Stout|Coffee Stout|Chocolate Stout|Pastry Stout|Barrel-Aged Stout|Foreign Extra Stout|Dry Stout|Irish Stout",
+    "Porter|Baltic Porter|Imperial Porter|Robust Porter|Brown Porter|Smoked Porter|Coffee Porter|Chocolate Porter|Vanilla Porter|Peanut Butter Porter|Coconut Porter",
+    "Lager|Pilsner|German Pilsner|Czech Pilsner|Bohemian Pilsner|American Pilsner|Imperial Pilsner|Mexican Lager|Vienna Lager|Märzen|Oktoberfest|Helles|Dunkel|Schwarzbier|Bock|Doppelbock|Eisbock|Maibock|Kellerbier|Zwickelbier",
+    "Wheat|Hefeweizen|Weizenbock|Dunkelweizen|Weissbier|Witbier|Belgian Wit|American Wheat|Wheatwine|Berliner Weisse|Gose",
+    "Sour|Wild Ale|Lambic|Gueuze|Flanders Red|Flanders Brown|Oud Bruin|Kriek|Framboise|Peche|Spontaneously Fermented|Mixed Fermentation|Brett|Brettanomyces|Pediococcus|Lactobacillus",
+    "Saison|Farmhouse|Bière de Garde|Grisette|Table Beer|Petite Saison",
+    "Barleywine|Barley Wine|English Barleywine|American Barleywine",
+    "Pale Ale|American Pale Ale|English Pale Ale|Blonde Ale|Golden Ale|Amber Ale|Red Ale|Brown Ale|Scottish Ale|Irish Red Ale",
+    "Belgian|Dubbel|Tripel|Quad|Quadrupel|Singel|Blonde|Dark|Strong|Weak|Table|Trappist|Abbey|Golden Strong|Dark Strong",
+]
+META_STYLES = "IPA|Stout|Porter|Lager|Ale|Wheat|Sour|Gose|Pilsner|Saison|Farmhouse|Barleywine"
+NO_LABELS = ["badge-beer-default", "beer-default", "brewery-default", "default_avatar", "/temp/", "placeholder", "blank.gif", "/badges/", "/profile/", "_100x100", "_50x50", "/og/beer/"]
+LABEL_RANKS = [("/site/beer_logos_hd/", 500), ("/site/beer_logos/beer-.*_hd\\.", 450), ("/site/beer_logos/beer-.*_sm\\.", 200), ("/site/beer_logos/beer-", 250), ("assets\\..*brewery", 40)]
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page without scripts, styles and tags."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    return F.regexp_replace(bare, "<[^>]*>", " ")
+
+
+def page_style(html: Column, name: Column) -> Column:
+    """A style by a page: from its meta fields, else the first style group in its text that isn't in the beer's name, else from its JSON data."""
+    found = lambda c, words: F.nullif(F.regexp_extract(c, f"(?iu)({words})", 1), F.lit(""))
+    meta = F.filter(F.regexp_extract_all(html, F.lit(r'(?i)<meta[^>]*property="(?:og:|beer:)[^"]*"[^>]*content="([^"]*)"'), F.lit(1)), lambda x: F.lower(x).rlike("style|ipa|stout"))
+    by_meta = F.get(F.filter(F.transform(meta, lambda x: found(x, META_STYLES)), lambda x: x.isNotNull()), F.lit(0))
+    text, low = page_text(html), F.lower(F.coalesce(name, F.lit("")))
+    own = [F.when((F.length(found(text, g)) > 2) & ~F.contains(low, F.lower(found(text, g))), found(text, g)) for g in PAGE_STYLES]
+    data = F.regexp_extract(html, r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
+    told = F.coalesce(*[F.nullif(F.get_json_object(data, f"$.{k}"), F.lit("")) for k in ("genre", "category", "keywords")])
+    return F.coalesce(by_meta, *own, F.when(told.rlike("(?i)(IPA|Stout|Porter|Lager|Ale|Wheat|Sour)"), F.trim(told)))
+
+
+def label_candidates(html: Column) -> Column:
+    """Distinct addresses of images on a page, without what follows ? or #: images and their sources, then those of the meta fields."""
+    images = F.regexp_extract_all(html, F.lit(r'(?i)<(?:img|source)[^>]*\s(?:src|data-src|data-original|data-lazy)="([^"]*)"'), F.lit(1))
+    meta = F.regexp_extract_all(html, F.lit(r'(?i)<meta[^>]*(?:property="og:image"|name="twitter:image")[^>]*content="([^"]*)"'), F.lit(1))
+    return F.array_distinct(F.transform(F.filter(F.concat(images, meta), lambda u: u.startswith("http")), lambda u: F.regexp_replace(F.trim(u), "[?#].*$", "")))
+
+
+def usable_label(url: Column) -> Column:
+    """An address that can be a label: no default picture, badge, small preview or card for sharing."""
+    u = F.lower(url)
+    return (F.length(url) >= 12) & u.rlike("^https?://") & ~contains_any(u, NO_LABELS)
+
+
+def label_rank(url: Column) -> Column:
     u = F.lower(url)
-    image = u.rlike(r"\.(png|jpe?g|webp)([?#].*)?$")
-    return F.when(image, F.when(u.contains("beer_logos") | u.contains("label"), 3).when(u.contains("_hd") | u.contains("large"), 2).otherwise(1))
+    return reduce(lambda rest, r: F.when(u.rlike(r[0]), r[1]).otherwise(rest), reversed(LABEL_RANKS), F.lit(10))
+
+
+def best_label(urls: Column) -> Column:
+    """The best label image of an array of addresses, the first among equals; null if none is usable."""
+    ranked = F.transform(F.filter(urls, usable_label), lambda u, i: F.struct((-label_rank(u)).alias("r"), i.alias("i"), u.alias("u")))
+    return F.array_min(ranked)["u"]
+
 
+def scraped_name(c: Column) -> Column:
+    """A name without the mark of a new product before it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)^\(NEW\)\s*", ""), r"(?i)^NEW\s+", ""))
 
-def best_image(urls: Column) -> Column:
-    """The best label image of an array of addresses, the first among equals."""
-    ranked = F.transform(urls, lambda u, i: F.struct((-image_rank(u)).alias("r"), i.alias("i"), u.alias("u")))
-    return F.sort_array(F.filter(ranked, lambda x: x["r"].isNotNull()))[0]["u"]
 
 # Word groups for English names, first match wins: fixed values.
 GROUPS = [

@@ -70,6 +70,26 @@ def order_lines_valid(lines: Column) -> Column:
     return (F.size(lines) > 0) & F.forall(lines, lambda x: x["item_id"].isNotNull() & F.coalesce(x["quantity"] > 0, F.lit(False)))
 
 
+def waiting_beer_valid(name: Column) -> Column:
+    """A beer that waits for a tap has a name."""
+    return present(name)
+
+
+# Patterns and greatest lengths of an item form's texts: fixed values.
+FORM_NUMBER = r"^\d+([.,]\d+)?$"
+FORM_LENGTHS = {"brewery": 100, "beer_name": 200, "style": 100, "ibu": 10, "format_type": 50, "stock": 50, "description": 1000}
+
+
+def form_text_errors(columns: list[str]) -> Column:
+    """Codes of what is wrong with an item form's texts: missing names, too long texts, numbers that are none, currencies not of three letters."""
+    text = lambda c: F.col(c).cast("string")
+    checks = [(F.length(F.coalesce(text(c), F.lit(""))) == 0, f"{c}_required") for c in ("brewery", "beer_name") if c in columns]
+    checks += [(F.length(text(c)) > n, f"{c}_long") for c, n in FORM_LENGTHS.items() if c in columns]
+    checks += [(~text(c).rlike(FORM_NUMBER), f"{c}_number") for c in ("abv", "price", "volume") if c in columns]
+    checks += [(F.length("currency") != 3, "currency_length")] if "currency" in columns else []
+    return F.filter(F.array(*[F.when(bad, F.lit(code)) for bad, code in checks]), lambda x: x.isNotNull())
+
+
 def is_permutation(ids: Column, of: Column) -> Column:
     """The same ids, each once."""
     return (F.size(F.array_distinct(ids)) == F.size(ids)) & (F.size(F.array_except(ids, of)) == 0) & (F.size(F.array_except(of, ids)) == 0)

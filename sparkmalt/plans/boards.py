@@ -19,6 +19,17 @@ def with_tap_count(locations: DataFrame, taps: DataFrame) -> DataFrame:
     return locations.join(counts, "location_id", "left").select(*locations.columns, F.coalesce("n", F.lit(0)).alias("tap_count"))
 
 
+def with_taps(locations: DataFrame, taps: DataFrame) -> DataFrame:
+    """Locations with the array of their taps in order; a board has tens of taps."""
+    listed = taps.groupBy("location_id").agg(F.sort_array(F.collect_list(F.struct("position", "tap_id", "beer_name"))).alias("taps"))
+    return locations.join(listed, "location_id", "left").withColumn("taps", F.coalesce("taps", F.array().cast(listed.schema["taps"].dataType)))
+
+
+def waiting(beers: DataFrame, location: int) -> DataFrame:
+    """The beers that wait at a location; those without a name can't be put on a tap."""
+    return beers.where((F.col("location_id") == location) & quality.waiting_beer_valid(F.col("beer_name")))
+
+
 def board(taps: DataFrame) -> DataFrame:
     """Taps with the text of their status."""
     text = F.lit("")

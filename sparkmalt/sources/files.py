@@ -39,6 +39,11 @@ def members(archives: DataFrame) -> DataFrame:
     return archives.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, "archive string, file_id string, content binary")
 
 
+def with_looks(cells: DataFrame) -> DataFrame:
+    """Cells of a source without hidden rows and fonts."""
+    return cells.withColumns({"hidden": F.lit(False), "strike": F.lit(False), "font_rgb": F.lit(None).cast("string")})
+
+
 def csv_cells(spark: SparkSession, path: str, sheet: str = "csv") -> DataFrame:
     """A CSV export as cells; lines keep their order within a file."""
     lines = spark.read.option("header", "false").option("multiLine", "true").csv(path).withColumn("file_id", F.input_file_name())
@@ -46,14 +51,14 @@ def csv_cells(spark: SparkSession, path: str, sheet: str = "csv") -> DataFrame:
     w = Window.partitionBy("file_id").orderBy("__at")
     numbered = lines.withColumn("__at", F.monotonically_increasing_id()).withColumn("row_idx", F.row_number().over(w) - 1)
     cells = numbered.select("file_id", F.lit(sheet).alias("sheet"), "row_idx", F.posexplode(F.array(*[F.col(c) for c in columns])).alias("col_idx", "value"))
-    return cells.where(F.col("value").isNotNull() & (F.trim("value") != ""))
+    return with_looks(cells.where(F.col("value").isNotNull() & (F.trim("value") != "")))
 
 
 def grid_cells(grid: DataFrame) -> DataFrame:
     """Cells of page tables (file_id, page, table, row, cells array); each table is a sheet."""
     sheet = F.format_string("p%05d-t%03d", F.col("page").cast("int"), F.col("table").cast("int"))
     cells = grid.select("file_id", sheet.alias("sheet"), F.col("row").cast("int").alias("row_idx"), F.posexplode("cells").alias("col_idx", "value"))
-    return cells.where(F.col("value").isNotNull() & (F.trim("value") != ""))
+    return with_looks(cells.where(F.col("value").isNotNull() & (F.trim("value") != "")))
 
 
 def text_dump(cells: DataFrame) -> DataFrame:

@@ -34,29 +34,38 @@ def texts(node: ET.Element) -> str:
     return "".join(t.text or "" for t in node.iter(f"{MAIN}t"))
 
 
+def cells_in(sheet: ET.Element) -> Iterator[tuple[int, int, bool, ET.Element]]:
+    """(row, column, hidden, cell) of a sheet; places that the file doesn't name follow on from the ones before."""
+    row = -1
+    for r in sheet.iter(f"{MAIN}row"):
+        row = int(r.get("r")) - 1 if r.get("r") else row + 1
+        hidden, column = r.get("hidden") in ("1", "true"), -1
+        for cell in r.iter(f"{MAIN}c"):
+            column = column_number(cell.get("r")) if cell.get("r") else column + 1
+            yield row, column, hidden, cell
+
+
 def decode(file_id: str, content: bytes) -> list[tuple]:
-    """Cells of all sheets of a workbook; a file that is none gives no cells."""
+    """Cells of all sheets of a workbook; raises ValueError for a file that is none."""
     try:
         book = zipfile.ZipFile(io.BytesIO(content))
         names = set(book.namelist())
         sheets = ET.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet")
         links = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-    except (zipfile.BadZipFile, KeyError, ET.ParseError):
-        return []
-    shared = [texts(s) for s in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
-    looks = fonts_of(book, names)
-    out = []
-    for sheet in sheets:
-        target = links[sheet.get(LINK)].lstrip("/")
-        path = target if target.startswith("xl/") else f"xl/{target}"
-        for row in ET.fromstring(book.read(path)).iter(f"{MAIN}row"):
-            hidden = row.get("hidden") in ("1", "true")
-            for cell in row.iter(f"{MAIN}c"):
+        shared = [texts(s) for s in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
+        looks = fonts_of(book, names)
+        out = []
+        for sheet in sheets:
+            target = links[sheet.get(LINK)].lstrip("/")
+            path = target if target.startswith("xl/") else f"xl/{target}"
+            for row, column, hidden, cell in cells_in(ET.fromstring(book.read(path))):
                 kind, raw = cell.get("t"), cell.findtext(f"{MAIN}v")
                 value = texts(cell) if kind == "inlineStr" else shared[int(raw)] if kind == "s" and raw else raw
                 if value is not None and value != "":
                     strike, rgb = looks.get(cell.get("s"), (False, None))
-                    out.append((file_id, sheet.get("name"), int(row.get("r")) - 1, column_number(cell.get("r")), value, hidden, strike, rgb))
+                    out.append((file_id, sheet.get("name"), row, column, value, hidden, strike, rgb))
+    except (zipfile.BadZipFile, KeyError, IndexError, ET.ParseError) as e:
+        raise ValueError(f"no workbook: {type(e).__name__}") from e
     return out
 
 
@@ -70,17 +79,34 @@ def fonts_of(book: zipfile.ZipFile, names: set[str]) -> dict[str, tuple[bool, st
 
 
 def cells_of(files: DataFrame) -> DataFrame:
-    """Cells of workbooks (file_id, content)."""
+    """Cells of workbooks (file_id, content); files that are no workbooks give none (see ``unreadable``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in CELLS.split(", ")]
         for batch in batches:
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
-                yield pd.DataFrame(decode(file_id, bytes(content)), columns=names)
+                try:
+                    yield pd.DataFrame(decode(file_id, bytes(content)), columns=names)
+                except ValueError:
+                    continue
 
     return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, CELLS)
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """(file_id, error) of the files that are no workbooks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
+                try:
+                    decode(file_id, bytes(content))
+                except ValueError as e:
+                    yield pd.DataFrame([(file_id, str(e))], columns=["file_id", "error"])
+
+    return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, "file_id string, error string")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Cells of all workbooks under a path."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(path)

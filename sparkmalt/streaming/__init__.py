@@ -10,9 +10,9 @@ from sparkmalt.plans import ingest
 from sparkmalt.sources import files, xlsx
 
 
-def arriving(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of workbooks (file_id, content)."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xlsx").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+def arriving(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """A stream of workbooks (file_id, content), at most so many in a batch."""
+    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("maxFilesPerTrigger", files_per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     return found.select(F.col("path").alias("file_id"), "content")
 
 
@@ -22,4 +22,4 @@ def ingest_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, f
     def batch(df: DataFrame, _: int) -> None:
         files.replace_files(ingest.items(xlsx.cells_of(df)), out)
 
-    return arriving(spark, folder).repartition(files_per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arriving(spark, folder, files_per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
