@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sparkmalt.functions.numbers import probe
-from sparkmalt.functions.text import clean, settled
+from sparkmalt.functions.text import settled
 from sparkmalt.operators.headers import SHEET, heading
 from sparkmalt.sources.registry import FIELDS
 
 SAMPLE_ROWS = 40
-CONTENT_WEIGHT, LOCK_BONUS = 3.0, 50.0
+CONTENT_WEIGHT = 3.0
 EXACT, PART, WITHIN, FUZZY, FUZZY_FROM = 10.0, 6.0, 3.0, 4.0, 0.82
 # Words that lower or raise a field's score, and rules for headings, in order: fixed values.
 LOWER, RAISE = {"beer_name": ["описан", "description", "стиль", "style", "коммент", "примечан"]}, {"description": ["описан", "description", "коммент", "примечан"]}
@@ -68,10 +68,11 @@ def header_scores(headers: DataFrame, keywords: dict[str, list[str]] | None = No
     pairs = headers.withColumn("h", heading(F.col("header"))).where("h <> ''").withColumn("k", F.explode(words))
     w, h, n, m = F.col("k.word"), F.col("h"), F.length("k.word"), F.length("h")
     plain = F.when(w == h, EXACT).when(h.contains(w), PART).when(w.contains(h), WITHIN)
-    # a ratio can't exceed twice the shorter length over both
+    # a ratio can't exceed twice the shorter length over both; only pairs that can reach the least ratio go to Python
     likely = plain.isNull() & (2 * F.least(n, m) >= FUZZY_FROM * (n + m))
-    ratio = F.when(likely, fuzzy_ratio(F.when(likely, w).otherwise(""), F.when(likely, h).otherwise("")))
-    best = F.coalesce(plain, F.when(ratio >= FUZZY_FROM, FUZZY * ratio), F.lit(0.0)) * F.col("k.weight")
+    alike = pairs.where(likely).select("h", w.alias("word")).distinct().withColumn("ratio", fuzzy_ratio(F.col("word"), F.col("h"))).where(F.col("ratio") >= FUZZY_FROM)
+    pairs = pairs.withColumn("word", w).join(alike, ["h", "word"], "left")
+    best = F.coalesce(plain, FUZZY * F.col("ratio"), F.lit(0.0)) * F.col("k.weight")
     columns = headers.columns
     scored = pairs.withColumn("score", best).groupBy(*columns, "h", F.col("k.field").alias("field"), F.col("k.field_order").alias("field_order")).agg(F.max("score").alias("score"))
     change = F.lit(0.0)
@@ -177,10 +178,3 @@ def recommendations(candidates_: DataFrame, gap: float = 1.0, least: float = 1.0
     two = candidates_.groupBy(*SHEET, "field").agg(F.max(F.when(F.col("rank") == 1, F.struct("col_idx", "header", "score"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.struct("col_idx", "header", "score"))).alias("b"))
     return two.where((F.col("a.score") >= least) & (F.abs(F.col("a.score") - F.col("b.score")) <= gap)).select(*SHEET, "field", F.col("a.header").alias("header"), F.col("a.col_idx").alias("col_idx"), F.col("a.score").alias("score"), F.col("b.header").alias("second_header"), F.col("b.score").alias("second_score"))
 
-
-def supplier_type(items: DataFrame) -> DataFrame:
-    """(file_id, kind): distributor, brewery or unknown by how many breweries a file names."""
-    brewery = F.nullif(F.lower(clean(F.col("brewery"))), F.lit(""))
-    per = items.groupBy("file_id").agg(F.count_distinct(brewery).alias("breweries"), F.count(brewery).alias("named"))
-    kind = F.when(F.col("named") == 0, "unknown").when(F.col("breweries") >= 3, "distributor").when(F.col("breweries") == 1, "brewery").otherwise("unknown")
-    return per.select("file_id", kind.alias("kind"))

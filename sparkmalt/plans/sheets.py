@@ -66,8 +66,7 @@ def grid(s: SparkSession, d: str) -> DataFrame:
 
 
 def grid_ingest(s: SparkSession, d: str) -> DataFrame:
-    found = files.grid_cells(grid(s, d)).withColumns({"hidden": F.lit(False), "strike": F.lit(False), "font_rgb": F.lit(None).cast("string")})
-    return ingest.summary(ingest.items(found))
+    return ingest.summary(ingest.items(files.grid_cells(grid(s, d))))
 
 
 def gappy(s: SparkSession, d: str) -> DataFrame:
@@ -147,7 +146,6 @@ QUERIES = {
     "forward_fill": lambda s, d: extract.forward_filled(gappy(s, d)).select("id", "brewery"),
     "continuation": lambda s, d: extract.continued(gappy(s, d)).select("id", "beer_name", "style"),
     "price_columns": price_columns,
-    "merged_by_name": lambda s, d: extract.merged_by_name(gappy(s, d).where("beer_name IS NOT NULL").withColumn("price", F.when(F.col("id") % 2 == 0, F.col("price"))), "id").select("id", "beer_name"),
     "price_texts": price_texts,
     "packaging_texts": packaging_texts,
     "names_split": names_split,
@@ -170,7 +168,6 @@ ORACLES = {
     "forward_fill": _GAPPY + "SELECT id, last_value(b IGNORE NULLS) OVER (PARTITION BY fid ORDER BY row_idx) AS brewery FROM g",
     "continuation": _GAPPY + "SELECT id, last_value(n IGNORE NULLS) OVER w AS beer_name, last_value(CASE WHEN n IS NOT NULL THEN st END IGNORE NULLS) OVER w AS style FROM g WINDOW w AS (PARTITION BY fid ORDER BY row_idx)",
     "price_columns": f"WITH {bound.ITEMS} SELECT id, floor(price)::BIGINT AS price, 'банка' AS format_type, 0.33::DOUBLE AS volume FROM items WHERE id % 3 > 0 UNION ALL SELECT id, floor(price * 10)::BIGINT, 'кег', 20.0 FROM items WHERE id % 2 > 0",
-    "merged_by_name": _GAPPY + "SELECT id, n AS beer_name FROM g WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(n) ORDER BY (b IS NOT NULL)::INT + (id % 2 = 0)::INT DESC, id) = 1",
     "price_texts": f"""WITH {bound.ITEMS}, t AS (SELECT id, price AS p, volume AS v, CASE WHEN id % 5 = 0 THEN 0 WHEN id % 4 = 0 THEN 1 WHEN id % 3 = 0 THEN 2 ELSE 3 END AS k FROM items)
       SELECT id, CASE k WHEN 1 THEN v WHEN 0 THEN NULL ELSE p END AS price, CASE k WHEN 0 THEN NULL WHEN 1 THEN 'EUR' WHEN 2 THEN 'USD' ELSE 'RUB' END AS currency, CASE k WHEN 2 THEN 500 * 0.001::DOUBLE WHEN 3 THEN 0.75::DOUBLE END AS volume,
         CASE WHEN id % 2 = 0 THEN v * 0.001::DOUBLE ELSE v * 0.0295735::DOUBLE END AS measure, -1::BIGINT AS whole, '12' || id || '.50' AS number FROM t""",
