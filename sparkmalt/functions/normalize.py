@@ -18,6 +18,30 @@ UNITS = [("мл", 0.001), ("ml", 0.001), ("л", 1.0), ("литр", 1.0), ("ли
 PACKAGING = [("can", "банка"), ("банка", "банка"), ("bottle", "бутылка"), ("бутылка", "бутылка"), ("keg", "кега"), ("кега", "кега"), ("бут", "бутылка"), ("б", "бутылка")]
 # Names that are a city and nothing else: fixed values.
 CITIES = ["владимир", "москва", "санкт-петербург", "спб", "мск", "moscow", "spb"]
+# Cities and their forms as they stand in brewery names, in the order in which they go; E is the edge of a word: fixed values.
+CITY_PATTERNS = [
+    r"\s*Eг\.\s*Санкт-Петербург[а-яё]*",
+    r"\s*Eг\s+Санкт-Петербург[а-яё]*",
+    r"\s*EСанкт-Петербург[а-яё]*",
+    r"\s*EСПб",
+    r"\s*Espb",
+    r"\s*Eг\.\s*Москв[а-яё]*",
+    r"\s*Eг\s+Москв[а-яё]*",
+    r"\s*EМоскв[а-яё]*",
+    r"\s*Eмск",
+    r"\s*Emsk",
+    r"\s*Eг\.\s*Владимир[а-яё]*",
+    r"\s*Eг\s+Владимир[а-яё]*",
+    r"\s*EВладимир[а-яё]*",
+    r"\s*Eг\.\s*[А-ЯЁа-яё\s-]+",
+    r"\s*Eг\s+[А-ЯЁа-яё\s-]+",
+    r"\s*Eгород\s+[А-ЯЁа-яё\s-]+",
+    r"\s*Ecity\s+[А-ЯЁа-яёA-Za-z\s-]+",
+    r"\s*,\s*Eг\.\s*[А-ЯЁа-яё\s-]+",
+    r"\s*,\s*Eг\s+[А-ЯЁа-яё\s-]+",
+    r"\s*,\s*Eгород\s+[А-ЯЁа-яё\s-]+",
+    r"\s*,\s*Ecity\s+[А-ЯЁа-яёA-Za-z\s-]+",
+]
 SEPARATORS = [" - ", " — ", " – ", "|", " / "]  # fixed values
 
 
@@ -90,12 +114,7 @@ def brewery(c: Column, boundary: bool = False, passes: int = 5) -> Column:
     was made that way; with ``boundary`` only where a word begins.
     """
     edge = r"(?<![\p{L}])" if boundary else ""
-    letters, any_letters = "[А-ЯЁа-яё\\s-]+", "[А-ЯЁа-яёA-Za-z\\s-]+"
-    patterns: list[str] = []
-    for city, forms in (("Санкт-Петербург[а-яё]*", ("СПб", "spb")), ("Москв[а-яё]*", ("мск", "msk")), ("Владимир[а-яё]*", ())):
-        patterns += [rf"\s*{edge}г\.\s*{city}", rf"\s*{edge}г\s+{city}", rf"\s*{edge}{city}", *(rf"\s*{edge}{f}" for f in forms)]
-    for comma in ("", r",\s*"):
-        patterns += [rf"\s*{comma}{edge}г\.\s*{letters}", rf"\s*{comma}{edge}г\s+{letters}", rf"\s*{comma}{edge}город\s+{letters}", rf"\s*{comma}{edge}city\s+{any_letters}"]
+    patterns = [p.replace("E", edge, 1) for p in CITY_PATTERNS]
     whole = clean(c)
     t = whole
     # one alternation per pass keeps the plan small; the order inside is that of the list

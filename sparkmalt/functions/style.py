@@ -120,7 +120,7 @@ def scraped_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?i)^\(NEW\)\s*", ""), r"(?i)^NEW\s+", ""))
 
 
-# Word groups for English names, first match wins: fixed values.
+# Word groups for English names, first match wins: fixed values, without the longer names that hold a shorter one of their group.
 GROUPS = [
     ("ipa", ["ipa", "india pale ale"]),
     ("Stout", ["stout"]),

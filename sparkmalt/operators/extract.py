@@ -111,12 +111,21 @@ def merged_by_name(rows: DataFrame, order: str, keys: tuple[str, ...] = ("file_i
     return rows.groupBy(*keys, F.lower(clean(F.col("beer_name"))).alias("__name")).agg(F.max_by(F.struct(*rows.columns), F.struct(filled, -F.col(order))).alias("row")).select("row.*")
 
 
-def sessions(lines: DataFrame, starts: Column, keys: list[str], order: str) -> DataFrame:
-    """Lines with ``session``: how many starting lines have come so far; lines before the first go."""
+def sessions(lines: DataFrame, starts: Column, keys: list[str], order: str, ends: Column | None = None) -> DataFrame:
+    """Lines with ``session``: how many starting lines have come so far.
+
+    Lines before the first start go, and lines from an ending one to the next
+    start. A key's lines are numbered in one task, so a key is a text or a page.
+    """
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("session", F.sum(F.when(starts, 1).otherwise(0)).over(w)).where("session > 0")
+    out = lines.withColumn("session", F.sum(F.when(starts, 1).otherwise(0)).over(w))
+    if ends is None:
+        return out.where("session > 0")
+    state = F.when(starts, True).when(ends, False)
+    return out.withColumn("__open", F.last(state, ignorenulls=True).over(w)).where("session > 0 AND __open").drop("__open")
 
 
-def lines_of(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, text) for the filled lines of texts."""
-    return texts.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "text")).where(F.trim("text") != "")
+def lines_of(texts: DataFrame, key: str, text: str, blank: bool = False) -> DataFrame:
+    """(key, line, text) for the lines of texts, with or without blank ones."""
+    out = texts.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "text"))
+    return out if blank else out.where(F.trim("text") != "")

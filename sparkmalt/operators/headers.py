@@ -54,12 +54,12 @@ def found(cells: DataFrame, rows: int = 8) -> DataFrame:
     return sheets.join(older, SHEET, "left").select(*SHEET, row.cast("int").alias("header_row"))
 
 
-def by_kinds(cells: DataFrame, rows: int = 10, columns: int = 20, patterns: int = 10) -> DataFrame:
+def by_kinds(cells: DataFrame, rows: int = 10, columns: int = 20) -> DataFrame:
     """The older rule: a row with brewery, name and price headings wins; else three points a match, or two."""
     h = heading(F.col("value"))
     any_of = lambda words: reduce(lambda a, b: a | b, [h.contains(w) for w in words])
     kinds = {"brewery": ["пивоварн", "производител", "brewery"], "name": ["назван", "наименован", "товар", "beer", "name"], "price": ["цена", "price", "стоимость", "cost"]}
-    match = any_of([w for w in HEADINGS[:patterns] if len(w) > 2])
+    match = any_of([w for w in HEADINGS])
     near = cells.where((F.col("row_idx") < rows) & (F.col("col_idx") < columns) & (h != ""))
     per = near.groupBy(*SHEET, "row_idx").agg(F.count("*").alias("filled"), F.count_if(match).alias("matches"), *[F.max(any_of(w)).cast("int").alias(k) for k, w in kinds.items()])
     three = F.col("brewery") + F.col("name") + F.col("price")

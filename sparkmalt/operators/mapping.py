@@ -25,6 +25,10 @@ CONTENT_WEIGHT = 3.0
 EXACT, PART, WITHIN, FUZZY, FUZZY_FROM = 10.0, 6.0, 3.0, 4.0, 0.82
 # Words that lower or raise a field's score, and rules for headings, in order: fixed values.
 LOWER, RAISE = {"beer_name": ["описан", "description", "стиль", "style", "коммент", "примечан"]}, {"description": ["описан", "description", "коммент", "примечан"]}
+CONTENT_STYLES = ["ipa", "lager", "ale", "stout", "porter", "pilsner", "gose", "neipa", "сайсон", "стаут", "эль", "лагер"]
+CONTENT_STOCK = ["много", "мало", "есть", "нет", "в наличии", "под заказ"]
+CONTENT_PACKS = ["банка", "can", "кег", "keg", "бутыл", "bottle", "розлив", "тара", "фасов"]
+CONTENT_LABELS = r"(?iu)(банка|бутылк|кег|can|keg|шт/кор|не дробим)"
 SKIPPED = ["этикетка", "годен до", "скидки", "акции", "заказ (кег", "сайт", "почта", "telegram"]
 RULES = [
     ("beer_name", ["наименование", "название товара", "название пива"]),
@@ -100,23 +104,22 @@ def content_scored(columns: DataFrame) -> DataFrame:
     some = lambda pattern: F.size(F.filter(v, lambda x: x.rlike(pattern)))
     ten = lambda c: F.least(F.lit(10.0), c.cast("double"))
     has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
-    styles = ["ipa", "lager", "ale", "stout", "porter", "pilsner", "gose", "neipa", "сайсон", "стаут", "эль", "лагер"]
-    style_hits = F.size(F.filter(F.array(*map(F.lit, styles)), lambda w: text.contains(w)))
+    style_hits = F.size(F.filter(F.array(*map(F.lit, CONTENT_STYLES)), lambda w: text.contains(w)))
     abv_hits = some(r"%|(?iu)\babv\b")
     whole = F.size(F.filter(numbers, lambda x: (x == F.floor(x)) & x.between(0, 50_000)))
-    packs, lines = some(r"(?iu)(банка|бутылк|кег|can|keg|шт/кор|не дробим)"), F.size(F.filter(v, lambda x: x.contains("\n") & (F.length(x) > 20)))
+    packs, lines = some(CONTENT_LABELS), F.size(F.filter(v, lambda x: x.contains("\n") & (F.length(x) > 20)))
     of_numbers = lambda c: c / F.greatest(k, F.lit(1))
     scores = {
         "price": F.when(share < 0.5, 0.0).when(within(15, 100_000) == 0, 1.0).otherwise(ten(4 + 6 * of_numbers(within(15, 100_000)) + F.least(F.lit(2.0), some(r"\d+\s*/\s*\d+") * 0.5))),
         "abv": F.when((within(0, 20) > 0) & (share >= 0.4), ten(3 + 7 * of_numbers(within(0, 20)) + abv_hits)).when(abv_hits > 0, 6.0).otherwise(0.0),
         "ibu": F.when((within(0, 120) > 0) & (share >= 0.5), ten(5 + 5 * of_numbers(within(0, 120)))).otherwise(0.0),
         "volume": F.when((share >= 0.7) & (of_numbers(within(0.5, 25)) >= 0.8) & (some(r"(?iu)\d+[.,]?\d*\s*л") == 0), 0.0).when((within(0.05, 100) > 0) & (share >= 0.4), ten(4 + 6 * of_numbers(within(0.05, 100)))).otherwise(0.0),
-        "stock": F.when((whole > 0) & (share >= 0.6), ten(3 + 7 * of_numbers(whole))).when(has(["много", "мало", "есть", "нет", "в наличии", "под заказ"]), 5.0).otherwise(0.0),
+        "stock": F.when((whole > 0) & (share >= 0.6), ten(3 + 7 * of_numbers(whole))).when(has(CONTENT_STOCK), 5.0).otherwise(0.0),
         "beer_name": F.when(packs >= F.greatest(F.lit(1), F.floor(n / 2)), 0.0).when(share > 0.8, 0.0).when(lines > 0, ten(6 + lines)).when(length < 8, 1.0).when(length > 120, 2.0).otherwise(ten(2 + 8 * some("(?iu)[а-яa-z]") / F.greatest(n, F.lit(1)))),
         "brewery": F.when(share > 0.5, 0.0).when(length.between(3, 40), ten(3 + 7 * F.size(F.filter(v, lambda x: F.length(x).between(2, 35))) / F.greatest(n, F.lit(1)))).otherwise(0.0),
         "style": F.when((style_hits > 0) & (length < 60), ten(4 + 2 * style_hits)).otherwise(0.0),
         "description": F.when(length > 50, ten(4 + (length - 50) / 25)).otherwise(0.0),
-        "format_type": F.when(has(["банка", "can", "кег", "keg", "бутыл", "bottle", "розлив", "тара", "фасов"]), 8.0).otherwise(0.0),
+        "format_type": F.when(has(CONTENT_PACKS), 8.0).otherwise(0.0),
     }
     out = settled(out, {f"s_{f}": F.when(n > 0, s).otherwise(0.0) for f, s in scores.items()})
     return out.drop("values", "__v", "__numbers", "__text", "__n", "__share", "__length")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkmalt.functions.text import contains_ci
 from sparkmalt.operators import changes, quality
 from sparkmalt.plans import bound
+from sparkmalt.sources import sinks
 
 STATUS = {"active": "На кране", "free": "Свободен", "next": "Следующий", "fresh": "Свежий"}  # fixed values
 TAP_FIELDS = ["brewery", "beer_name", "description", "abv_text", "volume_price_text", "bitterness_ibu", "next_beer_1", "next_beer_2"]
@@ -107,9 +108,10 @@ def upserted_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reordered_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The taps of each location in reverse order; only whole permutations are taken."""
+    """The taps of each location in reverse order; only whole permutations are taken: every third location asks for one tap twice and keeps its order."""
     have = taps(spark, sf_dir)
     ids = have.groupBy("location_id").agg(F.sort_array(F.collect_list("tap_id"), asc=False).alias("ids"), F.collect_list("tap_id").alias("of"))
+    ids = ids.withColumn("ids", F.when(F.col("location_id") % 3 == 0, F.concat("ids", F.slice("ids", 1, 1))).otherwise(F.col("ids")))
     good = ids.where(quality.is_permutation(F.col("ids"), F.col("of")))
     return changes.reordered(have, good, "tap_id", "position").select("tap_id", "location_id", "position")
 
@@ -132,6 +134,7 @@ QUERIES = {
     "tap_history": lambda s, d: latest_history(history(bound.tap_states(s, d))).select("tap_id", "state_id", "change_type"),
     "latest_state": lambda s, d: changes.latest(bound.tap_states(s, d), ["tap_id"], ["created_at", "state_id"]).select("tap_id", "state_id", "brewery", "beer_name", "price"),
     "queue_shift": lambda s, d: changes.queue_shifted(taps(s, d)).select("tap_id", "brewery", "beer_name", "price", "next_beer_1", "next_beer_2"),
+    "tap_export": lambda s, d: board(taps(s, d)).select("tap_id", sinks.csv_line(["position", "brewery", "beer_name", "status_text", "next_beer_1"]).alias("line")),
     "tap_upsert": upserted_taps,
     "tap_reorder": reordered_taps,
 }
@@ -155,5 +158,6 @@ ORACLES = {
     "latest_state": f"WITH {bound.STATES} SELECT tap_id, state_id, brewery, beer_name, price FROM states QUALIFY row_number() OVER (PARTITION BY tap_id ORDER BY created_at DESC, state_id DESC) = 1",
     "queue_shift": f"WITH {_TAPS} SELECT tap_id, CASE WHEN tap_id % 2 = 0 THEN 'Brew' ELSE 'house' END AS brewery, CASE WHEN tap_id % 2 = 0 THEN 'Beer' || tap_id ELSE beer_name END AS beer_name, CASE WHEN tap_id % 2 = 0 THEN 7.5::DOUBLE ELSE price END AS price, CASE WHEN tap_id % 2 = 0 THEN 'Later | Beer' || tap_id ELSE '' END AS next_beer_1, CASE WHEN tap_id % 2 <> 0 THEN 'Later | Beer' || tap_id END AS next_beer_2 FROM taps",
     "tap_upsert": f"WITH {_TAPS}, n AS (SELECT n_nationkey AS location_id, unnest([1, 999]) AS position, 'guest' AS beer_name FROM nation) SELECT location_id, position, beer_name FROM taps WHERE (location_id, position) NOT IN (SELECT location_id, position FROM n) UNION ALL SELECT * FROM n",
-    "tap_reorder": f"WITH {_TAPS} SELECT tap_id, location_id, row_number() OVER (PARTITION BY location_id ORDER BY tap_id DESC)::INT AS position FROM taps",
+    "tap_reorder": f"WITH {_TAPS} SELECT tap_id, location_id, CASE WHEN location_id % 3 = 0 THEN position ELSE row_number() OVER (PARTITION BY location_id ORDER BY tap_id DESC)::INT END AS position FROM taps",
+    "tap_export": f"WITH {_TAPS} SELECT tap_id, position || ',house,' || beer_name || ',' || ['На кране', 'Свободен', 'Следующий', 'Свежий'][tap_id % 4 + 1] || ',' || CASE WHEN tap_id % 2 = 0 THEN 'Brew | Beer' || tap_id || '(7.5)' ELSE '' END AS line FROM taps",
 }

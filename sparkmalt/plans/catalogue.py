@@ -15,7 +15,7 @@ from sparkmalt.plans.bound import half_up, half_up_sql, money
 from sparkmalt.sources.registry import keyword_list
 
 UNNAMED = "Не указано"
-COVERED = ["brewery", "beer_name", "style", "price", "volume", "format_type"]
+COVERED = ["brewery", "beer_name", "style", "abv", "price", "volume", "format_type", "stock"]
 
 
 @dataclass(frozen=True)
@@ -155,6 +155,18 @@ def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validated(raw_items(bound.items(spark, sf_dir))).select("id", F.inline("issues"))
 
 
+def with_strength(items: DataFrame) -> DataFrame:
+    """Items with a strength and a stock by rule, some of them missing."""
+    return items.withColumns({"abv": F.when(F.col("id") % 3 > 0, "5.5"), "stock": F.when(F.col("id") % 5 == 0, "-4").when(F.col("id") % 5 == 1, "12")})
+
+
+def strength_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of strength and stock."""
+    strange = F.when(F.col("id") % 3 == 0, "strong").when(F.col("id") % 7 == 0, "25").when(F.col("id") % 7 == 1, "0").when(F.col("id") % 7 == 2, "-1").otherwise("5")
+    rows = with_strength(bound.items(spark, sf_dir)).withColumn("abv", strange)
+    return quality.validated(rows).select("id", F.inline("issues")).where("field IN ('abv', 'stock')")
+
+
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.totals(quality.validated(raw_items(bound.items(spark, sf_dir))))
 
@@ -212,9 +224,14 @@ def _sorted(field: str, descending: bool, n: int = 100):
     return lambda s, d: ranked(bound.items(s, d), [*table_order(field, descending), F.col("id").asc()], n).select("id", field, "place")
 
 
+RUSSIAN = ["ель", "Абрикос", "яблоко", "ёж", "Еда"]
+
+
 def _russian(s: SparkSession, d: str) -> DataFrame:
+    """Items with Russian names in small and capital letters, in the order of the alphabet, ё beside е."""
+    named = bound.items(s, d).withColumn("beer_name", F.element_at(F.array(*map(F.lit, RUSSIAN)), (F.col("id") % 5 + 1).cast("int")))
     order = [F.collate("beer_name", "ru_CI").asc(), F.col("price_cents").desc(), F.col("id").asc()]
-    return ranked(bound.items(s, d), order, 50).select("id", "beer_name", "place")
+    return ranked(named.where("id % 40 < 5"), order, 50).select("id", "beer_name", "place")
 
 
 def _selected(s: SparkSession, d: str) -> DataFrame:
@@ -252,7 +269,8 @@ QUERIES = {
     "price_summary": lambda s, d: price_summary(bound.items(s, d)),
     "brand_stats": lambda s, d: brewery_stats(bound.items(s, d)),
     "item_groups": lambda s, d: grouped(raw_items(bound.items(s, d)), "brewery"),
-    "field_coverage": lambda s, d: coverage(raw_items(bound.items(s, d))),
+    "field_coverage": lambda s, d: coverage(with_strength(raw_items(bound.items(s, d)))),
+    "strength_issues": strength_issues,
     "validation_issues": validation_issues,
     "validation_summary": validation_summary,
     "form_errors": _forms,
@@ -286,7 +304,7 @@ _ISSUES = _RAW + """, found AS (
 _DEDUP = f"""WITH {bound.ITEMS}, d AS (SELECT id, brewery, style, format_type, floor(price / 50) * 50 AS price, beer_name AS base,
     CASE WHEN id % 3 = 0 THEN beer_name || ' (Fresh brewed)' ELSE beer_name END AS beer_name,
     CASE WHEN id % 3 <> 0 THEN id % 7 WHEN id % 7 = 0 THEN length(beer_name) + 1 ELSE length(beer_name) + 2 + id % 7 END AS own, id % 3 <> 0 AS begins FROM items) """
-_COVER = " UNION ALL ".join(f"SELECT '{f}' AS field, {half_up_sql(f'count(nullif(CAST({f} AS VARCHAR), {chr(39)}{chr(39)})) / count(*)', 4)} AS coverage FROM raw" for f in COVERED)
+_COVER = " UNION ALL ".join(f"SELECT '{f}' AS field, {half_up_sql(f'count(nullif(CAST({f} AS VARCHAR), {chr(39)}{chr(39)})) / count(*)', 4)} AS coverage FROM (SELECT *, CASE WHEN id % 3 > 0 THEN '5.5' END AS abv, CASE id % 5 WHEN 0 THEN '-4' WHEN 1 THEN '12' END AS stock FROM raw)" for f in COVERED)
 
 
 def _kinds(rules: list, text: str, finer: dict) -> str:
@@ -306,7 +324,7 @@ ORACLES = {
     "item_page": _WITH + "SELECT id, file_id, brewery, beer_name FROM items ORDER BY file_id, brewery, beer_name, id LIMIT 100 OFFSET 100",
     "item_sort_price": _WITH + "SELECT id, price, row_number() OVER (ORDER BY price DESC, id)::INT AS place FROM items ORDER BY place LIMIT 100",
     "item_sort_brewery": _WITH + "SELECT id, brewery, row_number() OVER (ORDER BY lower(brewery), id)::INT AS place FROM items ORDER BY place LIMIT 100",
-    "item_sort_russian": _WITH + "SELECT id, beer_name, row_number() OVER (ORDER BY lower(beer_name), price_cents DESC, id)::INT AS place FROM items ORDER BY place LIMIT 50",
+    "item_sort_russian": _WITH + "SELECT id, ['ель', 'Абрикос', 'яблоко', 'ёж', 'Еда'][id % 5 + 1] AS beer_name, row_number() OVER (ORDER BY [3, 0, 4, 2, 1][id % 5 + 1], price_cents DESC, id)::INT AS place FROM items WHERE id % 40 < 5 ORDER BY place LIMIT 50",
     "admin_search": _WITH + "SELECT id, beer_name FROM items WHERE contains(lower(concat_ws('|', id, brewery, beer_name, style)), 'bolt')",
     "suggestions": _WITH + "SELECT DISTINCT x AS suggestion FROM (SELECT unnest([brewery, beer_name, style]) AS x FROM items) WHERE contains(lower(x), 'ring') ORDER BY 1 LIMIT 5",
     "items_with_gaps": _RAW + "SELECT id FROM num WHERE coalesce(v, 0) = 0 OR coalesce(price, 0) = 0",
@@ -320,6 +338,8 @@ ORACLES = {
     "field_coverage": _RAW + _COVER,
     "validation_issues": _ISSUES + "SELECT * FROM found",
     "validation_summary": _ISSUES + "SELECT (SELECT count(*) FROM raw) AS total, (SELECT count(*) FROM raw) - count(DISTINCT CASE WHEN severity = 'error' THEN id END) AS valid, count(DISTINCT CASE WHEN severity = 'error' THEN id END) AS invalid, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM found",
+    "strength_issues": _WITH + """, x AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'abv_invalid' WHEN id % 7 = 0 THEN 'abv_high' WHEN id % 7 = 1 THEN 'abv_zero' WHEN id % 7 = 2 THEN 'abv_negative' END AS code FROM items)
+      SELECT id, code, CASE WHEN code IN ('abv_high', 'abv_zero') THEN 'warning' ELSE 'error' END AS severity, 'abv' AS field FROM x WHERE code IS NOT NULL UNION ALL SELECT id, 'stock_negative', 'error', 'stock' FROM items WHERE id % 5 = 0""",
     "form_errors": _RAW + "SELECT id, 'name_required' AS code FROM num WHERE NOT n UNION ALL SELECT id, 'price_negative' FROM num WHERE price < 0 UNION ALL SELECT id, 'price_high' FROM num WHERE price > 100000 UNION ALL SELECT id, 'volume_low' FROM num WHERE v <= 0 UNION ALL SELECT id, 'volume_high' FROM num WHERE v > 100",
     "dedup_items": _DEDUP + "SELECT id, beer_name, copies FROM (SELECT *, count(*) OVER w AS copies, row_number() OVER (w ORDER BY id % 3 = 0, own DESC, begins, id) AS r FROM d WINDOW w AS (PARTITION BY lower(brewery), base, lower(style), format_type, price)) WHERE r = 1",
     "dedup_first": _WITH + "SELECT min(id) AS id, brewery, beer_name, style FROM items GROUP BY ALL",

@@ -155,6 +155,8 @@ def merged_by_name(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "header_rows": lambda s, d: headers.by_score(varied(s, d)),
+    "header_rows_by_kind": lambda s, d: headers.by_kinds(varied(s, d)),
     "varied_headers": lambda s, d: headers.found(varied(s, d)).select("file_id", "header_row"),
     "varied_columns": varied_columns,
     "varied_ingest": varied_ingest,
@@ -171,6 +173,8 @@ _LISTS = f"WITH {bound.ITEMS}, lists AS (SELECT *, format('list-{{:06d}}', id //
 _ASSIGNED = " UNION ALL ".join(f"SELECT '{f}' AS field, {i} AS j" for i, f in enumerate(FIELDS))
 _STOCK = "CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN 'format_type' ELSE 'stock' END"
 ORACLES = {
+    "header_rows": _LISTS + "SELECT DISTINCT fid AS file_id, 'Пиво' AS sheet, (n % 5)::INT AS header_row FROM lists",
+    "header_rows_by_kind": _LISTS + "SELECT DISTINCT fid AS file_id, 'Пиво' AS sheet, (n % 5)::INT AS header_row FROM lists",
     "varied_headers": _LISTS + "SELECT DISTINCT fid AS file_id, (n % 5)::INT AS header_row FROM lists",
     "varied_columns": _LISTS + f", a AS ({_ASSIGNED}) SELECT DISTINCT fid AS file_id, field, ((j + n) % {N})::INT AS col_idx FROM lists, a",
     "varied_ingest": _LISTS + f"SELECT fid AS file_id, pos + 1 + n % 5 AS row_idx, brewery, beer_name, style, price::DECIMAL(10, 2)::DOUBLE AS price, currency, volume, format_type, true AS is_valid FROM lists WHERE {COUNTED}",

@@ -6,12 +6,14 @@ Parts are dealt over price lists of ``ROWS`` rows, so no file grows with the tab
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmalt.functions import normalize, numbers, packaging
+from sparkmalt.functions.text import clean_name
 from sparkmalt.operators import extract, headers, mapping, repair
 from sparkmalt.plans import bound, ingest
 from sparkmalt.sources import files, registry, xlsx
@@ -113,6 +115,34 @@ def repaired_rows(s: SparkSession, d: str) -> DataFrame:
     return repair.repaired(rows).select("id", "beer_name", F.length("description").alias("description_chars"), "brewery")
 
 
+def repair_rules(s: SparkSession, d: str) -> DataFrame:
+    """One row for each rule of repair, by id; in odd lists the brewery column holds names, and moves."""
+    i, n = F.col("id"), F.floor(F.col("id") / ROWS) % 2
+    name, none = F.col("beer_name"), F.lit(None).cast("string")
+    long = F.concat(F.lit("a long text, which says what it tastes of and why: much, too much, number "), i.cast("string"))
+    pick = lambda *v: F.when(n == 1, v[-1]).otherwise(reduce(lambda rest, k: F.when(i % 5 == k, v[k]).otherwise(rest), range(4, -1, -1), none))
+    rows = listed(s, d).withColumns(
+        {
+            "brewery": pick(F.col("brewery"), F.col("brewery"), F.lit("DUSK RED MOON"), F.col("brewery"), long, F.concat(F.lit("lot number "), i.cast("string"), F.lit(" of beer"))),
+            "description": pick(name, name, none, F.concat(name, F.lit("\n"), long), none, none),
+            "style": pick(F.col("style"), F.upper(name), F.col("style"), F.col("style"), F.col("style"), F.col("style")),
+            "beer_name": pick(none, F.lower(name), none, none, name, F.when(i % 3 > 0, name)),
+        }
+    )
+    return repair.repaired(rows).select("id", "brewery", "beer_name", "description")
+
+
+def cells_parted(s: SparkSession, d: str) -> DataFrame:
+    """Names with text or brewery in them, strengths, currencies and stock cells taken apart; labels without their marks; breweries that normalising would empty."""
+    i = F.col("id")
+    cell = F.when(i % 3 == 0, F.concat("beer_name", F.lit("\n first line \r\nsecond"))).when(i % 3 == 1, F.concat(F.lit('«Dusk» lot '), i.cast("string"))).otherwise(F.concat(F.lit("ALT HAUS (craft brewery) "), i.cast("string")))
+    parts = packaging.name_and_text(cell)
+    rows = bound.items(s, d).select("id", parts["name"].alias("name"), parts["text"].alias("text"), packaging.brewery_in_name(cell).alias("brewery"), normalize.abv(F.concat((i % 9).cast("string"), F.lit(",5 %"))).alias("abv"), normalize.currency(F.when(i % 2 == 0, " USD ").otherwise("usd 5")).alias("currency"))
+    stock = F.when(i % 2 == 0, "Цена за банку").otherwise("12")
+    label = clean_name(F.concat(F.lit("- "), F.col("name"), F.lit("  (Limited) ,")))
+    return rows.select("*", F.when(~packaging.is_price_heading(stock), stock).alias("stock"), label.alias("label"))
+
+
 def mapped(s: SparkSession, d: str) -> DataFrame:
     heads = headers.by_score(cells(s, d))
     return mapping.assigned(mapping.candidates(cells(s, d), heads)).select("file_id", "field", "col_idx")
@@ -138,8 +168,6 @@ QUERIES = {
     "xlsx_cells": lambda s, d: xlsx.product_sheets(xlsx.cells_of(workbooks(s, d))).groupBy("file_id").agg(F.count("*").alias("cells"), F.max("row_idx").alias("last_row")),
     "sheet_ingest": lambda s, d: item_fields(ingest.items(cells(s, d))),
     "grid_ingest": grid_ingest,
-    "header_rows": lambda s, d: headers.by_score(cells(s, d)),
-    "header_rows_by_kind": lambda s, d: headers.by_kinds(cells(s, d)),
     "column_assignment": mapped,
     "fuzzy_header_scores": lambda s, d: mapping.header_scores(misspelt(s, d)),
     "text_dump": lambda s, d: files.text_dump(cells(s, d)).select("file_id", "row_idx", "text"),
@@ -150,6 +178,8 @@ QUERIES = {
     "packaging_texts": packaging_texts,
     "names_split": names_split,
     "repaired_rows": repaired_rows,
+    "repair_rules": repair_rules,
+    "cells_parted": cells_parted,
     "file_kinds": file_kinds,
 }
 _LISTS = f"WITH {bound.ITEMS}, lists AS (SELECT *, format('list-{{:06d}}', id // {ROWS}) AS fid, (id % {ROWS})::INT + 1 AS row_idx FROM items) "
@@ -161,8 +191,6 @@ ORACLES = {
     "sheet_ingest": _ITEMS,
     "xlsx_cells": _LISTS + f"SELECT fid AS file_id, count(*) * {len(COLUMNS)} + {len(COLUMNS)} AS cells, max(row_idx) AS last_row FROM lists GROUP BY 1",
     "grid_ingest": _LISTS + "SELECT fid AS file_id, count(*) AS total_items, count(*) AS valid, 0::BIGINT AS invalid, 0::BIGINT AS total_errors, sum(CASE WHEN price < 50 * volume OR price > 10000 * volume THEN 1 ELSE 0 END)::BIGINT AS total_warnings FROM lists GROUP BY 1",
-    "header_rows": _LISTS + "SELECT DISTINCT fid AS file_id, 'Пиво' AS sheet, 0 AS header_row FROM lists",
-    "header_rows_by_kind": _LISTS + "SELECT DISTINCT fid AS file_id, 'Пиво' AS sheet, 0 AS header_row FROM lists",
     "column_assignment": _LISTS + f", a AS ({_ASSIGNED}) SELECT DISTINCT fid AS file_id, field, col_idx FROM lists, a",
     "text_dump": _LISTS + f"SELECT fid AS file_id, row_idx, concat_ws(' ', brewery, beer_name, style, price, volume::INT || ' л', format_type) AS text FROM lists UNION ALL SELECT DISTINCT fid, 0, '{' '.join(COLUMNS)}' FROM lists",
     "forward_fill": _GAPPY + "SELECT id, last_value(b IGNORE NULLS) OVER (PARTITION BY fid ORDER BY row_idx) AS brewery FROM g",
@@ -174,5 +202,12 @@ ORACLES = {
     "packaging_texts": f"WITH {bound.ITEMS} SELECT id, CASE id % 4 WHEN 0 THEN 'банка' WHEN 1 THEN 'кега' WHEN 2 THEN 'бутылка' END AS format_type, CASE id % 4 WHEN 0 THEN 0.45::DOUBLE WHEN 1 THEN 30.0 WHEN 2 THEN 0.5 ELSE 0.33 END AS volume, (id % 10) || '.5' AS abv, '30' AS ibu FROM items",
     "names_split": f"WITH {bound.ITEMS} SELECT id, CASE WHEN id % 2 = 1 THEN 'Brew' END AS brewery, CASE WHEN id % 2 = 1 THEN beer_name ELSE 'Brew2' || CASE id % 3 WHEN 0 THEN ' - ' WHEN 1 THEN '|' ELSE ' / ' END || beer_name END AS beer_name, brewery AS city_free, CASE WHEN id % 2 = 0 THEN 'кега' ELSE 'бутылка' END AS packaging FROM items",
     "repaired_rows": f"WITH {bound.ITEMS} SELECT id, beer_name, (length(beer_name) + 82)::INT AS description_chars, brewery FROM items",
+    "repair_rules": _LISTS + """, t AS (SELECT *, (id // 200) % 2 AS odd, 'a long text, which says what it tastes of and why: much, too much, number ' || id AS long FROM lists)
+      SELECT id, CASE WHEN odd = 1 THEN CASE WHEN id % 3 > 0 THEN 'lot number ' || id || ' of beer' ELSE '' END ELSE CASE id % 5 WHEN 2 THEN 'DUSK' WHEN 4 THEN '' ELSE brewery END END AS brewery,
+        CASE WHEN odd = 1 THEN CASE WHEN id % 3 > 0 THEN beer_name ELSE 'lot number ' || id || ' of beer' END ELSE CASE id % 5 WHEN 2 THEN 'RED MOON' ELSE beer_name END END AS beer_name,
+        CASE WHEN odd = 1 THEN '' ELSE CASE id % 5 WHEN 0 THEN beer_name WHEN 1 THEN beer_name WHEN 3 THEN long ELSE '' END END AS description FROM t""",
+    "cells_parted": f"""WITH {bound.ITEMS}, n AS (SELECT id, CASE id % 3 WHEN 0 THEN beer_name WHEN 1 THEN '«Dusk» lot ' || id ELSE 'ALT HAUS (craft brewery) ' || id END AS name FROM items)
+      SELECT id, name, CASE WHEN id % 3 = 0 THEN 'first line second' ELSE '' END AS text, CASE id % 3 WHEN 1 THEN 'Dusk' WHEN 2 THEN 'ALT HAUS' END AS brewery, (id % 9) + 0.5::DOUBLE AS abv,
+        CASE WHEN id % 2 = 0 THEN 'USD' ELSE 'RUB' END AS currency, CASE WHEN id % 2 = 1 THEN '12' END AS stock, name AS label FROM n""",
     "file_kinds": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'excel' WHEN 2 THEN 'zip' END AS kind, 'https://docs.google.com/spreadsheets/d/k' || page_id || '/export?format=csv&gid=' || (page_id % 5) AS csv, page_id % 4 = 0 AND starts_with(page_id::VARCHAR, '1') AS matched FROM pages",
 }

@@ -33,9 +33,9 @@ def classified(s: SparkSession, d: str) -> DataFrame:
 
 
 def sessions(s: SparkSession, d: str) -> DataFrame:
-    """Text lines grouped into blocks, each opened by a line that begins with a capital 'E'."""
-    lines = extract.lines_of(_docs(s, d), "doc_id", "text")
-    out = extract.sessions(lines, F.col("text").startswith("E"), ["doc_id"], "line")
+    """Text lines grouped into blocks, each opened by a line that begins with a capital 'E' and closed by a blank line."""
+    lines = extract.lines_of(_docs(s, d), "doc_id", "text", blank=True)
+    out = extract.sessions(lines, F.col("text").startswith("E"), ["doc_id"], "line", F.trim("text") == "")
     return out.groupBy("doc_id", "session").agg(F.count("*").alias("lines"), F.min_by("text", "line").alias("opening"))
 
 
@@ -65,6 +65,7 @@ ORACLES = {
       SELECT (n <> '' OR b <> '' OR p <> '') AND NOT (b <> '' AND n = '' AND p = '' AND s = '') AND n <> 'Наличие' AND length(n) NOT BETWEEN 1 AND 2 AS is_product,
         count(*) AS rows, sum(length(array_to_string(list_filter([b, n, s, p], lambda x: x <> ''), ' ')))::BIGINT AS chars FROM r GROUP BY 1""",
     "line_sessions": """WITH l AS (SELECT doc_id, unnest(range(len(p)))::INT AS line, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
-        f AS (SELECT * FROM l WHERE trim(text) <> ''), s AS (SELECT *, count(CASE WHEN starts_with(text, 'E') THEN 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS session FROM f)
-      SELECT doc_id, session, count(*) AS lines, arg_min(text, line) AS opening FROM s WHERE session > 0 GROUP BY 1, 2""",
+        s AS (SELECT *, count(CASE WHEN starts_with(text, 'E') THEN 1 END) OVER w AS session, last_value(CASE WHEN starts_with(text, 'E') THEN 1 WHEN trim(text) = '' THEN 0 END IGNORE NULLS) OVER w AS opened
+          FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line))
+      SELECT doc_id, session, count(*) AS lines, arg_min(text, line) AS opening FROM s WHERE session > 0 AND opened = 1 GROUP BY 1, 2""",
 }

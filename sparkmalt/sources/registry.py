@@ -20,7 +20,8 @@ FIELDS: dict[str, list[str]] = {
     "supplier_name": ["поставщик", "supplier", "компания", "компания-поставщик"],
     "description": ["описание", "description", "опис", "desc", "комментарий", "comment", "примечание"],
 }
-HEADINGS = ["наименование пивоварни", "пивоварня", "производитель", "brewery", "manufacturer", "бренд", "brand", "марка", "название", "пиво", "beer", "name", "наименование", "товар", "цена", "price"]
+# The first words that the older heading rule looks for: fixed values.
+HEADINGS = ["наименование пивоварни", "пивоварня", "производитель", "brewery", "manufacturer", "бренд", "brand", "марка", "название", "пиво"]
 LAYERS = ["global", "supplier", "exact_file", "manual"]
 WEIGHTS = {"manual": 1.5, "exact_file": 1.35, "supplier": 1.35, "global": 1.35}
 
