@@ -90,11 +90,14 @@ def bare(s: SparkSession, d: str) -> DataFrame:
 
 
 def ruled(s: SparkSession, d: str) -> DataFrame:
-    """(file_id, field, col_idx) by the rules of headings and contents: stock columns that hold prices, packaging, or what they should, and headings in place of each other."""
+    """(file_id, field, col_idx) by the rules of headings and contents: stock columns that hold prices, packaging, or what they should, and stock beside packaging.
+
+    'мало' has the sign of litres in it, so without a packaging column it stands for both.
+    """
     n, at = F.col("list"), F.col("at")
     price = (F.col("id") % 900 + 50).cast("string")
     third = F.when(n % 4 == 0, price).when(n % 4 == 1, F.when(at % 2 == 0, "банка").otherwise("кег")).otherwise(F.when(at % 2 == 0, "много").otherwise("мало"))
-    heading = F.array(F.lit("Пивоварня"), F.lit("Наименование товара"), F.lit("Цена"), F.when(n % 4 == 3, "Наличие / формат").otherwise("Остаток"), F.when(n % 4 == 3, "Тип тары").otherwise("Описание"))
+    heading = F.array(F.lit("Пивоварня"), F.lit("Наименование товара"), F.lit("Цена"), F.when(n % 4 == 3, "Наличие").otherwise("Остаток"), F.when(n % 4 == 3, "Тип тары").otherwise("Описание"))
     last = F.when(n % 4 == 3, F.when(at % 2 == 0, "банка").otherwise("кег")).otherwise(F.concat(F.lit("вкус и аромат, насыщенный и яркий, номер "), F.col("id").cast("string")))
     rows = numbered(s, d).withColumn("values", F.array(F.upper("brewery"), F.concat(F.lit("lot "), F.col("id").cast("string"), F.lit(" of the year and the day")), price, third, last))
     cells = spread(rows, heading, F.lit(0), F.lit(5))
@@ -114,8 +117,8 @@ def supplier_kinds(s: SparkSession, d: str) -> DataFrame:
     """(file_id, kind, name) of lists with one brewery, with several, with a brewery in the names, and with nothing but a file name."""
     n, at = F.col("list"), F.col("at")
     first = F.when(n % 4 == 0, F.concat(F.lit("House "), n.cast("string"))).when(n % 4 == 1, F.col("brewery")).when(n % 4 == 2, F.concat(F.lit('"Dusk'), F.lit('" lot of the year '), F.col("id").cast("string"))).otherwise(F.concat(F.lit("lot"), at.cast("string"), F.lit(" of the year and day")))
-    heading = F.array(F.when(n % 4 < 2, "Пивоварня").otherwise("Название"), F.lit("Цена"))
-    rows = numbered(s, d).withColumns({"file_id": F.concat(F.when(n % 8 == 3, "Прайс ").otherwise("lot "), F.col("file_id"), F.lit(".xlsx")), "values": F.array(first, F.lit("100"))}).withColumn("list", F.lit(0))
+    heading = F.array(F.when(F.col("n") % 4 < 2, "Пивоварня").otherwise("Название"), F.lit("Цена"))
+    rows = numbered(s, d).withColumns({"n": n, "file_id": F.concat(F.when(n % 8 == 3, "Прайс ").otherwise("lot "), F.col("file_id"), F.lit(".xlsx")), "values": F.array(first, F.lit("100"))}).withColumn("list", F.lit(0))
     cells = spread(rows, heading, F.lit(0), F.lit(2))
     found = rules.with_supplier(rules.profiles(cells, headers.found(cells)))
     return found.select("file_id", "supplier.kind", "supplier.name")
@@ -182,7 +185,7 @@ ORACLES = {
     "multi_price_ingest": _LISTS + """, p AS (SELECT fid AS file_id, pos + 1 AS row_idx, beer_name, floor(price)::DOUBLE AS price, 'банка' AS format_type, 0.33::DOUBLE AS volume FROM lists WHERE pos % 3 > 0
         UNION ALL SELECT fid, pos + 1, beer_name, floor(price * 10)::DOUBLE, 'кег', 20.0 FROM lists WHERE pos % 2 > 0) SELECT * FROM p""",
     "rule_columns": _LISTS
-    + f"""SELECT DISTINCT fid AS file_id, field, ((j + n) % 5)::INT AS col_idx FROM (SELECT fid, n, unnest(['brewery', 'beer_name', 'price', {_STOCK}, CASE WHEN n % 4 = 3 THEN 'format_type' ELSE 'description' END]) AS field, unnest([0, 1, 2, 3, 4]) AS j FROM lists) WHERE field IS NOT NULL""",
+    + f"""SELECT DISTINCT fid AS file_id, field, ((j + n) % 5)::INT AS col_idx FROM (SELECT fid, n, unnest(['brewery', 'beer_name', 'price', {_STOCK}, CASE WHEN n % 4 = 3 THEN 'format_type' ELSE 'description' END, CASE WHEN n % 4 = 2 THEN 'format_type' END]) AS field, unnest([0, 1, 2, 3, 4, 3]) AS j FROM lists) WHERE field IS NOT NULL""",
     "guessed_columns": _LISTS + "SELECT DISTINCT fid AS file_id, -1 AS header_row, field, ((j + n) % 2)::INT AS col_idx FROM (SELECT fid, n, unnest(['beer_name', 'price']) AS field, unnest([0, 1]) AS j FROM lists)",
     "supplier_kinds": _LISTS
     + """, b AS (SELECT n, fid, count(DISTINCT brewery) AS breweries FROM (SELECT * FROM lists WHERE pos < 20) GROUP BY ALL)
