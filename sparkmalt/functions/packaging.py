@@ -104,3 +104,20 @@ def is_code(name: Column, description: Column) -> Column:
     """A register code for a name, without a real name in the description."""
     real = clean(description).contains(":") & clean(description).rlike("[a-zA-Z]{3,}")
     return clean(name).rlike(CODE) & ~real
+
+
+def in_text(format_type: Column, volume: Column, name: Column, description: Column) -> Column:
+    """Struct (format_type, volume): what is missing, from a product's name and text; a can has its usual volume."""
+    t = F.lower(F.concat(clean(name), F.lit(" "), clean(description)))
+    spoken = F.when(t.contains("банка") | t.contains("can"), "банка").when(t.contains("бутылка") | t.contains("bottle"), "бутылка")
+    bare = clean(format_type) == ""
+    form = F.when(bare, spoken).otherwise(clean(format_type))
+    named = number(F.regexp_extract(t, r"(\d+[.,]?\d*)\s*л", 1))
+    litres_ = F.coalesce(F.when(bare & (named > 0), named), volume.cast("double"), F.when(F.lower(form).rlike("банка|can"), F.lit(DEFAULT_CAN_LITRES)))
+    return F.struct(form.alias("format_type"), litres_.alias("volume"))
+
+
+def bucket(format_type: Column) -> Column:
+    """The tab of a brewery's list that a packaging belongs to: cans and bottles, kegs, or the rest."""
+    f = F.lower(clean(format_type))
+    return F.when(f.rlike("банка|банки|бутылка|bottle|can|коробка"), "Банки").when(f.rlike("кег|keg|разлив") | (f.rlike(r"\d+\s*л") & ~f.contains("шт")), "Кеги").otherwise("Прочее")

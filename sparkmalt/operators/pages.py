@@ -6,6 +6,8 @@ is which field and which columns hold prices; these facts are joined to all rows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -235,6 +237,29 @@ def products(grid: DataFrame) -> DataFrame:
     )
 
 
+def cards(grid: DataFrame) -> DataFrame:
+    """(file_id, page, table, column, beer_name, style, abv) of tables whose columns are products and whose few rows are their fields.
+
+    The last cell of a row may say what the row holds; else the first row with
+    long texts has the names, the first with a style's word the styles, the
+    first with a percent sign the strengths; else they are the first three.
+    """
+    top = grid.where(F.col("row") < TOP_ROWS).groupBy(*TABLE).agg(F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("rows")).where(F.size("rows") >= 2)
+    label = lambda r: F.lower(one_line(F.element_at(r["cells"], -1)))
+    near = lambda r: F.transform(F.slice(r["cells"], 1, 5), one_line)
+    said = lambda words: F.get(F.filter("rows", lambda r: label(r).isin(words)), F.lit(0))["row"]
+    seen = lambda test, *not_in: F.get(F.filter("rows", lambda r: F.exists(near(r), test) & reduce(lambda a, b: a & b, [~r["row"].eqNullSafe(F.col(x)) for x in not_in], F.lit(True))), F.lit(0))["row"]
+    out = settled(top, {"names_at": F.coalesce(said(["название", "наименование", "name"]), seen(lambda x: F.length(x) > 15), F.lit(0))})
+    out = settled(out, {"styles_at": F.coalesce(said(["стиль", "style", "с/п/пь"]), seen(lambda x: F.lower(x).rlike("porter|ale|ipa|gose|stout|pilsner|sour"), "names_at"), F.lit(1))})
+    out = settled(out, {"abv_at": F.coalesce(said(["ттх", "ttx", "abv", "ттx"]), seen(lambda x: F.lower(x).rlike("%|abv"), "names_at", "styles_at"), F.lit(2))})
+    row_at = lambda c: F.get(F.filter("rows", lambda r: r["row"] == F.col(c)), F.lit(0))["cells"]
+    out = settled(out, {"n": row_at("names_at"), "s": row_at("styles_at"), "a": row_at("abv_at")})
+    one = out.select(*TABLE, F.posexplode("n").alias("column", "name"), "s", "a")
+    name = F.trim(F.regexp_replace(one_line(F.col("name")), r"(?i)^\(NEW\)\s*", ""))
+    found_ = one.select(*TABLE, "column", name.alias("beer_name"), F.nullif(one_line(F.get("s", "column")), F.lit("")).alias("style"), found(one_line(F.get("a", "column")), r"(\d+\.?\d*)\s*%").alias("abv"))
+    return found_.where(valid_name(F.col("beer_name")) & ~F.lower("beer_name").isin(FIRST_CELL_HEADINGS))
+
+
 def line_products(lines: DataFrame, brewery: Column | None = None) -> DataFrame:
     """``lines`` (with ``text``) that read 'NAME STYLE 5.5%', with beer_name, style, abv, and the brewery if the name holds it."""
     t = F.trim("text")

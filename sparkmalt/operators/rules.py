@@ -40,6 +40,9 @@ NO_BREWERY = ["ipa", "ale", "lager", "stout", "porter", "pilsner", "wheat", "sou
 QUOTED = r'["“”«»]([A-ZА-ЯЁ][A-ZА-ЯЁa-zа-яё\s]{1,30}?)["“”«»]'
 CAPITALS = [r"^([A-ZА-ЯЁ][A-ZА-ЯЁ\s]+?)\s*\(", r"^([A-ZА-ЯЁ][A-ZА-ЯЁ\s]{2,50}?)(?:\s+[a-zа-яё]|\s*\(|\s*$)", r"^([A-ZА-ЯЁ][A-ZА-ЯЁ]{2,30})\s+"]
 
+STYLE_ENDINGS = r"(?iu)\b(ipa|ale|lager|stout|porter|pilsner|altbier|sour|gose|weisse?|wheat)\s*$|\b(imperial\s+|double\s+ipa|pale\s+ale|amber\s+ale|blonde\s+ale|red\s+ale|brown\s+ale|black\s+ipa|white\s+ipa|new\s+england\s+ipa|berliner\s+weisse)|(?<!\p{L})(витбир|лагер|эль|стаут|портер)\s*$"
+LONG_TEXT_WORDS = ["вкус", "аромат", "насыщенный", "сочный", "обусловлен", "использованием", "taste", "aroma", "flavor", "due to", "combination with"]
+
 
 def pattern(words: list[str]) -> str:
     return "|".join(map(re.escape, words))
@@ -405,3 +408,36 @@ def mapped(sheets: DataFrame, own: str | None = None) -> DataFrame:
     rows = settled(rows, {"mapping": F.when(has(m, "beer_name") & has(m, "price"), m).otherwise(filled(m, cols))})
     return settled(rows, {"mapping": format_repaired(m, cols)}).drop("by_header")
 
+
+def style_only(values: Column) -> Column:
+    """Texts that are styles and no names: short ones without colons, half of them with a style's ending."""
+    n = F.size(values)
+    short = F.size(F.filter(values, lambda x: F.length(x) <= 55))
+    colons = F.size(F.filter(values, lambda x: x.contains(":")))
+    styles = F.size(F.filter(values, lambda x: x.rlike(STYLE_ENDINGS)))
+    return (n >= 2) & (short >= 0.5 * n) & (colons < 0.4 * n) & (styles >= 0.5 * n)
+
+
+def names_told_from_texts(m: Column, columns: Column) -> Column:
+    """A name column of long texts becomes the description, and an unused column of short texts the name; a column headed as the name stays."""
+    c = column_at(columns, at(m, "beer_name"))
+    headed = (c["header"] == "название") | (c["header"].contains("наименование") & ~c["header"].contains("пивоварни"))
+    text = (c["length"] > 100) | ((c["length"] > 60) & mentions(c["five_text"], LONG_TEXT_WORDS))
+    barred = lambda h: h.contains("описание") | h.contains("стиль") | h.isin("description", "style")
+    other = first_column(columns, lambda o: (o["col_idx"] < 12) & ~used(m, o) & ~barred(o["header"]) & (F.size(o["values"]) >= 2) & o["length"].between(3, 100))
+    moved = put(put(m, "description", at(m, "beer_name")), "beer_name", other)
+    return F.when(F.coalesce(text & ~headed, F.lit(False)), moved).otherwise(m)
+
+
+def generic(columns: Column) -> Column:
+    """The last resort: the first column of prices, of texts, and of long texts."""
+
+    def one(m: Column, c: Column) -> Column:
+        numbers = F.filter(F.transform(c["all_values"], number), lambda x: (x > 0) & (x < 1e7))
+        n = F.size(c["all_values"])
+        numeric = F.size(numbers) >= 0.4 * n
+        price = numeric & F.array_max(numbers).between(1, 100_000) & ((mean_of(numbers) > 30) | (F.array_max(numbers) > 100))
+        field = F.when(F.coalesce(price, F.lit(False)), "price").when(~numeric & (c["length"] >= 120), "description").when(~numeric & (c["length"] >= 5), "beer_name")
+        return F.when((n >= 2) & field.isNotNull() & ~has(m, field), put(m, field, c["col_idx"])).otherwise(m)
+
+    return F.aggregate(columns, nothing(), one)

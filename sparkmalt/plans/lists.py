@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmalt.functions import packaging
 from sparkmalt.operators import extract, headers, mapping, pages, rules
 from sparkmalt.plans import bound, ingest, sheets
 
@@ -150,6 +151,43 @@ def page_lines(s: SparkSession, d: str) -> DataFrame:
     return pages.brewery_filled(found, suppliers).select("id", "beer_name", "style", "abv", F.nullif("brewery", F.lit("")).alias("brewery"))
 
 
+def card_products(s: SparkSession, d: str) -> DataFrame:
+    """Tables of five products side by side; in every third table the rows say what they are, in others their contents do."""
+    i, t = F.col("id"), F.floor(F.col("id") / 5)
+    cards = numbered(s, d).groupBy("file_id", t.cast("int").alias("table")).agg(F.sort_array(F.collect_list(F.struct("id", F.concat(F.when(i % 2 == 0, "(NEW) ").otherwise(""), F.lit("Dusk card number "), i.cast("string")).alias("name"), F.when(i % 4 == 0, "Baltic Porter").otherwise("Gose").alias("style"), F.concat((i % 9 + 3).cast("string"), F.lit(".5%ABV")).alias("abv")))).alias("c"))
+    told = lambda word: F.when(F.col("table") % 3 == 0, F.array(F.lit(word))).otherwise(F.array().cast("array<string>"))
+    rows = F.array(*[F.struct(F.lit(k).alias("row"), F.concat(F.col(f"c.{f}"), told(w)).alias("cells")) for k, (f, w) in enumerate((("abv", "ТТХ"), ("name", "Название"), ("style", "Стиль")))])
+    grid = cards.select("file_id", F.lit(1).alias("page"), "table", F.explode(rows).alias("r")).select("file_id", "page", "table", "r.row", "r.cells")
+    return pages.cards(grid).select("table", "column", "beer_name", "style", "abv")
+
+
+def formats_in_text(s: SparkSession, d: str) -> DataFrame:
+    """Packaging and volume from names and texts where they are missing, and the tab that each product belongs to."""
+    i = F.col("id")
+    form = F.when(i % 5 == 0, "кег 30 л").when(i % 5 == 1, "коробка").when(i % 5 == 2, "20 л")
+    text = F.when(i % 4 == 0, "в бутылка 0,75 л").when(i % 4 == 1, "a can").when(i % 4 == 2, "без тары")
+    of = packaging.in_text(form, F.when(i % 5 == 2, 20), F.concat(F.lit("lot "), i.cast("string")), text)
+    return bound.items(s, d).select("id", of["format_type"].alias("format_type"), of["volume"].alias("volume"), packaging.bucket(of["format_type"]).alias("tab"))
+
+
+def doubtful_names(s: SparkSession, d: str) -> DataFrame:
+    """Lists in which the name column holds long texts or nothing but styles, and what the last resort makes of them."""
+    n, i = F.col("list"), F.col("id")
+    long = F.concat(F.lit("вкус и аромат хмеля, насыщенный и сочный, обусловлен использованием солода, номер "), i.cast("string"))
+    first = F.when(n % 2 == 0, F.when(i % 2 == 0, "Session Ale").otherwise("Black IPA")).otherwise(long)
+    rows = numbered(s, d).withColumn("values", F.array(first, F.concat(F.lit("lot "), F.upper("beer_name")), (i % 900 + 50).cast("string")))
+    cells = spread(rows, F.array(*map(F.lit, ["Wert A", "Wert B", "Wert C"])), F.lit(0), F.lit(3))
+    seen = rules.profiles(cells, headers.found(cells))
+    at = (n % 3).cast("int")
+    lists = numbered(s, d).where("at = 0").select("file_id", at.alias("place"))
+    told = seen.join(lists, "file_id").withColumn("m", F.create_map(F.lit("beer_name"), F.col("place")))
+    moved = rules.names_told_from_texts(F.col("m"), F.col("columns"))
+    last = rules.generic(F.col("columns"))
+    styles = rules.style_only(rules.column_at(F.col("columns"), F.col("place"))["values"])
+    field = lambda m, f: rules.at(m, f)
+    return told.select("file_id", styles.alias("style_only"), field(moved, "beer_name").alias("name_at"), field(moved, "description").alias("text_at"), field(last, "price").alias("price_at"))
+
+
 def merged_by_name(s: SparkSession, d: str) -> DataFrame:
     """Rows of tables and text lines with the same names, merged in each file; the same names stand in several files."""
     i = F.col("id")
@@ -171,6 +209,9 @@ QUERIES = {
     "page_products": page_products,
     "page_lines": page_lines,
     "merged_by_name": merged_by_name,
+    "card_products": card_products,
+    "formats_in_text": formats_in_text,
+    "doubtful_names": doubtful_names,
 }
 _LISTS = f"WITH {bound.ITEMS}, lists AS (SELECT *, format('list-{{:06d}}', id // {sheets.ROWS}) AS fid, (id // {sheets.ROWS})::INT AS n, (id % {sheets.ROWS})::INT AS pos FROM items) "
 _ASSIGNED = " UNION ALL ".join(f"SELECT '{f}' AS field, {i} AS j" for i, f in enumerate(FIELDS))
@@ -199,6 +240,13 @@ ORACLES = {
     "page_lines": _LISTS
     + """SELECT id, CASE id % 3 WHEN 0 THEN 'Lot' || id ELSE 'House Red' || id END AS beer_name, CASE id % 3 WHEN 0 THEN 'Smoked Porter' ELSE 'Session Ale' END AS style,
         CASE id % 3 WHEN 0 THEN (id % 9 + 1) || '.5' ELSE '4' END AS abv, CASE WHEN id % 3 = 1 THEN 'House' WHEN n % 2 = 0 THEN 'Dusk' END AS brewery FROM lists WHERE id % 3 < 2""",
+    "card_products": _LISTS + "SELECT (id // 5)::INT AS table, (id % 5)::INT AS column, 'Dusk card number ' || id AS beer_name, CASE WHEN id % 4 = 0 THEN 'Baltic Porter' ELSE 'Gose' END AS style, (id % 9 + 3) || '.5' AS abv FROM lists",
+    "formats_in_text": _LISTS
+    + """, f AS (SELECT id, CASE id % 5 WHEN 0 THEN 'кег 30 л' WHEN 1 THEN 'коробка' WHEN 2 THEN '20 л' ELSE CASE id % 4 WHEN 0 THEN 'бутылка' WHEN 1 THEN 'банка' END END AS format_type FROM items)
+        SELECT id, format_type, CASE WHEN id % 5 = 2 THEN 20.0 WHEN id % 5 > 2 AND id % 4 = 0 THEN 0.75 WHEN format_type = 'банка' THEN 0.45 END::DOUBLE AS volume,
+          CASE WHEN format_type IN ('коробка', 'бутылка', 'банка') THEN 'Банки' WHEN format_type IS NULL THEN 'Прочее' ELSE 'Кеги' END AS tab FROM f""",
+    "doubtful_names": _LISTS
+    + """SELECT DISTINCT fid AS file_id, n % 2 = 0 AS style_only, CASE WHEN n % 2 = 1 THEN (SELECT min((j + n) % 3) FROM range(1, 3) r(j))::INT ELSE (n % 3)::INT END AS name_at, CASE WHEN n % 2 = 1 THEN (n % 3)::INT END AS text_at, ((2 + n) % 3)::INT AS price_at FROM lists""",
     "merged_by_name": _LISTS
     + """SELECT id, fid AS file_id, 'Lot ' || (pos % 40) AS beer_name FROM lists
         QUALIFY row_number() OVER (PARTITION BY fid, pos % 40 ORDER BY (id % 2 = 0)::INT + (id % 3 = 0)::INT + (id % 5 = 0)::INT + (id % 7 = 0)::INT DESC, id) = 1""",
