@@ -1,10 +1,12 @@
 """Benchmark decontamination: BM25 over the test items, block-max WAND, overlap check.
 
 The test items are the indexed side. Impacts are BM25 scores divided by the
-item's score for its own text, so one threshold serves all items. Every training
-document is cut into overlapping passages, each twice as long as the longest
-item, half a passage apart, so an item lies whole in one of them. A passage goes
-through three steps: a bound from the items' rarest terms, over arrays, says
+item's score for its own text, so one threshold serves all items. Items are
+indexed by classes of length, and every training document is cut into
+overlapping passages for each class, each twice as long as the class's longest
+item, half a passage apart, so an item lies whole in one of them, and a long
+item doesn't make the passages of short ones long. A passage goes through three
+steps: a bound from the items' rarest terms, over arrays, says
 whether any item can reach the threshold; block-max WAND retrieves all items
 that do; and an item counts if enough word triples of its question and of its
 answer stand in the passage. The answer of an item is its last sentence (its
@@ -29,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sparkmalt.llm.store import written
-from sparkmalt.llm.words import chunks
+from sparkmalt.llm.store import spare, written
+from sparkmalt.llm.words import chunks, per_text
 
 BLOCK_BYTES = 32 << 20
 THRESHOLD, OVERLAP = 0.5, 0.6
 K1, B = 1.2, 0.75
 POSTINGS = 32  # per block of a posting list
 SHORTEST = 32  # words of the shortest passage step
+CLASS_WORDS = 64  # of the longest items of the first class of length
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCH = "array<struct<item:{},score:double,question:double,answer:double,word:int>>"
 
@@ -85,16 +89,32 @@ class Corpus:
 
     n: int
     words: int
-    longest: int
+    longest: dict[int, int]  # by class of length
     df: dict[bytes, int]  # of the terms that are asked for
 
 
-def build(rows: list[tuple], threshold: float, corpus: Corpus | None = None) -> Index:
-    """An index of items (id, text), a block of the items of ``corpus`` or else all there are; items without words are left out."""
+def length_class(n: int) -> int:
+    """0 up to CLASS_WORDS words, then one class for each fourfold length."""
+    c = 0
+    while n > CLASS_WORDS * 4**c:
+        c += 1
+    return c
+
+
+def indexes(rows: list[tuple], threshold: float, corpus: Corpus | None = None) -> list[Index]:
+    """Indexes of items (id, text) by class of length, a block of the items of ``corpus`` or else all there are; items without words are left out."""
     kept = [(i, t, terms(t.encode())) for i, t in rows if t and terms(t.encode())]
+    classes: dict[int, list[tuple]] = {}
+    for row in kept:
+        classes.setdefault(length_class(len(row[2])), []).append(row)
     if corpus is None:
-        corpus = Corpus(len(kept), sum(len(w) for _, _, w in kept), max([0, *(len(w) for _, _, w in kept)]), Counter(w for _, _, words in kept for w in set(words)))
-    out = Index([i for i, _, _ in kept], max(SHORTEST, corpus.longest))
+        corpus = Corpus(len(kept), sum(len(w) for _, _, w in kept), {c: max(len(w) for _, _, w in found) for c, found in classes.items()}, Counter(w for _, _, words in kept for w in set(words)))
+    return [build(found, threshold, corpus, corpus.longest[c]) for c, found in sorted(classes.items())]
+
+
+def build(kept: list[tuple], threshold: float, corpus: Corpus, longest: int) -> Index:
+    """An index of items (id, text, terms)."""
+    out = Index([i for i, _, _ in kept], max(SHORTEST, longest))
     n, mean, df = corpus.n, corpus.words / max(corpus.n, 1), corpus.df
     lists: dict[bytes, list[tuple[int, float]]] = {}
     out.left = np.zeros(len(kept))
@@ -192,16 +212,22 @@ def candidates(index: Index, ids: np.ndarray, passage: np.ndarray, threshold: fl
     return np.unique(keys[new][bound >= threshold - 1e-9] // n)
 
 
-def matches(index: Index, texts: list[bytes], threshold: float, overlap: float) -> list[list[dict]]:
+def matches(of: list[Index], texts: list[bytes], threshold: float, overlap: float) -> list[list[dict]]:
     """Verified items of each text, each once with its best passage."""
     words = [terms(t) for t in texts]
+    out: list[list[dict]] = [[] for _ in texts]
+    for index in of:
+        add_matches(index, words, threshold, overlap, out)
+    return out
+
+
+def add_matches(index: Index, words: list[list[bytes]], threshold: float, overlap: float, out: list[list[dict]]) -> None:
     step = index.step
     # a text's passages are numbered on from those of the texts before it; the first half of each text is a passage of its own
     halves = np.array([(len(w) + step - 1) // step + 1 for w in words])
     base = np.concatenate(([0], np.cumsum(halves)))
     ids = np.fromiter((t for w in words for t in map(index.vocabulary.get, w, repeat(-1))), dtype=np.int64, count=sum(map(len, words)))
     half = np.concatenate([base[i] + np.arange(len(w)) // step for i, w in enumerate(words)]) if len(ids) else ids
-    out: list[list[dict]] = [[] for _ in texts]
     # passage p holds the halves p - 1 and p
     for p in candidates(index, np.concatenate((ids, ids)), np.concatenate((half, half + 1)), threshold).tolist():
         i = int(np.searchsorted(base, p, side="right")) - 1
@@ -221,25 +247,24 @@ def matches(index: Index, texts: list[bytes], threshold: float, overlap: float)
                     out[i].append(row)
                 elif (question + answer, score) > (same["question"] + same["answer"], same["score"]):
                     same.update(row)
-    return out
 
 
 def item_terms(items: DataFrame, item: str, text: str, blocks: int) -> DataFrame:
-    """(block, size, term): a row per item that has words, with their number, and one per distinct word of an item."""
+    """(block, class, size, term): a row per item that has words, with their number and its class, and one per distinct word of an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, _, texts in chunks(batch.column(1)):
                 block = batch.column(0).slice(begin, len(texts)).to_pylist()
                 words = [terms(t) for t in texts]
-                out = [x for b, w in zip(block, words, strict=True) if w for x in [(b, len(w), None), *((b, None, t) for t in set(w))]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["block", "size", "term"])
+                out = [x for b, w in zip(block, words, strict=True) if w for x in [(b, length_class(len(w)), len(w), None), *((b, None, None, t) for t in set(w))]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "class", "size", "term"])
 
-    return items.select(block_of(item, blocks).alias("block"), F.col(text).alias("text")).mapInArrow(run, "block int, size long, term binary")
+    return items.select(block_of(item, text, blocks).alias("block"), F.col(text).alias("text")).mapInArrow(run, "block int, class int, size long, term binary")
 
 
-def block_of(item: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")
+def block_of(item: str, text: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(item, text), F.lit(blocks)).cast("int")
 
 
 def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "matches", threshold: float = THRESHOLD, overlap: float = OVERLAP, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
@@ -255,30 +280,29 @@ def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     kept = [c for c in (docs.columns if carry is None else carry) if c != out]
     kind = items.schema[item].dataType
     entry = T._parse_datatype_string(MATCH.format(kind.simpleString()))
-    arrow = pa.list_(pa.struct([("item", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("word", pa.int32())]))
+    arrow = to_arrow_type(entry)
     total = items.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    done = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"), F.array().cast(entry).alias("__found"))
+    text_, found_ = spare(docs, "whole_text"), spare(docs, "found")
+    done = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(text_))
     if blocks > 1:
         told = written(item_terms(items, item, item_text, blocks), "item-terms")
-        whole = told.agg(F.count("size").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.coalesce(F.max("size"), F.lit(0)).alias("longest")).first()
+        # a row per class of length
+        sizes = told.where("size IS NOT NULL").groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("size").alias("longest")).collect()
+        whole = (sum(r["n"] for r in sizes), sum(r["words"] for r in sizes), {r["class"]: r["longest"] for r in sizes})
         # a term's frequency over all items, in the blocks that have the term
         df = told.where("term IS NOT NULL").groupBy("block", "term").agg(F.count("*").alias("df"))
         df = written(df.join(df.groupBy("term").agg(F.sum("df").alias("all")), "term").select("block", "term", "all"), "item-frequencies")
     for b in range(blocks):
-        part = items.where(block_of(item, blocks) == b).select(item, item_text)
-        corpus = Corpus(whole["n"], whole["words"], whole["longest"], {bytes(r["term"]): r["all"] for r in df.where(F.col("block") == b).collect()}) if blocks > 1 else None
-        shared = spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], threshold, corpus))  # at most about block_bytes of text
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for begin, stop, texts in chunks(batch.column(len(kept))):
-                    before = batch.column(len(kept) + 1).slice(begin, stop - begin).to_pylist()
-                    found = matches(index, texts, threshold, overlap) if index.items else [[]] * len(texts)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, stop - begin) for i in range(len(kept) + 1)), pa.array([a + c for a, c in zip(before, found, strict=True)], arrow)], names=[*kept, "__text", "__found"])
-
-        done = done.mapInArrow(run, done.schema)
+        part = items.where(block_of(item, item_text, blocks) == b).select(item, item_text)
+        corpus = Corpus(*whole, {bytes(r["term"]): r["all"] for r in df.where(F.col("block") == b).collect()}) if blocks > 1 else None
+        shared = spark.sparkContext.broadcast(indexes([tuple(r) for r in part.collect()], threshold, corpus))  # at most about block_bytes of text
+
+        def judge(texts: list[bytes], shared=shared) -> pa.Array:
+            return pa.array(matches(shared.value, texts, threshold, overlap), arrow)
+
+        found = per_text(spark, judge, entry)(F.col(text_))
+        done = done.select(*[F.col(f"`{c}`") for c in kept], text_, (F.concat(found_, found) if b else found).alias(found_))
         if b + 1 < blocks:
             done = written(done, "contaminated")
-    return done.select(*[F.col(f"`{c}`") for c in kept], F.col("__found").alias(out))
+    return done.select(*[F.col(f"`{c}`") for c in kept], F.col(found_).alias(out))

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -27,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmalt.llm.words import chunks
+from sparkmalt.llm.store import spare
+from sparkmalt.llm.words import per_text
 
 MARK = "▁"
-MEMO = 600_000
+MEMO = 300_000  # cuts in the newer half of the memory of a worker; the older half has as many at most
 _loaded: dict[int, "PrefixTable"] = {}
 
 
@@ -64,6 +64,7 @@ class PrefixTable:
         self.alone = {i for name, i in self.ids.items() if self.merged(name) == [i]}
         self.fits: dict[int, bool] = {}
         self.memo: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
 
     def merged(self, text: str) -> list[int]:
         """Ids by merging neighbours, best score first and leftmost among equals."""
@@ -139,10 +140,12 @@ class PrefixTable:
             for cut in self.cut.findall((MARK + text).replace(" ", MARK)):
                 ids = memo.get(cut)
                 if ids is None:
-                    ids = self.piece(cut)
+                    ids = self.before.get(cut) or self.piece(cut)
                     if len(cut) <= 64:
                         if len(memo) >= MEMO:
-                            memo.clear()
+                            # what is used again moves on from the older half
+                            self.before, self.memo = memo, {}
+                            memo = self.memo
                         memo[cut] = ids
                 out += ids
         if end:
@@ -193,15 +196,13 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", end: boo
     kept = [c for c in docs.columns if c not in (ids, decoded)]
     if text in (ids, decoded):
         raise ValueError("the text column can't be a result column")
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
-    at = kept.index(text)
+    both = spare(docs, "encoded")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(texts: list[bytes]) -> pa.Array:
         table = loaded(model.value)
-        for batch in batches:
-            for begin, stop, part in chunks(batch.column(at)):
-                got = [table.encode(x.decode("utf-8", "replace"), end) for x in part]
-                columns = [*(batch.column(i).slice(begin, stop - begin) for i in range(len(kept))), pa.array(got, pa.list_(pa.int32())), pa.array([table.decode(x) for x in got], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, decoded])
+        got = [table.encode(x.decode("utf-8", "replace"), end) for x in texts]
+        return pa.StructArray.from_arrays([pa.array(got, pa.list_(pa.int32())), pa.array([table.decode(x) for x in got], pa.string())], names=["ids", "decoded"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    kind = T._parse_datatype_string("ids array<int>, decoded string")
+    found = docs.select(*[F.col(f"`{c}`") for c in kept], per_text(docs.sparkSession, judge, kind)(F.col(f"`{text}`")).alias(both))
+    return found.select(*[F.col(f"`{c}`") for c in kept], F.col(both)["ids"].alias(ids), F.col(both)["decoded"].alias(decoded))

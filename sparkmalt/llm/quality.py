@@ -1,9 +1,11 @@
 """Quality rules: per-document rule statistics, and an isolation forest over them.
 
-``rule_stats`` counts over every whole text. ``fit`` grows a forest of random
-splits on a bounded sample of labelled rows and calibrates the anomaly
+``rule_stats`` counts over every whole text, once. ``fit`` grows a forest of
+random splits on a bounded sample of labelled rows and calibrates the anomaly
 threshold on all labelled rows (a histogram by label, so nothing grows on the
-driver). ``apply`` scores each document by its mean path length.
+driver). ``apply`` scores each document by its mean path length. The base rules
+fail a text of under ten words, or with over a fifth of its words in windows
+that occur again.
 
 Defined cases: a null or empty text has no words and all counts 0, and fails
 the base rules; repeated rows are scored each on its own; an empty table gives
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkmalt.llm.store import written
-from sparkmalt.llm.words import U, Words, chunks, grams, inside, mix, split
+from sparkmalt.llm.store import spare, written
+from sparkmalt.llm.words import U, Words, grams, inside, mix, per_text, split
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -93,11 +95,6 @@ def measure(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return counts, features.astype(np.float64)
 
 
-def failed(counts: np.ndarray) -> np.ndarray:
-    """The base rules: under ten words, or over a fifth of the words in repeated windows."""
-    return (counts[:, 0] < 10) | (100 * counts[:, 4] > 20 * counts[:, 0])
-
-
 @dataclass
 class Forest:
     """Isolation trees as flat arrays: node i splits on ``feature`` (-1: leaf) at ``cut``, children ``below`` and ``below`` + 1."""
@@ -173,19 +170,14 @@ def stats_arrays(counts: np.ndarray, features: np.ndarray) -> list[pa.Array]:
     return [*(pa.array(np.ascontiguousarray(c), pa.int64()) for c in counts.T), *(pa.array(np.ascontiguousarray(c)) for c in features.T)]
 
 
-def rule_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key`` and the statistics."""
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *STATS.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, stop, part in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), *stats_arrays(*measure(part))], names=schema.names)
-
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+def rule_stats(docs: DataFrame, text: str = "text", out: str = "stats", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with the statistics as struct ``out``, written: fit and apply read them and not the texts."""
+    kept = [c for c in (docs.columns if carry is None else carry) if c != out]
+    measured = per_text(docs.sparkSession, lambda part: pa.StructArray.from_arrays(stats_arrays(*measure(part)), names=STATS.names), STATS)
+    return written(docs.select(*[F.col(f"`{c}`") for c in kept], measured(F.col(f"`{text}`")).alias(out)), "rule-stats")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", trees: int = 128, rows: int = 512, sample_rows: int = SAMPLE_ROWS, most_lost: float = 0.003, seed: int = 7) -> Forest:
+def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "stats", label: str = "quality", trees: int = 128, rows: int = 512, sample_rows: int = SAMPLE_ROWS, most_lost: float = 0.003, seed: int = 7) -> Forest:
     """A forest grown on at most ``sample_rows`` labelled rows (those of least hash), with a threshold calibrated on all.
 
     The forest learns what documents labelled 1 look like; the threshold is the
@@ -193,19 +185,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share ``most_lost`` of the rows labelled 1.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
-    stats = written(rule_stats(docs, key, text).join(marked, "key"), "rule-stats").where(F.col("n_words") >= 10)
-    good = stats.where("label = 1").orderBy(F.xxhash64("key", *FEATURES), "key").limit(sample_rows).select(*FEATURES).collect()
+    known = stats.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`.*")).join(marked, "key")
+    known = written(known, "labelled-stats").where(F.col("n_words") >= 10)
+    good = known.where("label = 1").orderBy(F.xxhash64("key", *FEATURES), "key").limit(sample_rows).select(*FEATURES).collect()
     if len(good) < 2:
         return Forest(*(np.zeros(0),) * 5, 1.0)
     forest = grow(np.array(good, dtype=np.float64), trees, rows, seed)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(FEATURES))])
             yield pa.RecordBatch.from_arrays([pa.array((shared.value.scores(x) * BINS).astype(np.int32)), batch.column(len(FEATURES)).cast(pa.int32())], names=["bin", "label"])
 
-    counted = stats.where(100 * F.col("n_repeat_words") <= 20 * F.col("n_words")).select(*FEATURES, "label").mapInArrow(bins, "bin int, label int").groupBy("bin", "label").count().collect()
+    counted = known.where(100 * F.col("n_repeat_words") <= 20 * F.col("n_words")).select(*FEATURES, "label").mapInArrow(bins, "bin int, label int").groupBy("bin", "label").count().collect()
     table = np.zeros((2, BINS + 1))
     for b, y, n in counted:
         table[int(y > 0), b] += n
@@ -219,18 +212,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return forest
 
 
-def apply(docs: DataFrame, forest: Forest, text: str = "text", out: str = "rules", carry: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with struct ``out``: the statistics, base_failed, anomaly and kept."""
-    kept = [c for c in (docs.columns if carry is None else carry) if c != out]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.StructType([*STATS.fields, T.StructField("base_failed", T.BooleanType()), T.StructField("anomaly", T.DoubleType()), T.StructField("kept", T.BooleanType())]))])
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
+def apply(stats: DataFrame, forest: Forest, column: str = "stats", out: str = "rules") -> DataFrame:
+    """``stats`` with struct ``out`` in place of ``column``: the statistics, base_failed, anomaly and kept."""
+    rest = [c for c in stats.columns if c not in (column, out)]
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, stop, part in chunks(batch.column(len(kept))):
-                counts, features = measure(part)
-                score, base = shared.value.scores(features), failed(counts)
-                verdict = pa.StructArray.from_arrays([*stats_arrays(counts, features), pa.array(base), pa.array(score), pa.array(~base & (score < shared.value.threshold))], names=[f.name for f in schema[out].dataType.fields])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, stop - begin) for i in range(len(kept))), verdict], names=[*kept, out])
+    @F.arrow_udf("double")
+    def anomaly(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array(shared.value.scores(np.column_stack([b.field(f).to_numpy(zero_copy_only=False) for f in FEATURES]) if len(b) else np.zeros((0, len(FEATURES)))))
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, schema)
+    of = F.col(f"`{column}`")
+    scored = stats.withColumn(score := spare(stats, "score"), anomaly.asNondeterministic()(F.struct(*[of[f].alias(f) for f in FEATURES])))
+    failed = (of["n_words"] < 10) | (100 * of["n_repeat_words"] > 20 * of["n_words"])
+    kept = ~failed & (F.col(score) < F.lit(forest.threshold))
+    verdict = F.struct(*[of[c].alias(c) for c in STATS.names], failed.alias("base_failed"), F.col(score).alias("anomaly"), kept.alias("kept"))
+    return scored.select(*[F.col(f"`{c}`") for c in rest], verdict.alias(out))

@@ -78,13 +78,13 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    out = quality.apply(docs, forest, carry=["doc_id"])
+    stats = quality.rule_stats(docs, carry=["doc_id"])
+    out = quality.apply(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
     return out.select("doc_id", *[F.col(f"rules.{c}").alias(c) for c in quality.COUNTS], "rules.base_failed", "rules.anomaly", "rules.kept")
 
 

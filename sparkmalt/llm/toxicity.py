@@ -4,13 +4,14 @@ Texts are folded first: lower case, accents and homoglyphs to plain Latin,
 digits and signs that stand for letters inside a word to those letters, all
 else to spaces. As an accent can be what tells a toxic word from a clean one,
 a second form of the text keeps the accents of Latin letters; terms with
-accents are looked for in that one. The lexicon holds whole words and word beginnings with weights:
-the log ratio of the share of toxic to the share of clean documents that
-contain them. Hits inside an exception phrase don't count. The score is a
-logistic function of the summed weight of the hits and of that sum normalised
-by the number of words.
-
-The lexicon and the logistic curve are learned from a bounded sample of
+accents are looked for in that one. The lexicon holds whole words and word
+beginnings with weights: the log ratio of the share of toxic to the share of
+clean documents that contain them. Hits inside an exception phrase (a term with
+a neighbour that only clean documents have) don't count. The score is a logistic
+function of the summed weight of the hits and of that sum normalised by the
+number of words.
+
+The lexicon, its phrases and the logistic curve are learned from a bounded sample of
 labelled rows (``TOXIC_ROWS`` and ``CLEAN_ROWS``, those of least hash); scoring
 covers every whole text.
 
@@ -37,14 +38,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmalt.llm.store import written
-from sparkmalt.llm.words import chunks
+from sparkmalt.llm.words import per_text
 
-TOXIC_ROWS, CLEAN_ROWS, TERMS = 3072, 6144, 512
+TOXIC_ROWS, CLEAN_ROWS, TERMS, PHRASES = 3072, 6144, 512, 512
 BEGINNINGS = range(4, 9)
-EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "trash bag", "circus clown")
 
 # Letters of other scripts that look like Latin ones, and signs used for letters: fixed values.
-LOOKALIKES = dict(zip("аеорсухіјѕԁԛԝһкмтвнгαβεικνορτυχω", "aeopcyxijsdqwhkmtbhraбeikvoptuxw".replace("б", "b"), strict=True))
+LOOKALIKES = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r",
+    "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ο": "o", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
+}
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
 
@@ -90,7 +93,7 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton | None:
         a = ahocorasick.Automaton()
         for phrase in self.exceptions:
-            a.add_word(re.sub(" +", " ", fold(phrase)), (len(re.sub(" +", " ", fold(phrase))), None, True))
+            a.add_word(phrase, (len(phrase), None, phrase.isascii()))
         for term, weight in self.weights.items():
             a.add_word(term, (len(term), weight, term.isascii()))
         if not self.weights:
@@ -99,6 +102,15 @@ class Lexicon:
         return a
 
 
+def hits(a: ahocorasick.Automaton, text: str, plain: bool) -> list[tuple[int, int, float]]:
+    """(start, end, weight) of the terms in one form of a text that stand in no exception phrase."""
+    free, found = [], []
+    for end, (size, weight, ascii_) in a.iter(text):
+        if ascii_ == plain:
+            (free if weight is None else found).append((end - size + 1, end, weight))
+    return [h for h in found if not any(x <= h[0] and h[1] <= y for x, y, _ in free)] if free else found
+
+
 def features(a: ahocorasick.Automaton | None, texts: list[str]) -> np.ndarray:
     """Per text: log of the hits' summed weight, and of that sum per hundred words."""
     out = np.zeros((len(texts), 2))
@@ -106,21 +118,28 @@ def features(a: ahocorasick.Automaton | None, texts: list[str]) -> np.ndarray:
         return out
     for i, text in enumerate(texts):
         folded, accented = forms(text)
-        total, free, hits = 0.0, [], []
-        for end, (size, weight, plain) in a.iter(folded):
-            if plain:
-                (free if weight is None else hits).append((end - size + 1, end, weight))
-        for start, end, weight in hits:
-            if not any(x <= start and end <= y for x, y, _ in free):
-                total += weight
+        total = sum(weight for _, _, weight in hits(a, folded, True))
         if not accented.isascii():
-            total += sum(weight for _, (_, weight, plain) in a.iter(accented) if not plain)
+            total += sum(weight for _, _, weight in hits(a, accented, False))
         if total:
             words = folded.count(" ")
             out[i] = np.log1p(total), np.log1p(100 * total / (words + 20))
     return out
 
 
+def phrases(a: ahocorasick.Automaton, text: str) -> set[str]:
+    """The words of each hit with the word before, and with the word after, as " word word "."""
+    found = set()
+    for form, plain in zip(forms(text), (True, False), strict=True):
+        for start, end, _ in hits(a, form, plain):
+            first = start + 1
+            last = form.find(" ", end if form[end] != " " else end - 1)
+            before, after = form[:start].split(" ")[-1:], form[last + 1 : last + 60].split(" ")[:1]
+            word = form[first:last]
+            found |= {f" {x} {word} " for x in before if x} | {f" {word} {x} " for x in after if x}
+    return found
+
+
 def patterns(text: str) -> set[str]:
     """Whole words and word beginnings of a text, each once."""
     plain, accented = (set(x.split()) for x in forms(text))
@@ -151,8 +170,12 @@ def chosen(rows: list, terms: int) -> dict[str, float]:
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, terms: int = TERMS, least: float = 3.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon of at most ``terms`` terms of weight ``least`` or more, from at most ``toxic_rows`` + ``clean_rows`` rows of ``labels``."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, terms: int = TERMS, most_phrases: int = PHRASES, least: float = 3.0) -> Lexicon:
+    """A lexicon of at most ``terms`` terms of weight ``least`` or more and at most ``most_phrases`` exception phrases, from at most ``toxic_rows`` + ``clean_rows`` rows of ``labels``.
+
+    An exception is a term with a word beside it that clean rows have at least
+    three times as rows and toxic rows never have.
+    """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("label"))
     marked = written(marked, "toxic-labels")
     part = lambda y, n: marked.where(F.col("label") == y).orderBy(F.xxhash64(F.col("key").cast("string")), "key").limit(n)
@@ -161,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = written(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), "key").select("text", "label"), "toxic-texts")
     of = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     if not (of.get(0) and of.get(1)):
-        return Lexicon(exceptions=exceptions)
+        return Lexicon()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -183,7 +206,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     weight = F.log((F.col("toxic") + 0.5) / (of[1] + 1)) - F.log((F.col("clean") + 0.5) / (of[0] + 1))
     found = texts.mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rows = found.where(F.col("toxic") >= 4).withColumn("weight", weight).where(F.col("weight") >= least).orderBy(F.desc("toxic"), F.desc(F.length("term")), "term").limit(16 * terms).select("term", "toxic", "weight").collect()
-    lexicon = Lexicon(chosen([tuple(r) for r in rows], terms), exceptions)
+    lexicon = Lexicon(chosen([tuple(r) for r in rows], terms))
+    bare = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = bare.value.automaton()
+        for batch in batches:
+            found = [(p, y) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in (phrases(a, x or "") if a else ())]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], names=["phrase", "label"])
+
+    told = texts.mapInArrow(beside, "phrase string, label int").groupBy("phrase").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
+    kept = told.where("toxic = 0 AND n >= 3").orderBy(F.desc("n"), "phrase").limit(most_phrases).collect()
+    lexicon.exceptions = tuple(r["phrase"] for r in kept)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +235,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def apply(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "toxicity", carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with the score ``out``, 0 to 1."""
     kept = [c for c in (docs.columns if carry is None else carry) if c != out]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, (bias, *slopes) = shared.value.automaton(), shared.value.curve
-        for batch in batches:
-            for begin, stop, part in chunks(batch.column(len(kept))):
-                f = features(a, [x.decode("utf-8", "replace") for x in part])
-                score = 1 / (1 + np.exp(-np.clip(bias + f @ np.array(slopes), -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, stop - begin) for i in range(len(kept))), pa.array(np.zeros(len(f)) if a is None else score)], names=[*kept, out])
-
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, schema)
+    made: list = []
+
+    def judge(texts: list[bytes]) -> pa.Array:
+        if not made:
+            made.append(shared.value.automaton())
+        if made[0] is None:
+            return pa.array(np.zeros(len(texts)))
+        bias, *slopes = shared.value.curve
+        f = features(made[0], [x.decode("utf-8", "replace") for x in texts])
+        return pa.array(1 / (1 + np.exp(-np.clip(bias + f @ np.array(slopes), -30, 30))))
+
+    return docs.select(*[F.col(f"`{c}`") for c in kept], per_text(docs.sparkSession, judge, T.DoubleType())(F.col(f"`{text}`")).alias(out))

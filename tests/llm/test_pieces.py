@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -9,7 +10,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkmalt.llm import pieces
+from sparkmalt.llm import pieces, queries
 from sparkmalt.llm.queries import bpe_model
 from tests.llm.fixtures import SF, hostile
 
@@ -68,3 +69,14 @@ def test_table(spark, library):
         want = library.encode(r["text"] or "", add_eos=True)
         assert list(r["ids"]) == want and r["decoded"] == library.decode(want)
     assert pieces.encode_decode(docs.limit(0), bpe_model()).count() == 0
+
+
+def test_query(spark, library):
+    """Every row of the query against the library."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = {r["doc_id"]: tuple(r)[1:] for r in queries.op3_sentencepiece(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    assert set(rows) == set(texts)
+    for i, t in texts.items():
+        ids = library.encode(t, add_eos=True)
+        assert rows[i] == (len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids)))
