@@ -25,17 +25,29 @@ def own(df: DataFrame, names: list[str]) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or that the isolation forest finds anomalous; null and empty texts fail."""
-    out = spare(docs, "rules")
-    forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    judged = quality.apply(docs, forest, out=out)
-    return own(judged.where(F.col(out)["kept"]), docs.columns)
+    stats, out = spare(docs, "stats"), spare(docs, "rules")
+    measured = quality.rule_stats(docs, out=stats)
+    forest = quality.fit(measured, table(spark, sf_dir, "labels"), column=stats)
+    return own(quality.apply(measured, forest, column=stats, out=out).where(F.col(out)["kept"]), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near duplicates; rows that repeat its id stay with it."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), percent=SIMILARITY)
-    gone = written(found.where(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
-    return own(docs.join(gone, "doc_id", "left_anti"), docs.columns)
+    """Keeps one document of each group of near duplicates, that of smallest id.
+
+    A document is a row's id and text: other texts under the same id stay, null
+    ids group like others, and of rows that repeat both id and text one stays.
+    Null and empty texts have no duplicates.
+    """
+    found = written(neardup.near_duplicates(docs.select("doc_id", "text"), percent=SIMILARITY).select(F.col("doc_id").alias("id"), F.col("text_tag").alias("tag"), "first", "n_shingles"), "near-duplicates")
+    tag = F.xxhash64(F.col("text"))
+    same = lambda other: docs["doc_id"].eqNullSafe(other["id"]) & (tag == other["tag"])
+    gone = found.where(~F.col("first"))
+    repeated = written(found.where("first AND n_shingles > 0").groupBy("id", "tag").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    left = docs.join(gone, same(gone), "left_anti")
+    if repeated.take(1):
+        once = docs.join(repeated, same(repeated), "left_semi").withColumn(mark := spare(docs, "tag"), tag).dropDuplicates(["doc_id", mark])
+        left = left.join(repeated, same(repeated), "left_anti").unionByName(once.drop(mark))
+    return own(left, docs.columns)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
