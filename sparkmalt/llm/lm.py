@@ -1,25 +1,29 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-The network predicts the class of a word from the ``SIDE`` words on either side
-(each slot has an embedding table; their sum goes through tanh and a softmax
-over classes); within its class a word has its own share of the corpus counts. A
+The network predicts every word from the ``SIDE`` words on either side: each slot
+has an embedding table, their sum goes through tanh and from there into two
+softmaxes, one over groups of words and one over the words of the group. A
 document's score is the sum, over all its words, of the log-probability of the
 word given its surroundings. The network is written in numpy.
 
-Words are counted over all documents. The ``OWN`` commonest are classes of their
-own; other words have the class of their last two bytes, and the classes are
-cut from the sorted endings so that each has about the same part of the corpus.
-The ``VOCABULARY`` commonest have embeddings of their own, the others share one
-per class. The counts of the ``KNOWN`` commonest go to all tasks; those of all
-other words stay in a table that scoring joins, so every word has its own
-share. A word without a count has half an occurrence in its class.
+Words are counted over all documents. The ``VOCABULARY`` commonest have
+embeddings of their own and are dealt, in the order of their endings, to groups
+of ``MEMBERS``; both softmaxes predict them. For all other words the first
+softmax predicts a tail class, cut from the sorted endings (last two bytes) so
+that each has about the same part of the corpus, and there the word has its own
+share of the corpus counts. The counts of the ``KNOWN`` commonest go to all
+tasks; those of all other words stay in a table that scoring joins, so every
+word has its own share. A word without a count has half an occurrence in its
+tail class.
 
 Training takes every document: each partition runs minibatch Adagrad from the
 same start over its documents and gives its weights, which are averaged by
 numbers of words seen, in two steps over blocks of the weights; so what is
 gathered grows with the corpus, and only the averaged weights (of fixed size)
 reach the driver. Every position of every document is predicted, in training
-as in scoring.
+as in scoring. As a partition trains on its own rows, the weights depend (a
+little) on how rows are dealt to partitions; with the same partitions they are
+the same again.
 """
 
 from __future__ import annotations
@@ -36,12 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmalt.llm.store import fresh, spare, written
-from sparkmalt.llm.words import Words, chunks, split
+from sparkmalt.llm.words import Words, chunks, per_text, small_batches, split
 
-VOCABULARY, KNOWN, OWN, ENDINGS, HIDDEN, SIDE = 4096, 65536, 31, 97, 16, 2
+VOCABULARY, KNOWN, TAILS, MEMBERS, HIDDEN, SIDE = 4096, 65536, 64, 64, 16, 2
 UNSEEN = 0.5  # occurrences, in each class, of words without a count
 FIXED = 1 << 32  # log shares of joined words are summed in whole parts of this, so that their order doesn't matter
-BATCH, RATE = 4096, 0.1
+BATCH, RATE = 8192, 0.1
 BLOCKS = 32  # of the averaged weights
 MOST_COUNTED = 400_000
 
@@ -54,21 +58,18 @@ def endings(w: Words) -> np.ndarray:
 
 @dataclass
 class Symbols:
-    """Symbols: 0..ENDINGS-1 for rare words by class, then the known words, then the text's edge."""
+    """Symbols: 0..TAILS-1 for words without a known count by tail class, then the known words from the commonest on, then the text's edge."""
 
     hashes: np.ndarray  # sorted hashes of known words
     symbol: np.ndarray  # their symbols
-    kind: np.ndarray  # class of each symbol
-    inner: np.ndarray  # log share in its class of each known word, or of a word without a count
-    prior: np.ndarray  # log share of each class
-    row: np.ndarray | None = None  # embedding of each symbol and of the edge
-    classes: np.ndarray | None = None  # class of each ending
+    kind: np.ndarray  # of each symbol: its tail class, or TAILS + its group
+    member: np.ndarray  # place in its group of each word that has one, else -1
+    inner: np.ndarray  # log share in its group or tail class of each known word, or of a word without a count
+    prior: np.ndarray  # log share of each tail class and group
+    row: np.ndarray  # embedding of each symbol and of the edge
+    classes: np.ndarray  # tail class of each ending
     counts: str | None = None  # path of the counts of all words (h, n)
 
-    def __post_init__(self) -> None:
-        if self.row is None:
-            self.row = np.arange(self.edge + 1)
-
     @property
     def edge(self) -> int:
         return len(self.kind)
@@ -122,7 +123,7 @@ def with_forms(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(run, "word binary, n long, h long, code int")
 
 
-def symbols(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, own: int = OWN, known: int = KNOWN) -> Symbols:
+def symbols(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, known: int = KNOWN) -> Symbols:
     """The symbol table of a corpus; about ``known`` words and a total per ending reach the driver, the counts of all words stay in a table."""
     path = fresh(docs.sparkSession, "word-counts")
     with_forms(count_words(docs, text)).write.parquet(path)
@@ -140,85 +141,138 @@ def symbols(docs: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, o
     found = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).select("word", "n").collect()}
     if low is not None:
         found |= {bytes(r["word"]): r["n"] for r in counts.where(octave >= low).select("word", "n").collect()}
+    return symbol_table(found, mass, vocabulary, path)
+
+
+def symbol_table(found: dict[bytes, int], mass: np.ndarray, vocabulary: int, path: str | None = None) -> Symbols:
+    """The table from counts of the known words and the total count of each ending."""
     top = sorted(found.items(), key=lambda x: (-x[1], x[0]))
-    own_words = min(own, vocabulary, len(top))
-    w = split([x for x, _ in top]) if top else None
-    code, hashes = (endings(w), w.hashes()) if top else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    n = np.array([c for _, c in top], dtype=np.float64)
-    np.subtract.at(mass, code[:own_words], n[:own_words])
-    classes = np.minimum(ENDINGS - 1, (np.cumsum(mass) - mass / 2) * ENDINGS // max(mass.sum(), 1)).astype(np.int64)
-    kind = np.concatenate((np.arange(ENDINGS), ENDINGS + np.arange(own_words), classes[code[own_words:]]))
-    of = np.concatenate((np.bincount(classes, weights=mass, minlength=ENDINGS) + UNSEEN, np.zeros(own)))
-    of[ENDINGS : ENDINGS + own_words] = n[:own_words]
-    inner = np.log(np.concatenate((np.full(ENDINGS, UNSEEN), n)) / of[kind])
-    rows = ENDINGS + min(vocabulary, len(top))
-    row = np.where(np.arange(len(kind)) < rows, np.arange(len(kind)), kind)
+    told = min(vocabulary, len(top))
+    groups = -(-told // MEMBERS)
+    w = split([x for x, _ in top])
+    code, hashes, n = endings(w), w.hashes(), np.array([c for _, c in top], dtype=np.float64)
+    mass = mass.copy()
+    np.subtract.at(mass, code[:told], n[:told])
+    classes = np.minimum(TAILS - 1, (np.cumsum(mass) - mass / 2) * TAILS // max(mass.sum(), 1)).astype(np.int64)
+    kind = np.concatenate((np.arange(TAILS), classes[code]))
+    member = np.full(len(kind), -1)
+    by_ending = np.lexsort((np.arange(told), code[:told]))
+    kind[TAILS + by_ending] = TAILS + np.arange(told) // MEMBERS
+    member[TAILS + by_ending] = np.arange(told) % MEMBERS
+    of = np.concatenate((np.bincount(classes, weights=mass, minlength=TAILS) + UNSEEN, np.bincount(kind[TAILS : TAILS + told] - TAILS, weights=n[:told], minlength=groups)))
+    inner = np.log(np.concatenate((np.full(TAILS, UNSEEN), n)) / of[kind])
+    row = np.where(np.arange(len(kind)) < TAILS + told, np.arange(len(kind)), kind)
     order = np.argsort(hashes)
-    return Symbols(hashes[order], order + ENDINGS, kind, inner, np.log((of + 0.5) / (of + 0.5).sum()), np.append(row, rows), classes, path)
+    return Symbols(hashes[order], order + TAILS, kind, member, inner, np.log((of + 0.5) / (of + 0.5).sum()), np.append(row, TAILS + told), classes, path)
+
+
+def log_softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
 
 
 @dataclass
 class Network:
-    """Embeddings (slot, row, hidden), output weights (hidden, class), bias, and the row of each symbol."""
+    """Embeddings (slot, row, hidden); output weights and bias over groups, and over the members of each group."""
 
     tables: np.ndarray
     out: np.ndarray
     bias: np.ndarray
-    row: np.ndarray
+    inner_out: np.ndarray
+    inner_bias: np.ndarray
+    symbols: Symbols
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.tables, self.out, self.bias, self.inner_out, self.inner_bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.tables, self.out, self.bias)])
+        return np.concatenate([x.ravel() for x in self.parts()])
 
     @staticmethod
     def start(s: Symbols, hidden: int, seed: int) -> Network:
         rng = np.random.Generator(np.random.PCG64(seed))
-        classes = len(s.prior)
-        return Network((rng.standard_normal((2 * SIDE, int(s.row[-1]) + 1, hidden)) * 0.1).astype(np.float32), (rng.standard_normal((hidden, classes)) * 0.1).astype(np.float32), s.prior.astype(np.float32), s.row)
+        normal = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+        groups = len(s.prior) - TAILS
+        shares = np.full((groups, MEMBERS), -30.0, dtype=np.float32)
+        told = np.flatnonzero(s.member >= 0)
+        shares[s.kind[told] - TAILS, s.member[told]] = s.inner[told]
+        return Network(normal(2 * SIDE, int(s.row[-1]) + 1, hidden), normal(hidden, len(s.prior)), s.prior.astype(np.float32), normal(groups, hidden, MEMBERS), shares, s)
 
     def like(self, flat: np.ndarray) -> Network:
-        a, b = self.tables.size, self.tables.size + self.out.size
-        flat = flat.astype(np.float32)
-        return Network(flat[:a].reshape(self.tables.shape), flat[a:b].reshape(self.out.shape), flat[b:], self.row)
-
-    def forward(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden values, log-probabilities of classes) at the positions ``at``."""
-        total = np.zeros((len(at), self.tables.shape[2]), dtype=np.float32)
-        for slot, move in enumerate(m for m in range(-SIDE, SIDE + 1) if m):
-            total += self.tables[slot][self.row[seq[at + move]]]
-        h = np.tanh(total)
-        logits = h @ self.out + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return h, logits
-
-    def learn(self, seq: np.ndarray, at: np.ndarray, kind: np.ndarray, sums: Network, rate: float) -> None:
-        """One Adagrad step; ``sums`` has the squares so far."""
-        h, logp = self.forward(seq, at)
-        d = np.exp(logp)
-        d[np.arange(len(at)), kind] -= 1
-        d /= len(at)
-        into = (d @ self.out.T) * (1 - h * h)
-        for x, s, g in ((self.out, sums.out, h.T @ d), (self.bias, sums.bias, d.sum(axis=0))):
-            s += g * g
-            x -= rate * g / np.sqrt(s)
-        for slot, move in enumerate(m for m in range(-SIDE, SIDE + 1) if m):
-            ids = self.row[seq[at + move]]
-            for k in range(into.shape[1]):
-                g = np.bincount(ids, weights=into[:, k], minlength=self.tables.shape[1]).astype(np.float32)
-                s, x = sums.tables[slot][:, k], self.tables[slot][:, k]
-                s += g * g
-                x -= rate * g / np.sqrt(s)
+        ends = np.cumsum([x.size for x in self.parts()])
+        return Network(*(y.reshape(x.shape) for x, y in zip(self.parts(), np.split(flat.astype(np.float32), ends[:-1]), strict=True)), self.symbols)
+
+    def hidden(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Hidden values at the positions ``at``, and the embedding rows that they come from, by slot."""
+        rows = [self.symbols.row[seq[at + move]] for move in range(-SIDE, SIDE + 1) if move]
+        total = self.tables[0][rows[0]]
+        for table, ids in zip(self.tables[1:], rows[1:], strict=True):
+            total += table[ids]
+        return np.tanh(total), rows
+
+    def grouped(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(group, places in ``words``) of the words that have a group."""
+        kind = self.symbols.kind[words]
+        order = np.argsort(kind, kind="stable")
+        ends = np.searchsorted(kind[order], np.arange(TAILS, len(self.bias) + 1))
+        for g in np.flatnonzero(np.diff(ends)):
+            yield int(g), order[ends[g] : ends[g + 1]]
+
+    def log_probs(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of the word at each position given the words around it."""
+        words, (h, _) = seq[at], self.hidden(seq, at)
+        s = self.symbols
+        out = log_softmax(h @ self.out + self.bias)[np.arange(len(at)), s.kind[words]].astype(np.float64)
+        out += np.where(s.member[words] < 0, s.inner[words], 0.0)
+        for g, some in self.grouped(words):
+            out[some] += log_softmax(h[some] @ self.inner_out[g] + self.inner_bias[g])[np.arange(len(some)), s.member[words[some]]]
+        return out
+
+    def learn(self, seq: np.ndarray, at: np.ndarray, sums: Network, rate: float) -> None:
+        """One Adagrad step towards the words at ``at``; ``sums`` has the squares so far."""
+        words, (h, rows), n = seq[at], self.hidden(seq, at), np.float32(len(at))
+
+        def slopes(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits /= logits.sum(axis=1, keepdims=True) * n
+            logits[np.arange(len(right)), right] -= 1 / n
+            return logits
+
+        def step(x: np.ndarray, s: np.ndarray, g: np.ndarray, where: object = ...) -> None:
+            s[where] += g * g
+            x[where] -= rate * g / np.sqrt(s[where])
+
+        d = slopes(h @ self.out + self.bias, self.symbols.kind[words])
+        into = d @ self.out.T
+        step(self.out, sums.out, h.T @ d)
+        step(self.bias, sums.bias, d.sum(axis=0))
+        for g, some in self.grouped(words):
+            some_h = h[some]
+            e = slopes(some_h @ self.inner_out[g] + self.inner_bias[g], self.symbols.member[words[some]])
+            into[some] += e @ self.inner_out[g].T
+            step(self.inner_out, sums.inner_out, some_h.T @ e, g)
+            step(self.inner_bias, sums.inner_bias, e.sum(axis=0), g)
+        into *= 1 - h * h
+        for x, s, ids in zip(self.tables, sums.tables, rows, strict=True):
+            order = np.argsort(ids)
+            ids = ids[order]
+            new = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            step(x, s, np.add.reduceat(into[order], new, axis=0), ids[new])
 
 
 def train(docs: DataFrame, text: str = "text", hidden: int = HIDDEN, rate: float = RATE, seed: int = 3, vocabulary: int = VOCABULARY, known: int = KNOWN) -> tuple[Symbols, Network]:
     """A symbol table and a network trained on all documents."""
+    small_batches(docs.sparkSession)
     table = symbols(docs, text, vocabulary, known=known)
     start = Network.start(table, hidden, seed)
-    shared = docs.sparkSession.sparkContext.broadcast((table, start))
+    shared = docs.sparkSession.sparkContext.broadcast(start)
     edges = np.linspace(0, len(start.flat()), BLOCKS + 1).astype(int)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, begin = shared.value
+        begin = shared.value
+        table = begin.symbols
         net, sums = begin.like(begin.flat().copy()), begin.like(np.full(begin.flat().shape, 1e-6))
         seen, turn = 0, 0
         for batch in batches:
@@ -229,7 +283,7 @@ def train(docs: DataFrame, text: str = "text", hidden: int = HIDDEN, rate: float
                 at = np.random.Generator(np.random.PCG64([seed, turn])).permutation(at)
                 for a in range(0, len(at), BATCH):
                     some = at[a : a + BATCH]
-                    net.learn(seq, some, table.kind[seq[some]], sums, rate)
+                    net.learn(seq, some, sums, rate)
                 seen += len(at)
         if seen:
             flat, task = net.flat(), TaskContext.get().partitionId()
@@ -270,30 +324,30 @@ def score(docs: DataFrame, model: tuple[Symbols, Network], text: str = "text", o
     spark = docs.sparkSession
     kept = [c for c in (docs.columns if carry is None else carry) if c != out]
     id_, rare, words_, sum_, gain = (spare(docs, c) for c in ("row_id", "rare", "words", "log_sum", "gain"))
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(words_, T.LongType()), T.StructField(sum_, T.DoubleType()), T.StructField(rare, T.ArrayType(T.LongType()))])
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, net = shared.value
-        for batch in batches:
-            for begin, stop, part in chunks(batch.column(len(kept))):
-                seq, first, hashes = table.with_hashes(part)
-                value = np.zeros(len(seq) + 1)
-                at = np.flatnonzero(seq != table.edge)
-                for a in range(0, len(at), BATCH):
-                    some = at[a : a + BATCH]
-                    _, logp = net.forward(seq, some)
-                    value[some] = logp[np.arange(len(some)), table.kind[seq[some]]] + table.inner[seq[some]]
-                sums = np.concatenate(([0.0], np.cumsum(value)))
-                n = np.diff(first) - SIDE
-                # a text's words end SIDE edges before the next text's begin
-                total = np.where(n > 0, sums[first[1:] - SIDE] - sums[first[:-1]], 0.0)
-                unknown = seq[at] < ENDINGS
-                ends = np.concatenate(([0], np.cumsum(unknown)))[np.concatenate(([0], np.cumsum(n)))]
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[unknown].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, stop - begin) for i in range(len(kept))), pa.array(n, pa.int64()), pa.array(total), lists], names=[*kept, words_, sum_, rare])
-
-    first = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInArrow(run, schema)
+    kind = T._parse_datatype_string("words long, log_sum double, rare array<long>")
+    shared = spark.sparkContext.broadcast(model[1])
+
+    def judge(texts: list[bytes]) -> pa.Array:
+        net = shared.value
+        table = net.symbols
+        seq, first, hashes = table.with_hashes(texts)
+        value = np.zeros(len(seq) + 1)
+        at = np.flatnonzero(seq != table.edge)
+        for a in range(0, len(at), BATCH):
+            some = at[a : a + BATCH]
+            value[some] = net.log_probs(seq, some)
+        sums = np.concatenate(([0.0], np.cumsum(value)))
+        n = np.diff(first) - SIDE
+        # a text's words end SIDE edges before the next text's begin
+        total = np.where(n > 0, sums[first[1:] - SIDE] - sums[first[:-1]], 0.0)
+        unknown = seq[at] < TAILS
+        ends = np.concatenate(([0], np.cumsum(unknown)))[np.concatenate(([0], np.cumsum(n)))]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[unknown].view(np.int64)))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total), lists], names=kind.names)
+
+    one = spare(docs, "judged")
+    first = docs.select(*[F.col(f"`{c}`") for c in kept], per_text(spark, judge, kind)(F.col(f"`{text}`")).alias(one))
+    first = first.select(*[F.col(f"`{c}`") for c in kept], F.col(one)["words"].alias(words_), F.col(one)["log_sum"].alias(sum_), F.col(one)["rare"].alias(rare))
     first = written(first.withColumn(id_, F.monotonically_increasing_id()), "first-scores")
     # words that aren't in the broadcast table stand as words without a count until here
     counts = spark.read.parquet(model[0].counts).select("h", F.round(F.log(F.col("n") / UNSEEN) * FIXED).cast("long").alias(gain))
