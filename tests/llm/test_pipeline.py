@@ -23,7 +23,8 @@ def test_run(spark):
         if name != "tokens":
             assert out.columns == columns and out.schema == docs.schema
         if name == "quality_rules":
-            kept = quality.apply(now, quality.fit(now, spark.read.parquet(f"{SF}/labels.parquet"))).where("rules.kept").select("doc_id").collect()
+            stats = quality.rule_stats(now)
+            kept = quality.apply(stats, quality.fit(stats, spark.read.parquet(f"{SF}/labels.parquet"))).where("rules.kept").select("doc_id").collect()
             assert set(after) == {r["doc_id"] for r in kept}
         if name == "near_duplicates":
             want = components([(i, r["text"]) for i, r in before.items()], corpus_pipeline.SIMILARITY)
@@ -42,6 +43,17 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() == seen[-1]
 
 
+def test_near_duplicates_go_by_id_and_text(spark):
+    """Another text under a repeated id stays; of equal rows, and of null ids with equal texts, one stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (7, c), (7, c), (None, c + " tail"), (None, "z " + a), (8, None), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, [(3, b), (5, a), (7, c), (8, None), (8, None), (9, "")]))
+    alone = spark.createDataFrame([(None, c), (None, c + " tail"), (None, c)], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, alone, SF).count() == 1
+
+
 def test_hostile_and_empty(spark):
     docs = hostile(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
