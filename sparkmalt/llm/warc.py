@@ -55,6 +55,12 @@ def parse(raw: bytes) -> tuple[dict[str, str], int, bytes]:
     return fields, stated, payload
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; the names that Hadoop has for object stores are known, too."""
+    scheme, sep, rest = path.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "gs": "gs"}.get(scheme, scheme) + sep + rest)
+
+
 def page_of(uri: str) -> int | None:
     number = uri.rpartition(":")[2].rstrip(">")
     return int(number) if number else None
@@ -78,12 +84,12 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     """
     spark = pages.sparkSession
     path = path or fresh(spark, "warc")
-    files, root = fs.FileSystem.from_uri(path)
+    files, root = store_of(path)
     files.create_dir(f"{root}/archives", recursive=True)
     rows = with_repeats(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")), "page_id", "html")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(path)
+        files, root = store_of(path)
         out, name, at, index = None, "", 0, []
         for batch in batches:
             for row in batch.to_pylist():
@@ -131,7 +137,7 @@ def read(index: DataFrame, gap: int = GAP_BYTES, most: int = READ_BYTES) -> Data
                 name = f"{run[0]['root']}/archives/{run[0]['file']}"
                 if name not in files:
                     files.clear()
-                    store, root = fs.FileSystem.from_uri(name)
+                    store, root = store_of(name)
                     files[name] = store.open_input_file(root)
                 start = run[0]["offset"]
                 data = files[name].read_at(run[-1]["offset"] + run[-1]["length"] - start, start)
