@@ -401,7 +401,10 @@ def mapped(sheets: DataFrame, own: str | None = None) -> DataFrame:
     rows = with_header_map(with_supplier(sheets))
     mine = F.coalesce(F.col(own), nothing()) if own else nothing()
     headed = F.exists(cols, lambda c: c["header"] != "")
-    rows = settled(rows, {"mapping": over(over(profile_map(F.col("supplier"), cols), F.when(headed, F.col("by_header")).otherwise(nothing())), mine)})
+    below = over(profile_map(F.col("supplier"), cols), F.when(headed, F.col("by_header")).otherwise(nothing()))
+    # a column that the scores have chosen for a field stands for nothing else
+    below = F.map_filter(below, lambda f, c: ~F.array_contains(F.map_values(mine), c))
+    rows = settled(rows, {"mapping": over(below, mine)})
     rows = settled(rows, {"mapping": F.when(F.size(m) == 0, guessed(cols)).otherwise(m)})
     rows = settled(rows, {"mapping": F.when(F.size(m) == 0, guessed_by_content(cols)).otherwise(m)})
     rows = settled(rows, {"mapping": stock_settled(m, cols)})
