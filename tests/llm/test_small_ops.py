@@ -66,6 +66,33 @@ def test_sharding_query(spark):
     assert set(slots) == set(range(8)) and any(r["grown_shard"] == 8 for r in rows)
 
 
+def test_shards_are_those_of_greatest_hash(spark):
+    """``shard`` and ``grown_shard`` against the hashes themselves, one by one."""
+    rows = queries.op9_sharding(spark, SF).collect()
+    ids = spark.createDataFrame([(r["doc_id"], i) for r in rows for i in range(9)], "k long, i int")
+    hashes = {(r["k"], r["i"]): r["h"] for r in ids.select("k", "i", F.xxhash64(F.lit(11), F.col("i"), F.col("k")).alias("h")).collect()}
+    for r in rows:
+        best = lambda n: max(range(n), key=lambda i: hashes[r["doc_id"], i])  # noqa: B023, E731
+        assert r["shard"] == best(8) and r["grown_shard"] == best(9)
+
+
+def test_many_copies_of_a_row_spread(spark):
+    """A row that is repeated far beyond a bucket's size lies in many buckets; nothing is lost and reruns agree."""
+    rows = [(None, "the same text again"), *[(i, f"text {i}") for i in range(50)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.withColumn("n", F.when(F.col("doc_id").isNull(), 3000).otherwise(1)).withColumn("x", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n", "x")
+    seen = []
+    for parts in (1, 7):
+        out = shards.shuffled_shards(docs.repartition(parts), 2, bucket_bytes=8192).collect()
+        assert len(out) == 3050
+        slots = defaultdict(list)
+        for r in out:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        seen.append(Counter((r["shard"], r["slot"], r["doc_id"]) for r in out))
+    assert seen[0] == seen[1]
+
+
 def test_sharding_hostile_and_repeatable(spark):
     docs = hostile(spark).withColumnRenamed("n", "shard")
     seen = []
