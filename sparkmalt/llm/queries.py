@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmalt.llm import chat, decontaminate, lm, neardup, pieces, quality, shards, substrings, toxicity, warc
+from sparkmalt.llm import centroids, chat, decontaminate, lm, neardup, pieces, quality, shards, substrings, topk, toxicity, turns, warc
 from sparkmalt.llm.store import table
 
 
@@ -107,6 +107,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def whole_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, vector) of ``embeddings``, components as whole 256ths."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("vector"))
+
+
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(spark, sf_dir)
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    every, found = told.select(F.col("conv_id").alias("id")).distinct(), turns.reports(turns.damaged(told))
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return every.join(found, every["id"].eqNullSafe(found["conv_id"]), "left").select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(whole_vectors(spark, sf_dir), k=40, rounds=5, dim=64, seed=2)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_substring_dedup": op2_substring_dedup,
@@ -118,8 +141,74 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_topk": op11_topk,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_centroids": op13_centroids,
 }
+
+
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """SQL of op13: a pair of steps for each round, assignment and means, and a last assignment."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS k, x FROM v ORDER BY sha256('2:' || vec_id), x LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT rn, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, min(CAST(list_inner_product(v.x, v.x) + list_inner_product(c.x, c.x) - 2 * list_inner_product(v.x, c.x) AS BIGINT) * {k} + c.k) AS d FROM v, c{i} c GROUP BY rn)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT d % {k} AS k, pos, sum(CAST(x[pos] AS BIGINT)) AS s, count(*) AS n FROM a{i}, range(1, 65) t(pos) GROUP BY ALL)""")
+            steps.append(f"""n{i} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) / n AS DOUBLE) ORDER BY pos) AS x FROM m{i} GROUP BY k)""")
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN n{i} n ON c.k = n.k)""")
+    return f"""WITH {", ".join(steps)},
+        f AS (SELECT vec_id, d % {k} AS k, d // {k} AS distance FROM a{rounds})
+        SELECT f.vec_id, CAST(f.k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY f.k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(list_transform(c.x, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256
+        FROM f JOIN c{rounds} c ON f.k = c.k"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_topk": """
+        WITH v AS (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.rn, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.rn <> c.rn WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS place FROM s)
+        SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
+    """,
+    # the least (cost, audit) of every state after every row; roles follow from the audit, as they take turns
+    "op12_turn_repair": """
+        WITH RECURSIVE told AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+        crc AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT))),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, e: xor(x >> 1, (x & 1) * 3988292384)))) % 20 AS kind FROM told),
+        d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM crc, range(1, 3) t(n) WHERE kind <> 0 AND (n = 1 OR kind = 3)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j, left(role, 1) AS i,
+            regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS z FROM d),
+        r AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY j) > 1 THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+            lag(i) OVER (PARTITION BY conv_id ORDER BY j) || i AS pair FROM o),
+        facts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+        put(before, after, n) AS (VALUES ('', 's', 0), ('', 'u', 0), ('', 'a', 1), ('', '', 0), ('s', 'u', 0), ('s', 'a', 1), ('s', '', 2), ('u', 'u', 1), ('u', 'a', 0), ('u', '', 1), ('a', 'u', 0), ('a', 'a', 1), ('a', '', 0)),
+        ways AS (SELECT conv_id, j, i AS after, 'K' AS edit, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS price FROM r WHERE fault IS NULL OR fault = 'truncated'
+            UNION ALL SELECT conv_id, j, x, 'R', CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END FROM r, (VALUES ('u'), ('a')) t(x) WHERE fault IS NULL OR fault = 'truncated'),
+        dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS j, '' AS state, '0000000000' AS way FROM facts
+            UNION ALL
+            SELECT conv_id, j, state, min(way) FROM (
+                SELECT dp.conv_id, ways.j, ways.after AS state, lpad(CAST(CAST(left(way, 10) AS BIGINT) + 3 * put.n + price AS VARCHAR), 10, '0') || substr(way, 11) || repeat('I', put.n) || edit AS way
+                FROM dp JOIN ways ON dp.conv_id IS NOT DISTINCT FROM ways.conv_id AND ways.j = dp.j + 1 JOIN put ON put.before = dp.state AND put.after = ways.after AND ways.after <> ''
+                UNION ALL
+                SELECT dp.conv_id, dp.j + 1, dp.state, lpad(CAST(CAST(left(way, 10) AS BIGINT) + 4 AS VARCHAR), 10, '0') || substr(way, 11) || 'D' FROM dp JOIN facts ON dp.conv_id IS NOT DISTINCT FROM facts.conv_id AND dp.j < n) GROUP BY conv_id, j, state),
+        ends AS (SELECT dp.conv_id, min(lpad(CAST(CAST(left(way, 10) AS BIGINT) + 3 * put.n AS VARCHAR), 10, '0') || substr(way, 11) || repeat('I', put.n)) AS way
+            FROM dp JOIN facts ON dp.conv_id IS NOT DISTINCT FROM facts.conv_id AND dp.j = n JOIN put ON put.before = dp.state AND put.after = '' GROUP BY dp.conv_id),
+        letters AS (SELECT conv_id, p, substr(way, 10 + p, 1) AS edit, length(replace(left(substr(way, 11), p), 'I', '')) AS j, length(replace(left(substr(way, 11), p), 'D', '')) AS nth FROM ends, range(1, 100000) t(p) WHERE p <= length(way) - 10),
+        turns AS (SELECT letters.*, r.role, r.text, r.i, max(CASE WHEN edit = 'K' AND nth = 1 AND r.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY letters.conv_id) AS system
+            FROM letters LEFT JOIN r ON edit <> 'I' AND letters.conv_id IS NOT DISTINCT FROM r.conv_id AND letters.j = r.j),
+        texts AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS t FROM turns WHERE edit <> 'D' GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(CAST(left(way, 10) AS BIGINT), 0) AS cost, coalesce(substr(way, 11), '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON c.conv_id IS NOT DISTINCT FROM facts.conv_id LEFT JOIN ends ON c.conv_id IS NOT DISTINCT FROM ends.conv_id LEFT JOIN texts ON c.conv_id IS NOT DISTINCT FROM texts.conv_id
+    """,
+    "op13_centroids": clusters_sql(),
     "op6_chat": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
