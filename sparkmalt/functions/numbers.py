@@ -39,3 +39,8 @@ def probe(c: Column) -> Column:
     """A cell as a number after all but digits, point, sign, slash and percent is gone."""
     t = F.regexp_replace(F.replace(F.replace(clean(c), F.lit(" "), F.lit("")), F.lit(","), F.lit(".")), r"[^\d.\-/%]", "")
     return F.regexp_replace(t, "%+$", "").try_cast("double")
+
+
+def counted(c: Column) -> Column:
+    """``probe`` of a cell in which little but a number and its unit stands: at most two letters before the first digit and eight after it."""
+    return F.when(clean(c).rlike(r"(?u)^\P{L}*(\p{L}\P{L}*){0,2}?\d\P{L}*(\p{L}\P{L}*){0,8}$"), probe(c))

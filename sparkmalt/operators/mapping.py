@@ -2,8 +2,11 @@
 
 Headings are scored against the word registry and column contents against the
 fields, both as Column expressions; only the fuzzy ratio (for pairs that could
-reach it) and the greedy one-to-one choice per sheet, over tens of rows, run in
-Python.
+reach it) and the choice per sheet, over tens of rows, run in Python.
+
+One choice is made for a sheet over headings, contents and rules: headings that
+name a field beyond doubt or that equal one of its words are fixed, and the other
+columns go to the other fields so that the scores of all pairs add up to most.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from sparkmalt.functions.numbers import probe
+from sparkmalt.functions.numbers import counted
 from sparkmalt.functions.text import settled
 from sparkmalt.operators.headers import SHEET, heading
 from sparkmalt.sources.registry import FIELDS
@@ -23,6 +26,7 @@ from sparkmalt.sources.registry import FIELDS
 SAMPLE_ROWS = 40
 CONTENT_WEIGHT = 3.0
 EXACT, PART, WITHIN, FUZZY, FUZZY_FROM = 10.0, 6.0, 3.0, 4.0, 0.82
+RULE_WEIGHT = 10.0  # what a pair gains if the rules propose it, too
 # Words that lower or raise a field's score, and rules for headings, in order: fixed values.
 LOWER, RAISE = {"beer_name": ["описан", "description", "стиль", "style", "коммент", "примечан"]}, {"description": ["описан", "description", "коммент", "примечан"]}
 CONTENT_STYLES = ["ipa", "lager", "ale", "stout", "porter", "pilsner", "gose", "neipa", "сайсон", "стаут", "эль", "лагер"]
@@ -66,7 +70,7 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def header_scores(headers: DataFrame, keywords: dict[str, list[str]] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """``headers`` (with ``header``) times fields: field, field_order, header_score. Words are literals, so nothing is shuffled but the best per field."""
+    """``headers`` (with ``header``) times fields: field, field_order, header_score, and exact for a heading that equals one of the field's words. Words are literals, so nothing is shuffled but the best per field."""
     keywords, weights = keywords or FIELDS, weights or {}
     words = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_order"), F.lit(heading_text(w)).alias("word"), F.lit(float(weights.get(f, 1.0))).alias("weight")) for i, (f, ws) in enumerate(keywords.items()) for w in ws])
     pairs = headers.withColumn("h", heading(F.col("header"))).where("h <> ''").withColumn("k", F.explode(words))
@@ -78,7 +82,7 @@ def header_scores(headers: DataFrame, keywords: dict[str, list[str]] | None = No
     pairs = pairs.withColumn("word", w).join(alike, ["h", "word"], "left")
     best = F.coalesce(plain, FUZZY * F.col("ratio"), F.lit(0.0)) * F.col("k.weight")
     columns = headers.columns
-    scored = pairs.withColumn("score", best).groupBy(*columns, "h", F.col("k.field").alias("field"), F.col("k.field_order").alias("field_order")).agg(F.max("score").alias("score"))
+    scored = pairs.withColumn("score", best).groupBy(*columns, "h", F.col("k.field").alias("field"), F.col("k.field_order").alias("field_order")).agg(F.max("score").alias("score"), F.max(w == h).alias("exact"))
     change = F.lit(0.0)
     for field, found in LOWER.items():
         for x in found:
@@ -96,7 +100,7 @@ def heading_text(word: str) -> str:
 def content_scored(columns: DataFrame) -> DataFrame:
     """``columns`` (with ``values``, a column's first cell texts) with scores 0 to 10, s_<field>, instead of the values."""
     out = settled(columns, {"__v": F.transform("values", lambda x: F.trim(x))})
-    out = settled(out, {"__numbers": F.filter(F.transform("__v", probe), lambda x: x.isNotNull()), "__text": F.lower(F.array_join("__v", " ")), "__n": F.size("__v")})
+    out = settled(out, {"__numbers": F.filter(F.transform("__v", counted), lambda x: x.isNotNull()), "__text": F.lower(F.array_join("__v", " ")), "__n": F.size("__v")})
     v, n, numbers, k, text = F.col("__v"), F.col("__n"), F.col("__numbers"), F.size("__numbers"), F.col("__text")
     out = settled(out, {"__share": F.when(n > 0, k / n).otherwise(0.0), "__length": F.aggregate(v, F.lit(0.0), lambda a, x: a + F.length(x)) / F.greatest(n, F.lit(1))})
     share, length = F.col("__share"), F.col("__length")
@@ -133,37 +137,100 @@ def samples(cells: DataFrame, header_rows: DataFrame, rows: int = SAMPLE_ROWS) -
 
 
 def candidates(cells: DataFrame, header_rows: DataFrame, keywords: dict[str, list[str]] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """(file_id, sheet, col_idx, header, field, field_order, header_score, content_score)."""
+    """(file_id, sheet, col_idx, header, field, field_order, header_score, exact, content_score)."""
     headers = cells.join(header_rows, SHEET).where("row_idx = header_row").select(*SHEET, "col_idx", F.trim("value").alias("header"))
     content = content_scored(samples(cells, header_rows))
     out = header_scores(headers, keywords, weights).join(content, [*SHEET, "col_idx"], "left")
     score = F.coalesce(*[F.when(F.col("field") == c[2:], F.col(c)) for c in content.columns if c.startswith("s_")], F.lit(0.0))
-    return out.select(*SHEET, "col_idx", "header", "field", "field_order", "header_score", score.alias("content_score"))
+    return out.select(*SHEET, "col_idx", "header", "field", "field_order", "header_score", "exact", score.alias("content_score"))
 
 
-def assigned(scored: DataFrame) -> DataFrame:
-    """(file_id, sheet, field, col_idx): headings beyond doubt first, then the best totals, each field and column once.
+def matched(weights: list[list[float]]) -> list[int]:
+    """For rows and columns of weights, each row's column in the matching of greatest sum, -1 for none; only weights over 0 count.
 
-    Equal totals go by field order, then column. A sheet has columns times fields rows, so a group is small.
+    Of equal sums the one is taken that gives the first row the smallest column,
+    then the second, and so on, none last. Shortest augmenting paths over whole
+    numbers: a weight in thousandths, above digits that hold the rule for ties.
+    """
+    n, m = len(weights), len(weights[0]) if weights else 0
+    scale = (m + 1) ** n
+    cost = [[-(round(w * 1000) * scale + (m - j) * (m + 1) ** (n - 1 - i)) if w > 0 else 1 for j, w in enumerate(row)] + [0] * n for i, row in enumerate(weights)]
+    high, low = [0] * (n + 1), [0] * (m + n + 1)
+    owner = [0] * (m + n + 1)  # row of each column, both from 1
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        least: list[int | None] = [None] * (m + n + 1)
+        before, done = [0] * (m + n + 1), [False] * (m + n + 1)
+        while owner[at]:
+            done[at] = True
+            i, step, best = owner[at], None, 0
+            for j in range(1, m + n + 1):
+                if not done[j]:
+                    now = cost[i - 1][j - 1] - high[i] - low[j]
+                    if least[j] is None or now < least[j]:
+                        least[j], before[j] = now, at
+                    if step is None or least[j] < step:
+                        step, best = least[j], j
+            for j in range(m + n + 1):
+                if done[j]:
+                    high[owner[j]] += step
+                    low[j] -= step
+                elif least[j] is not None:
+                    least[j] -= step
+            at = best
+        while at:
+            owner[at] = owner[before[at]]
+            at = before[at]
+    out = [-1] * n
+    for j in range(1, m + 1):
+        if owner[j] and weights[owner[j] - 1][j - 1] > 0:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
+def choice(pairs: pd.DataFrame) -> dict[str, int]:
+    """Field to column for the pairs of one sheet (col_idx, field, field_order, total, exact, locked): locks, exact headings, then the best matching of the rest.
+
+    The leftmost column of a lock gets its field; of several headings that equal
+    a field's words the one of the highest total, then the leftmost. A locked
+    column is for no other field.
+    """
+    locks = {c: x for c, x in zip(pairs["col_idx"], pairs["locked"], strict=True) if isinstance(x, str)}
+    chosen: dict[str, int] = {}
+    for c in sorted(locks):
+        if not locks[c].startswith("__"):
+            chosen.setdefault(locks[c], c)
+    used = set(chosen.values())
+    rows = pairs.sort_values(["field_order", "total", "col_idx"], ascending=[True, False, True], kind="stable")
+    free = lambda r: r.field not in chosen and r.col_idx not in used and locks.get(r.col_idx) is None
+    for r in rows.itertuples():
+        if r.exact and free(r):
+            chosen[r.field] = r.col_idx
+            used.add(r.col_idx)
+    left = [r for r in rows.itertuples() if r.field not in chosen and r.total > 0 and r.col_idx not in used and locks.get(r.col_idx, r.field) == r.field]
+    fields, columns = list(dict.fromkeys(r.field for r in left)), sorted({r.col_idx for r in left})
+    total = {(r.field, r.col_idx): r.total for r in left}
+    found = matched([[total.get((f, c), 0.0) for c in columns] for f in fields])
+    return chosen | {f: columns[j] for f, j in zip(fields, found, strict=True) if j >= 0}
+
+
+def assigned(scored: DataFrame, ruled: DataFrame | None = None) -> DataFrame:
+    """(file_id, sheet, field, col_idx): the choice for every sheet, each field and column once.
+
+    ``ruled`` (same columns as the result) are pairs that rules propose; they
+    weigh RULE_WEIGHT more. A sheet has columns times fields rows, so a group is small.
     """
     total = F.col("header_score") + CONTENT_WEIGHT * F.col("content_score")
-    rows = scored.withColumn("locked", locked_field(F.col("header"))).withColumn("total", total)
+    rows = scored
+    if ruled is not None:
+        keys = [*SHEET, "field", "col_idx"]
+        rows = rows.join(ruled.select(*keys).distinct().withColumn("ruled", F.lit(RULE_WEIGHT)), keys, "left")
+        total = total + F.coalesce("ruled", F.lit(0.0))
+    rows = rows.select(*SHEET, "col_idx", "field", "field_order", "exact", locked_field(F.col("header")).alias("locked"), total.alias("total"))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        chosen: dict[str, int] = {}
-        columns = group.drop_duplicates("col_idx").sort_values("col_idx")
-        locks = dict(zip(columns["col_idx"], columns["locked"], strict=True))
-        for col, lock in locks.items():
-            if lock and not lock.startswith("__"):
-                chosen.setdefault(lock, col)
-        used = set(chosen.values()) | {c for c, x in locks.items() if x and x.startswith("__")}
-        for r in group.sort_values(["total", "field_order", "col_idx"], ascending=[False, True, True], kind="stable").itertuples():
-            lock = locks[r.col_idx]
-            if r.total > 0 and r.field not in chosen and r.col_idx not in used and (not lock or lock == r.field):
-                chosen[r.field] = r.col_idx
-                used.add(r.col_idx)
         head = group.iloc[0]
-        return pd.DataFrame([(head["file_id"], head["sheet"], f, c) for f, c in chosen.items()], columns=["file_id", "sheet", "field", "col_idx"])
+        return pd.DataFrame([(head["file_id"], head["sheet"], f, c) for f, c in choice(group).items()], columns=["file_id", "sheet", "field", "col_idx"])
 
     return rows.groupBy(*SHEET).applyInPandas(choose, "file_id string, sheet string, field string, col_idx int")
 

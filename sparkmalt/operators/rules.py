@@ -389,27 +389,36 @@ def profile_map(supplier: Column, columns: Column) -> Column:
     return F.when(supplier["kind"] == "distributor", many).when((supplier["kind"] == "brewery") & supplier["name"].isNotNull(), style).otherwise(nothing())
 
 
-def mapped(sheets: DataFrame, own: str | None = None) -> DataFrame:
-    """``sheets`` (of profiles, with an optional column ``own``: the mapping by scores) with ``supplier`` and ``mapping``.
+def proposed(sheets: DataFrame) -> DataFrame:
+    """``sheets`` (of profiles) with ``supplier`` and ``proposed``: the fields that the supplier's profile and, above it, the headings give to columns."""
+    cols = F.col("columns")
+    rows = with_header_map(with_supplier(sheets))
+    headed = F.exists(cols, lambda c: c["header"] != "")
+    return settled(rows, {"proposed": over(profile_map(F.col("supplier"), cols), F.when(headed, F.col("by_header")).otherwise(nothing()))}).drop("by_header")
+
+
+def completed(sheets: DataFrame, own: str | None = None) -> DataFrame:
+    """``sheets`` of ``proposed`` with ``mapping`` instead: the choice ``own`` first, then what is proposed for other fields and columns.
 
-    The supplier's profile gives way to the headings, and these to ``own``; a
-    sheet without any gets a guess by position, then by content. Then the stock
+    A sheet without any gets a guess by position, then by content. Then the stock
     column is checked, missing names and prices are filled from contents, and a
     packaging field at a stock heading is put right.
     """
     cols, m = F.col("columns"), F.col("mapping")
-    rows = with_header_map(with_supplier(sheets))
     mine = F.coalesce(F.col(own), nothing()) if own else nothing()
-    headed = F.exists(cols, lambda c: c["header"] != "")
-    below = over(profile_map(F.col("supplier"), cols), F.when(headed, F.col("by_header")).otherwise(nothing()))
-    # a column that the scores have chosen for a field stands for nothing else
-    below = F.map_filter(below, lambda f, c: ~F.array_contains(F.map_values(mine), c))
-    rows = settled(rows, {"mapping": over(below, mine)})
+    # a column that is chosen for a field stands for nothing else
+    below = F.map_filter("proposed", lambda f, c: ~F.array_contains(F.map_values(mine), c))
+    rows = settled(sheets, {"mapping": over(below, mine)}).drop("proposed")
     rows = settled(rows, {"mapping": F.when(F.size(m) == 0, guessed(cols)).otherwise(m)})
     rows = settled(rows, {"mapping": F.when(F.size(m) == 0, guessed_by_content(cols)).otherwise(m)})
     rows = settled(rows, {"mapping": stock_settled(m, cols)})
     rows = settled(rows, {"mapping": F.when(has(m, "beer_name") & has(m, "price"), m).otherwise(filled(m, cols))})
-    return settled(rows, {"mapping": format_repaired(m, cols)}).drop("by_header")
+    return settled(rows, {"mapping": format_repaired(m, cols)})
+
+
+def mapped(sheets: DataFrame, own: str | None = None) -> DataFrame:
+    """``sheets`` (of profiles, with an optional column ``own``: a mapping that wins) with ``supplier`` and ``mapping``."""
+    return completed(proposed(sheets), own)
 
 
 def style_only(values: Column) -> Column:

@@ -34,10 +34,11 @@ def sheets(cells: DataFrame) -> DataFrame:
     """(file_id, sheet, header_row, mapping, supplier, prices), a row per sheet."""
     top = written(cells.where(F.col("row_idx") < FIRST_ROWS), "first-rows")
     heads = written(headers.found(top), "heading-rows")
-    chosen = mapping.assigned(mapping.candidates(top, heads.where("header_row >= 0")))
+    seen = written(rules.proposed(rules.profiles(top, heads)), "proposed")
+    ruled = seen.select(*SHEET, F.explode("proposed").alias("field", "col_idx"))
+    chosen = mapping.assigned(mapping.candidates(top, heads.where("header_row >= 0")), ruled)
     own = chosen.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("field", "col_idx"))).alias("own"))
-    seen = rules.profiles(top, heads).join(own, SHEET, "left").join(heads, SHEET)
-    found = rules.mapped(seen, "own")
+    found = rules.completed(seen.join(own, SHEET, "left").join(heads, SHEET), "own")
     return found.select(*SHEET, "header_row", "mapping", "supplier", price_columns(F.col("mapping"), F.col("columns")).alias("prices"))
 
 

@@ -6,12 +6,18 @@ hangs on its number, so every expected value does, too.
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmalt.functions import packaging
 from sparkmalt.operators import extract, headers, mapping, pages, rules
 from sparkmalt.plans import bound, ingest, sheets
+from sparkmalt.sources import files
 
 FIELDS = list(sheets.COLUMNS.values())
 N = len(FIELDS)
@@ -106,6 +112,53 @@ def ruled(s: SparkSession, d: str) -> DataFrame:
     return found.select("file_id", F.explode("mapping").alias("field", "col_idx")).where("field IN ('brewery', 'beer_name', 'price', 'stock', 'format_type', 'description')")
 
 
+def digit_columns(s: SparkSession, d: str) -> DataFrame:
+    """(file_id, field, col_idx) by scores and rules together: names that end in digits, beside columns of strengths, bitterness and prices in any order.
+
+    In every third list no heading but the names' says what stands below.
+    """
+    n, at = F.col("list"), F.col("at")
+    heading = F.array(F.when(n % 2 == 0, "Название").otherwise("Товар"), F.when(n % 3 == 1, "Wert A").otherwise("Цена"), F.when(n % 3 == 1, "Wert B").otherwise("Крепость"), F.when(n % 3 == 1, "Wert C").otherwise("Пивоварня"))
+    strength = F.concat((F.col("id") % 9 + 3).cast("string"), F.when(at % 2 == 0, ",5%").otherwise("%"))
+    rows = numbered(s, d).withColumn("values", F.array(F.concat(F.when(at % 2 == 0, "Kellerbier ").otherwise("Rauch "), (at % 20).cast("string")), (F.col("id") % 900 + 150).cast("string"), strength, F.concat(F.lit("Haus "), F.upper("brewery"))))
+    found = ingest.sheets(spread(rows, heading, F.lit(0), F.lit(4)))
+    return found.select("file_id", F.explode("mapping").alias("field", "col_idx")).where("field IN ('beer_name', 'price', 'abv')")
+
+
+def csv_files(s: SparkSession, d: str) -> DataFrame:
+    """(file_id, content): lists as CSV files with up to two lines of one cell and a blank one above the heading, rows that are longer than the heading or end early, and quoted cells with commas and line ends."""
+    values = F.array("brewery", "beer_name", "style", F.col("price").cast("string"), F.concat(F.col("volume").cast("int").cast("string"), F.lit(" л")), "format_type")
+    lists = numbered(s, d).groupBy("file_id", "list").agg(F.sort_array(F.collect_list(F.struct("at", values.alias("values")))).alias("rows"))  # sheets.ROWS rows each
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for n, rows in zip(batch["list"], batch["rows"], strict=True):
+                text = io.StringIO()
+                write = csv.writer(text, lineterminator="\r\n" if n % 2 else "\n")
+                for i in range(n % 3):
+                    write.writerow([f"Телефон +7 495 123-45-6{i}"])
+                if n % 3:
+                    text.write("\n")
+                write.writerow(list(sheets.COLUMNS))
+                for r in rows:
+                    v = list(r["values"])
+                    write.writerow(v[:5] if r["at"] % 7 == 3 else [*v, "first, second\nthird"] if r["at"] % 7 == 5 else v)
+                out.append(text.getvalue().encode("utf-8-sig" if n % 4 == 1 else "cp1251" if n % 4 == 2 else "utf-8"))
+            yield pd.DataFrame({"file_id": batch["file_id"], "content": out})
+
+    return lists.mapInPandas(run, "file_id string, content binary")
+
+
+def csv_widths(s: SparkSession, d: str) -> DataFrame:
+    """(file_id, row_idx, width, chars): how wide each record of the CSV files is, and how many characters its cells hold."""
+    return files.csv_records(csv_files(s, d)).groupBy("file_id", "row_idx").agg((F.max("col_idx") + 1).alias("width"), F.sum(F.length("value")).alias("chars"))
+
+
+def csv_ingest(s: SparkSession, d: str) -> DataFrame:
+    return sheets.item_fields(ingest.items(files.csv_records(csv_files(s, d), sheet="Пиво")))
+
+
 def guesses(s: SparkSession, d: str) -> DataFrame:
     """(file_id, header_row, field, col_idx) of lists without headings."""
     cells = bare(s, d)
@@ -205,6 +258,9 @@ QUERIES = {
     "multi_price_ingest": multi_price,
     "rule_columns": ruled,
     "guessed_columns": guesses,
+    "digit_columns": digit_columns,
+    "csv_widths": csv_widths,
+    "csv_ingest": csv_ingest,
     "supplier_kinds": supplier_kinds,
     "page_products": page_products,
     "page_lines": page_lines,
@@ -228,6 +284,13 @@ ORACLES = {
     "rule_columns": _LISTS
     + f"""SELECT DISTINCT fid AS file_id, field, ((j + n) % 5)::INT AS col_idx FROM (SELECT fid, n, unnest(['brewery', 'beer_name', 'price', {_STOCK}, CASE WHEN n % 4 = 3 THEN 'format_type' ELSE 'description' END, CASE WHEN n % 4 = 2 THEN 'format_type' END]) AS field, unnest([0, 1, 2, 3, 4, 3]) AS j FROM lists) WHERE field IS NOT NULL""",
     "guessed_columns": _LISTS + "SELECT DISTINCT fid AS file_id, -1 AS header_row, field, ((j + n) % 2)::INT AS col_idx FROM (SELECT fid, n, unnest(['beer_name', 'price']) AS field, unnest([0, 1]) AS j FROM lists)",
+    "digit_columns": _LISTS + "SELECT DISTINCT fid AS file_id, field, ((j + n) % 4)::INT AS col_idx FROM lists, (SELECT unnest(['beer_name', 'price', 'abv']) AS field, unnest([0, 1, 2]) AS j)",
+    "csv_widths": _LISTS
+    + f"""SELECT fid AS file_id, (pos + 1 + n % 3 + (n % 3 > 0)::INT)::INT AS row_idx, CASE pos % 7 WHEN 3 THEN 5 WHEN 5 THEN 7 ELSE 6 END AS width,
+            length(brewery) + length(beer_name) + length(style) + length(price::VARCHAR) + length(volume::INT::VARCHAR) + 2 + CASE pos % 7 WHEN 3 THEN 0 WHEN 5 THEN 19 + length(format_type) ELSE length(format_type) END AS chars FROM lists
+        UNION ALL SELECT DISTINCT fid, (n % 3 + (n % 3 > 0)::INT)::INT, 6, {sum(map(len, sheets.COLUMNS))} FROM lists
+        UNION ALL SELECT DISTINCT fid, i::INT, 1, 24 FROM lists, range(0, 2) r(i) WHERE i < n % 3""",
+    "csv_ingest": _LISTS + "SELECT fid AS file_id, pos + 1 + n % 3 + (n % 3 > 0)::INT AS row_idx, brewery, beer_name, style, price::DECIMAL(10, 2)::DOUBLE AS price, currency, volume, CASE WHEN pos % 7 = 3 THEN '' ELSE format_type END AS format_type, true AS is_valid FROM lists",
     "supplier_kinds": _LISTS
     + """, b AS (SELECT n, fid, count(DISTINCT brewery) AS breweries FROM (SELECT * FROM lists WHERE pos < 20) GROUP BY ALL)
         SELECT CASE WHEN n % 8 = 3 THEN 'Прайс ' ELSE 'lot ' END || fid || '.xlsx' AS file_id,

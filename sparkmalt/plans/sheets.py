@@ -169,7 +169,7 @@ QUERIES = {
     "sheet_ingest": lambda s, d: item_fields(ingest.items(cells(s, d))),
     "grid_ingest": grid_ingest,
     "column_assignment": mapped,
-    "fuzzy_header_scores": lambda s, d: mapping.header_scores(misspelt(s, d)),
+    "fuzzy_header_scores": lambda s, d: mapping.header_scores(misspelt(s, d)).drop("exact"),
     "text_dump": lambda s, d: files.text_dump(cells(s, d)).select("file_id", "row_idx", "text"),
     "forward_fill": lambda s, d: extract.forward_filled(gappy(s, d)).select("id", "brewery"),
     "continuation": lambda s, d: extract.continued(gappy(s, d)).select("id", "beer_name", "style"),

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import codecs
+import csv
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ENCODINGS = ["utf-8-sig", "cp1251"]  # of price lists, the first that fits; what fits none is read as the last, with marks for what it lacks
+CELLS_AT_ONCE = 20_000
+
 
 def file_type(name: Column) -> Column:
     n = F.lower(name)
@@ -44,14 +51,51 @@ def with_looks(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"hidden": F.lit(False), "strike": F.lit(False), "font_rgb": F.lit(None).cast("string")})
 
 
-def csv_cells(spark: SparkSession, path: str, sheet: str = "csv") -> DataFrame:
-    """A CSV export as cells; lines keep their order within a file."""
-    lines = spark.read.option("header", "false").option("multiLine", "true").csv(path).withColumn("file_id", F.input_file_name())
-    columns = [c for c in lines.columns if c != "file_id"]
-    w = Window.partitionBy("file_id").orderBy("__at")
-    numbered = lines.withColumn("__at", F.monotonically_increasing_id()).withColumn("row_idx", F.row_number().over(w) - 1)
-    cells = numbered.select("file_id", F.lit(sheet).alias("sheet"), "row_idx", F.posexplode(F.array(*[F.col(c) for c in columns])).alias("col_idx", "value"))
-    return with_looks(cells.where(F.col("value").isNotNull() & (F.trim("value") != "")))
+def encoding(content: bytes) -> str:
+    """The first of ENCODINGS in which the content can be read, checked piece by piece."""
+    for name in ENCODINGS[:-1]:
+        decoder = codecs.getincrementaldecoder(name)()
+        try:
+            for at in range(0, len(content), 1 << 20):
+                decoder.decode(content[at : at + (1 << 20)])
+            decoder.decode(b"", final=True)
+        except UnicodeDecodeError:
+            continue
+        return name
+    return ENCODINGS[-1]
+
+
+def csv_records(contents: DataFrame, sheet: str = "csv", sep: str = ",") -> DataFrame:
+    """CSV files (file_id, content) as cells; a record is as wide as it is, whatever stands above it.
+
+    ``row_idx`` is the record's number in its file, blank ones counted, so quoted
+    line ends make no rows. Cells of spaces alone are left out, as are files
+    without content. Files are UTF-8, with or without a mark, or windows-1251. A
+    file is read by one task, record by record, and cells go out in batches.
+    """
+    kinds = pa.schema([("file_id", pa.string()), ("row_idx", pa.int32()), ("col_idx", pa.int32()), ("value", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_py() or b""
+                out: list[tuple] = []
+                for r, record in enumerate(csv.reader(io.TextIOWrapper(io.BytesIO(data), encoding(data), errors="replace", newline=""), delimiter=sep)):
+                    out += [(file_id, r, c, v) for c, v in enumerate(record) if v.strip()]
+                    if len(out) >= CELLS_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), names=kinds.names).cast(kinds)
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*out, strict=True))), names=kinds.names).cast(kinds)
+
+    cells = contents.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInArrow(run, "file_id string, row_idx int, col_idx int, value string")
+    return with_looks(cells.select("file_id", F.lit(sheet).alias("sheet"), "row_idx", "col_idx", "value"))
+
+
+def csv_cells(spark: SparkSession, path: str, sheet: str = "csv", sep: str = ",") -> DataFrame:
+    """The CSV exports of a folder, or one of them, as cells (``csv_records``)."""
+    return csv_records(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "content"), sheet, sep)
 
 
 def grid_cells(grid: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from sparkmalt.functions.numbers import counted
 from sparkmalt.operators import headers, mapping, rules
 from sparkmalt.plans import sheets
 from sparkmalt.sources import registry
@@ -70,6 +72,39 @@ def test_locks_and_ties(spark):
     assert chosen(spark, [["Wert", "Wert"], ["a", "a"]], {"currency": ["wert"], "style": ["wert"]}) == {"currency": 0, "style": 1}
 
 
+def test_matching_is_the_best_and_ties_go_left():
+    """Against all matchings of small tables: greatest sum, then the smallest columns, row by row."""
+    draw = random.Random(1)
+    for _ in range(400):
+        n, m = draw.randint(0, 4), draw.randint(1, 4)
+        w = [[draw.choice([0, 0, 1, 2, 3, 2.5, -1]) for _ in range(m)] for _ in range(n)]
+        ways = [c for c in itertools.product([*range(m), m], repeat=n) if len({x for x in c if x < m}) == sum(x < m for x in c) and all(x == m or w[i][x] > 0 for i, x in enumerate(c))]
+        best = min(ways, key=lambda c: (-sum(w[i][x] for i, x in enumerate(c) if x < m), c))
+        assert mapping.matched(w) == [x if x < m else -1 for x in best]
+
+
+def test_matching_beats_the_greedy_choice(spark):
+    """The greatest single score would leave the other field nothing; both get a column that fits."""
+    scored = [("f", "s", 0, "Spalte A", "price", 0, 0.0, False, 9.0), ("f", "s", 0, "Spalte A", "abv", 1, 0.0, False, 10.0), ("f", "s", 1, "Spalte B", "abv", 1, 0.0, False, 8.0)]
+    df = spark.createDataFrame(scored, "file_id string, sheet string, col_idx int, header string, field string, field_order int, header_score double, exact boolean, content_score double")
+    assert {r["field"]: r["col_idx"] for r in mapping.assigned(df).collect()} == {"price": 0, "abv": 1}
+    ruled = spark.createDataFrame([("f", "s", "abv", 0)], "file_id string, sheet string, field string, col_idx int")
+    assert {r["field"]: r["col_idx"] for r in mapping.assigned(df.where("col_idx = 0"), ruled).collect()} == {"abv": 0}
+
+
+def test_an_exact_heading_wins_over_contents(spark):
+    """Names that end in small numbers look like strengths, and names of digits alone like bitterness; their heading says what they are."""
+    for names in ([f"Kellerbier {i}" for i in range(6)], [f"{i}" for i in range(6)], [f"Lot {i}%" for i in range(6)]):
+        rows = [["Пивоварня", "Название", "Стиль", "Цена"], *[["Alt", x, "lager", str(200 + i)] for i, x in enumerate(names)]]
+        got = chosen(spark, rows)
+        assert (got["brewery"], got["beer_name"], got["price"]) == (0, 1, 3) and got.get("abv") is None
+
+
+@pytest.mark.parametrize(("text", "number"), [("4,5%", 4.5), ("0,5 л", 0.5), ("200 руб", 200.0), ("от 5", 5.0), ("№ 7", 7.0), ("1 234", 1234.0), ("Kellerbier 4", None), ("5 Elements Stout", None), ("", None), (None, None), ("rot", None)])
+def test_counted(spark, text, number):
+    assert spark.createDataFrame([(text,)], "x string").select(counted(F.col("x")).alias("x")).first()["x"] == number
+
+
 def test_contents_decide_where_headings_say_little(spark):
     rows = [["Spalte A", "Spalte B", "Spalte C"], *[[f"{p}", f"Kellerbier vom {x} Fass aus dem tiefen kühlen Keller", f"{a},5%"] for p, a, x in [(310, 4, "roten"), (95, 5, "blauen"), (1200, 6, "alten"), (640, 7, "neuen")]]]
     got = chosen(spark, rows, registry.FIELDS)

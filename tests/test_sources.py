@@ -51,6 +51,30 @@ def test_csv_to_items(spark, tmp_path):
     assert got["Rauchbier"] == ("Neu", 310.0, 20.0) and got["Kellerbier 2"] == ("Alt", 202.0, 0.5) and len(got) == 6
 
 
+def test_csv_widths(spark, tmp_path):
+    """Cells of records wider than the first one, of other files than the first, in quotes, in either encoding, blank records counted."""
+    (tmp_path / "a.csv").write_text("Телефон 123\nПивоварня,Название,Цена\nAlt,Helles,200\n", encoding="utf-8-sig")
+    (tmp_path / "b.csv").write_bytes('Alt,"Rauch, ""rot""\r\nzwei",200,,\r\n\r\n  ,\r\nНовый,x,1,2,3,4,5\r\n'.encode("cp1251"))
+    (tmp_path / "c.csv").write_bytes(b"")
+    (tmp_path / "d.csv").write_text("x" * 300_000 + ",y", encoding="utf-8")
+    got: dict = {}
+    for r in files.csv_cells(spark, str(tmp_path)).collect():
+        got.setdefault(r["file_id"][-5], {})[r["row_idx"], r["col_idx"]] = r["value"]
+    assert got["a"] == {(0, 0): "Телефон 123", (1, 0): "Пивоварня", (1, 1): "Название", (1, 2): "Цена", (2, 0): "Alt", (2, 1): "Helles", (2, 2): "200"}
+    assert got["b"] == {(0, 0): "Alt", (0, 1): 'Rauch, "rot"\r\nzwei', (0, 2): "200", **{(3, i): v for i, v in enumerate(["Новый", "x", "1", "2", "3", "4", "5"])}}
+    assert set(got) == {"a", "b", "d"} and got["d"] == {(0, 0): "x" * 300_000, (0, 1): "y"}
+
+
+def test_csv_as_the_workbook(spark):
+    """A list with a first line of one cell gives the same items from a CSV file as from a workbook."""
+    grid = [["Телефон 123"], HEAD, *ROWS]
+    text = "\n".join(",".join(f'"{v}"' for v in r) for r in grid).encode()
+    fields = ["row_idx", "brewery", "beer_name", "style", "price", "volume", "format_type"]
+    both = [cells for cells in (files.csv_records(spark.createDataFrame([("f", text)], "file_id string, content binary")), xlsx.cells_of(spark.createDataFrame([("f", xlsx.workbook({"csv": grid}))], "file_id string, content binary")))]
+    a, b = (sorted(map(str, ingest.items(c).select(*fields).collect())) for c in both)
+    assert a == b and len(a) == len(ROWS)
+
+
 def test_metadata_of_a_list(spark):
     book = xlsx.workbook({"Пиво": [["Менеджер: a@beer.example, самовывоз"], HEAD, *ROWS]})
     cells = xlsx.cells_of(spark.createDataFrame([("f", book)], "file_id string, content binary"))
