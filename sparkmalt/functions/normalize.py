@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmalt.functions.numbers import NUMBER, first_number, safe_float
-from sparkmalt.functions.text import clean, null_if_empty, present, settled
+from sparkmalt.functions.text import clean, named, null_if_empty, present, settled
 
 # Currency words in the order in which they are looked for: fixed values.
 CURRENCIES = [("руб", "RUB"), ("рублей", "RUB"), ("рубль", "RUB"), ("р.", "RUB"), ("р", "RUB"), ("usd", "USD"), ("доллар", "USD"), ("долларов", "USD"), ("eur", "EUR"), ("евро", "EUR"), ("€", "EUR"), ("$", "USD")]
@@ -42,12 +42,14 @@ CITY_PATTERNS = [
     r"\s*,\s*Eгород\s+[А-ЯЁа-яё\s-]+",
     r"\s*,\s*Ecity\s+[А-ЯЁа-яёA-Za-z\s-]+",
 ]
+# One of these stands in every text that the patterns above can change, in small letters: fixed values.
+CITY_SIGNS = "г|спб|spb|москв|мск|msk|владимир|city"
 SEPARATORS = [" - ", " — ", " – ", "|", " / "]  # fixed values
 
 
 def looked_up(key: Column, pairs: list[tuple], default: Column) -> Column:
     """The value of the first pair whose key is equal."""
-    return reduce(lambda rest, p: F.when(key == p[0], F.lit(p[1])).otherwise(rest), reversed(pairs), default)
+    return named(key, lambda k: reduce(lambda rest, p: F.when(k == p[0], F.lit(p[1])).otherwise(rest), reversed(pairs), default))
 
 
 def abv(c: Column) -> Column:
@@ -80,22 +82,30 @@ def volume_in_price(c: Column) -> Column:
         number = F.replace(F.regexp_extract(t, pattern, 1), F.lit(","), F.lit(".")).try_cast("double")
         return litres(number, F.regexp_extract(t, pattern, 2))
 
-    return F.coalesce(found(rf"(?iu)\({NUMBER}\s*{unit}"), found(rf"(?iu){NUMBER}\s*{unit}"))
+    # most cells are a bare number
+    return F.when(t.rlike("(?iu)[лlмm]"), F.coalesce(found(rf"(?iu)\({NUMBER}\s*{unit}"), found(rf"(?iu){NUMBER}\s*{unit}")))
 
 
 def price(c: Column) -> Column:
     """Struct of price, currency and volume; all null where a cell has no number."""
-    value = first_number(c)
-    there = value.isNotNull()
-    return F.struct(value.alias("price"), F.when(there, currency_in(c)).alias("currency"), F.when(there, volume_in_price(c)).alias("volume"))
+
+    def parts(value: Column) -> Column:
+        there = value.isNotNull()
+        return F.struct(value.alias("price"), F.when(there, currency_in(c)).alias("currency"), F.when(there, volume_in_price(c)).alias("volume"))
+
+    return named(first_number(c), parts)
 
 
 def volume(c: Column) -> Column:
     """Litres: a number with a unit (none: litres), else the text as a number."""
-    t, pattern = clean(c), rf"(?iu){NUMBER}\s*([а-яa-z]+)?"
-    number = F.replace(F.regexp_extract(t, pattern, 1), F.lit(","), F.lit(".")).try_cast("double")
-    unit = F.coalesce(F.nullif(F.regexp_extract(t, pattern, 2), F.lit("")), F.lit("л"))
-    return F.coalesce(litres(number, unit), safe_float(t))
+    pattern = rf"(?iu){NUMBER}\s*([а-яa-z]+)?"
+
+    def told(t: Column) -> Column:
+        number = F.replace(F.regexp_extract(t, pattern, 1), F.lit(","), F.lit(".")).try_cast("double")
+        unit = F.coalesce(F.nullif(F.regexp_extract(t, pattern, 2), F.lit("")), F.lit("л"))
+        return F.coalesce(litres(number, unit), safe_float(t))
+
+    return named(clean(c), told)
 
 
 def packaging(c: Column) -> Column:
@@ -114,30 +124,39 @@ def brewery(c: Column, boundary: bool = False, passes: int = 5) -> Column:
     was made that way; with ``boundary`` only where a word begins.
     """
     edge = r"(?<![\p{L}])" if boundary else ""
-    patterns = [p.replace("E", edge, 1) for p in CITY_PATTERNS]
-    whole = clean(c)
-    t = whole
-    # one alternation per pass keeps the plan small; the order inside is that of the list
-    for _ in range(passes):
-        t = F.regexp_replace(t, "(?iu)" + "|".join(patterns), "")
-    t = F.regexp_replace(F.trim(F.regexp_replace(F.trim(t), ",+$", "")), r"\s+", " ")
-    kept = F.trim(F.regexp_replace(F.regexp_replace(whole, r"(?iu)\s*г\.\s*[А-ЯЁа-яё]+\s*$", ""), r"(?iu)\s*г\s+[А-ЯЁа-яё]+\s*$", ""))
-    t = F.when(F.length(t) < 2, kept).otherwise(t)
-    return F.when(is_city(t), F.lit("")).otherwise(t)
+    pattern = "(?iu)" + "|".join(p.replace("E", edge, 1) for p in CITY_PATTERNS)
+
+    def free(whole: Column) -> Column:
+        t = whole
+        # one alternation per pass keeps the plan small; the order inside is that of the list
+        for _ in range(passes):
+            t = F.regexp_replace(t, pattern, "")
+        return F.when(F.lower(whole).rlike(CITY_SIGNS), t).otherwise(whole)
+
+    def told(whole: Column) -> Column:
+        t = F.regexp_replace(F.trim(F.regexp_replace(F.trim(free(whole)), ",+$", "")), r"\s+", " ")
+        kept = F.trim(F.regexp_replace(F.regexp_replace(whole, r"(?iu)\s*г\.\s*[А-ЯЁа-яё]+\s*$", ""), r"(?iu)\s*г\s+[А-ЯЁа-яё]+\s*$", ""))
+        return named(t, lambda t: F.when(F.length(t) < 2, kept).otherwise(t))
+
+    return named(named(clean(c), told), lambda t: F.when(is_city(t), F.lit("")).otherwise(t))
 
 
 def split_brewery(name: Column, brewery_: Column) -> Column:
     """Struct (brewery, beer_name): "Brewery - Name" parted at the first separator that fits, if there is no brewery yet."""
-    t = clean(name)
-    parts = F.lit(None).cast("array<string>")
-    for sep in reversed(SEPARATORS):
-        at = F.instr(t, sep)
-        left, right = F.trim(F.substring(t, F.lit(1), at - 1)), F.trim(F.substr(t, at + len(sep)))
-        parts = F.when((at > 0) & (left != "") & (right != ""), F.array(left, right)).otherwise(parts)
-    left, right = parts[0], parts[1]
-    fits = ~present(brewery_) & (F.length(left).between(2, 80)) & (F.length(right) >= 2) & ~left.rlike(r"\d")
-    fits = F.coalesce(fits, F.lit(False))
-    return F.struct(F.when(fits, left).otherwise(brewery_).alias("brewery"), F.when(fits, right).otherwise(name).alias("beer_name"))
+
+    def parts(t: Column) -> Column:
+        found = F.lit(None).cast("array<string>")
+        for sep in reversed(SEPARATORS):
+            at = F.instr(t, sep)
+            left, right = F.trim(F.substring(t, F.lit(1), at - 1)), F.trim(F.substr(t, at + len(sep)))
+            found = F.when((at > 0) & (left != "") & (right != ""), F.array(left, right)).otherwise(found)
+        return found
+
+    def told(p: Column) -> Column:
+        fits = ~present(brewery_) & (F.length(p[0]).between(2, 80)) & (F.length(p[1]) >= 2) & ~p[0].rlike(r"\d")
+        return F.when(F.coalesce(fits, F.lit(False)), F.struct(p[0].alias("brewery"), p[1].alias("beer_name"))).otherwise(F.struct(brewery_.alias("brewery"), name.alias("beer_name")))
+
+    return named(named(clean(name), parts), told)
 
 
 def normalized(items: DataFrame) -> DataFrame:

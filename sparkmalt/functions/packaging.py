@@ -34,7 +34,7 @@ def litres(c: Column) -> Column:
     whole = F.regexp_extract(t, r"(?iu)(\d+)\s*л(?!\p{L})", 1).try_cast("double")
     around = F.regexp_extract_all(t, F.lit(r"(?iu).{0,6}?\d+[.,]?\d*.{0,12}"), F.lit(0))
     small = F.filter(F.transform(F.filter(around, lambda x: ~F.lower(x).rlike("шт|кор")), lambda x: number(F.regexp_extract(x, r"(\d+[.,]?\d*)", 1))), lambda v: v < 1)
-    return F.coalesce(F.when(decimal < 10, decimal), whole, F.get(small, F.lit(0)))
+    return F.when(t.rlike(r"\d"), F.coalesce(F.when(decimal < 10, decimal), whole, F.get(small, F.lit(0))))
 
 
 def kind(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -83,3 +84,8 @@ def settled(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """``df.withColumns(fields)``, by way of a generator: the optimizer then reads the results as columns and doesn't copy long expressions into each place that uses them."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in fields]
     return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(name) for name, c in fields.items()]))))
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, whatever the uses of it."""
+    return F.transform(F.array(value), use)[0]

@@ -11,6 +11,7 @@ columns go to the other fields so that the scores of all pairs add up to most.
 
 from __future__ import annotations
 
+import json
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -72,7 +73,9 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def header_scores(headers: DataFrame, keywords: dict[str, list[str]] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """``headers`` (with ``header``) times fields: field, field_order, header_score, and exact for a heading that equals one of the field's words. Words are literals, so nothing is shuffled but the best per field."""
     keywords, weights = keywords or FIELDS, weights or {}
-    words = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_order"), F.lit(heading_text(w)).alias("word"), F.lit(float(weights.get(f, 1.0))).alias("weight")) for i, (f, ws) in enumerate(keywords.items()) for w in ws])
+    # one literal, not a Column for each word: a session builds a Column in several calls
+    table = [{"field": f, "field_order": i, "word": heading_text(w), "weight": float(weights.get(f, 1.0))} for i, (f, ws) in enumerate(keywords.items()) for w in ws]
+    words = F.from_json(F.lit(json.dumps(table)), "array<struct<field:string,field_order:int,word:string,weight:double>>")
     pairs = headers.withColumn("h", heading(F.col("header"))).where("h <> ''").withColumn("k", F.explode(words))
     w, h, n, m = F.col("k.word"), F.col("h"), F.length("k.word"), F.length("h")
     plain = F.when(w == h, EXACT).when(h.contains(w), PART).when(w.contains(h), WITHIN)

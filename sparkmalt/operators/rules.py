@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmalt.functions.text import clean, settled
+from sparkmalt.functions.text import clean, named, settled
 from sparkmalt.operators.headers import SHEET
 from sparkmalt.sources.registry import FIELDS
 
@@ -239,11 +239,6 @@ def by_pattern(columns: Column, m: Column) -> Column:
     return F.aggregate(fields, m, one)
 
 
-def named(value: Column, use: object) -> Column:
-    """``use(value)`` with the value computed once, whatever the uses of it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def with_header_map(sheets: DataFrame, out: str = "by_header") -> DataFrame:
     """``out``: exact heading first, headings in order, columns of real names, contents, then patterns and parts of words."""
     cols, m = F.col("columns"), F.col("__m")
