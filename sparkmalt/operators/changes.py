@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmalt.functions.text import clean, truthy
+from sparkmalt.operators import scan
 
 # brewery, beer_name, price of a state
 State = tuple[Column, Column, Column]
@@ -25,11 +26,9 @@ def change_type(old: State, new: State) -> Column:
     )
 
 
-def change_log(states: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """States (brewery, beer_name, price) with those before them and the kind of change; rows that change nothing go."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    before = {f"old_{c}": F.lag(c).over(w) for c in ("brewery", "beer_name", "price")}
-    out = states.withColumns(before)
+def change_log(states: DataFrame, key: list[str], order: list[str], most: int = scan.MOST) -> DataFrame:
+    """States (brewery, beer_name, price) with those before them and the kind of change; rows that change nothing go. Keys of over ``most`` rows are spread over tasks."""
+    out = scan.scanned(states, key, order, before={f"old_{c}": F.col(c) for c in ("brewery", "beer_name", "price")}, most=most)
     kind = change_type((F.col("old_brewery"), F.col("old_beer_name"), F.col("old_price")), (F.col("brewery"), F.col("beer_name"), F.col("price")))
     return out.withColumn("change_type", kind).where(F.col("change_type").isNotNull())
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkmalt.functions import normalize, packaging
 from sparkmalt.functions.text import DASHES, clean, null_if_empty, present, settled
+from sparkmalt.operators import scan
 from sparkmalt.operators.headers import SHEET
 
 WIDE = ["brewery", "beer_name", "style", "abv", "ibu", "price", "currency", "volume", "format_type", "stock", "supplier_name", "description"]
@@ -43,20 +44,18 @@ def split_cells(rows: DataFrame) -> DataFrame:
     return settled(out, fields).drop("__n", "__s", "__p", "__label")
 
 
-def continued(rows: DataFrame, order: str = "row_idx") -> DataFrame:
-    """Rows that name a packaging only get name, style, strength, bitterness and text of the product above."""
+def continued(rows: DataFrame, order: str = "row_idx", crowded: bool | None = False) -> DataFrame:
+    """Rows that name a packaging only get name, style, strength, bitterness and text of the product above; ``crowded`` as in ``scan``."""
     own = present(F.col("beer_name")) & ~packaging.is_label(F.col("beer_name"))
     carried = ["beer_name", "style", "abv", "ibu", "description"]
-    w = Window.partitionBy(*SHEET).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("__own", own).withColumn("__last", F.last(F.when(own, F.struct(*carried)), ignorenulls=True).over(w))
+    out = scan.scanned(rows.withColumn("__own", own), SHEET, [order], carry={"__last": F.when(F.col("__own"), F.struct(*carried))}, crowded=crowded)
     filled = {c: F.when(F.col("__own"), F.col(c)).otherwise(F.coalesce(F.nullif(F.when(F.lit(c != "beer_name"), clean(F.col(c))), F.lit("")), F.col(f"__last.{c}"))) for c in carried}
     return out.withColumns(filled).drop("__own", "__last")
 
 
-def forward_filled(rows: DataFrame, column: str = "brewery", keys: list[str] = SHEET, order: str = "row_idx") -> DataFrame:
-    """The last filled value above where a value is missing."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(column, F.last(F.nullif(clean(F.col(column)), F.lit("")), ignorenulls=True).over(w))
+def forward_filled(rows: DataFrame, column: str = "brewery", keys: list[str] = SHEET, order: str = "row_idx", crowded: bool | None = False) -> DataFrame:
+    """The last filled value above where a value is missing; ``crowded`` as in ``scan``."""
+    return scan.scanned(rows, keys, [order], carry={column: F.nullif(clean(F.col(column)), F.lit(""))}, crowded=crowded)
 
 
 def by_price_column(rows: DataFrame, prices: list[tuple[str, str]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmalt.functions.text import clean, clean_name, description_like, is_empty, name_like, settled, upper_title, word_count
+from sparkmalt.sources.shared import written
 
 
 def fields_repaired(rows: DataFrame) -> DataFrame:
@@ -41,13 +42,24 @@ def fields_repaired(rows: DataFrame) -> DataFrame:
     return out.drop(*[x for x in out.columns if x.startswith("__") and x not in rows.columns])
 
 
-def repaired(rows: DataFrame, key: str = "file_id") -> DataFrame:
-    """Rows repaired one by one; in files whose brewery column looks like names, breweries of rows without a name become names."""
+def repaired(rows: DataFrame, key: str = "file_id", crowded: bool = False) -> DataFrame:
+    """Rows repaired one by one; in files whose brewery column looks like names, breweries of rows without a name become names.
+
+    With ``crowded`` files may have more rows than a task should see: their
+    breweries are then counted in partial sums, and the verdict is joined.
+    """
     brewery = F.when(~is_empty(F.col("brewery")), clean(F.col("brewery")))
     long = (word_count(brewery) >= 3) | (F.length(brewery) > 25)
-    w = Window.partitionBy(key)
-    filled = F.count(brewery).over(w)
-    doubtful = (F.size(F.collect_set(brewery).over(w)) > 0.7 * filled) & (F.count(F.when(long, 1)).over(w) > 0.3 * filled)
-    out = fields_repaired(rows.withColumn("__doubtful", doubtful))
+    if crowded:
+        rows = written(rows, "rows")
+        names = rows.groupBy(F.struct(key).alias("__file"), brewery.alias("__b")).agg(F.count(brewery).alias("n"), F.count(F.when(long, 1)).alias("long"))
+        files = names.groupBy("__file").agg((F.count("__b") > 0.7 * F.sum("n")).alias("varied"), (F.sum("long") > 0.3 * F.sum("n")).alias("long"))
+        verdict = files.select("__file", (F.col("varied") & F.col("long")).alias("__doubtful"))
+        judged = rows.withColumn("__file", F.struct(key)).join(verdict, "__file").drop("__file")
+    else:
+        w = Window.partitionBy(key)
+        filled = F.count(brewery).over(w)
+        judged = rows.withColumn("__doubtful", (F.size(F.collect_set(brewery).over(w)) > 0.7 * filled) & (F.count(F.when(long, 1)).over(w) > 0.3 * filled))
+    out = fields_repaired(judged)
     moved = F.col("__doubtful") & (F.col("brewery") != "") & is_empty(F.col("beer_name"))
     return settled(out, {"beer_name": F.when(moved, F.col("brewery")).otherwise(F.col("beer_name")), "brewery": F.when(moved, F.lit("")).otherwise(F.col("brewery"))}).drop("__doubtful")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmalt.functions.text import contains_ci
-from sparkmalt.operators import changes, quality
+from sparkmalt.operators import changes, quality, scan
 from sparkmalt.plans import bound
 from sparkmalt.sources import sinks
 
@@ -45,12 +45,10 @@ def next_position(locations: DataFrame, taps: DataFrame) -> DataFrame:
     return locations.join(top, "location_id", "left").select("location_id", (F.coalesce("top", F.lit(0)) + 1).alias("next_position"))
 
 
-def layout(taps: DataFrame, columns: int = 3) -> DataFrame:
-    """Column and row of each tap when a location's board is filled column by column."""
-    w = Window.partitionBy("location_id")
-    rows = F.ceil(F.count("*").over(w) / columns).cast("int")
-    at = F.row_number().over(w.orderBy("position", "tap_id")) - 1
-    placed = taps.withColumns({"__rows": rows, "__at": at})
+def layout(taps: DataFrame, columns: int = 3, most: int = scan.MOST) -> DataFrame:
+    """Column and row of each tap when a location's board is filled column by column; a board of over ``most`` taps is spread over tasks."""
+    counted = scan.scanned(taps, ["location_id"], ["position", "tap_id"], place="__nth", total="__all", most=most)
+    placed = counted.withColumns({"__rows": F.ceil(F.col("__all") / columns).cast("int"), "__at": F.col("__nth") - 1}).drop("__nth", "__all")
     return placed.withColumns({"board_column": F.floor(F.col("__at") / F.col("__rows")).cast("int"), "board_row": (F.col("__at") % F.col("__rows")).cast("int")}).drop("__rows", "__at")
 
 
@@ -77,15 +75,15 @@ def latest_history(log: DataFrame, n: int = 50) -> DataFrame:
     return log.orderBy(F.desc("created_at"), F.desc("state_id")).limit(n)
 
 
-def taps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def taps(spark: SparkSession, sf_dir: str, most: int = scan.MOST) -> DataFrame:
     """Suppliers as taps: location is the nation, position the order of keys in it."""
     c = F.col
-    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
     status = F.element_at(F.array(*map(F.lit, STATUS)), (c("s_suppkey") % 4 + 1).cast("int"))
-    return bound.table(spark, sf_dir, "supplier").select(
+    suppliers = bound.table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name", "s_acctbal")
+    return scan.scanned(suppliers, ["s_nationkey"], ["s_suppkey"], place="position", most=most).select(
         c("s_suppkey").alias("tap_id"),
         c("s_nationkey").alias("location_id"),
-        place.alias("position"),
+        "position",
         c("s_name").alias("beer_name"),
         F.lit("house").alias("brewery"),
         F.round(c("s_acctbal")).cast("double").alias("price"),
@@ -123,7 +121,25 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kegs_for_board(wanted, bound.items(spark, sf_dir), looks_like_keg(F.col("format_type"), F.col("volume")))
 
 
+LARGE = 2000  # rows of a key that the two queries below leave to one task
+
+
+def queue_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in three queues, one for each status, with their places and the queues' lengths."""
+    rows = bound.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    out = scan.scanned(rows, ["o_orderstatus"], ["o_orderdate", "o_orderkey"], place="place", total="length", most=LARGE)
+    return out.select(F.col("o_orderkey").alias("order_id"), "place", "length")
+
+
+def busy_tap_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log of two taps that all events happen at."""
+    states = bound.tap_states(spark, sf_dir).withColumn("tap_id", F.col("tap_id") % 2)
+    return changes.change_log(states, ["tap_id"], ["created_at", "state_id"], most=LARGE).select("tap_id", "state_id", "change_type", "old_beer_name", "old_price")
+
+
 QUERIES = {
+    "queue_places": queue_places,
+    "busy_tap_changes": busy_tap_changes,
     "location_counts": lambda s, d: with_tap_count(locations(s, d), taps(s, d)),
     "tap_board": lambda s, d: board(taps(s, d)).select("tap_id", "location_id", "position", "status_text"),
     "next_position": lambda s, d: next_position(locations(s, d), taps(s, d)),
@@ -147,6 +163,8 @@ _LOG = f"""WITH {bound.STATES}, p AS (SELECT *, lag(brewery) OVER w AS ob, lag(b
   log AS (SELECT *, CASE WHEN NOT had AND has THEN 'installed' WHEN had AND NOT has THEN 'removed' WHEN same AND priced AND any_price THEN 'price_changed'
     WHEN NOT same AND had AND has THEN 'installed' WHEN NOT same OR priced THEN 'updated' END AS change_type FROM q) """
 ORACLES = {
+    "queue_places": "SELECT o_orderkey AS order_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)::INT AS place, count(*) OVER (PARTITION BY o_orderstatus) AS length FROM orders",
+    "busy_tap_changes": _LOG.replace("PARTITION BY tap_id", "PARTITION BY tap_id % 2") + "SELECT tap_id % 2 AS tap_id, state_id, change_type, old_beer_name, old_price FROM log WHERE change_type IS NOT NULL",
     "location_counts": f"WITH {_TAPS} SELECT n_nationkey AS location_id, n_name AS name, count(tap_id) AS tap_count FROM nation LEFT JOIN taps ON location_id = n_nationkey GROUP BY 1, 2",
     "tap_board": f"WITH {_TAPS} SELECT tap_id, location_id, position, CASE tap_id % 4 WHEN 0 THEN 'На кране' WHEN 1 THEN 'Свободен' WHEN 2 THEN 'Следующий' ELSE 'Свежий' END AS status_text FROM taps",
     "next_position": f"WITH {_TAPS} SELECT n_nationkey AS location_id, coalesce(max(position), 0) + 1 AS next_position FROM nation LEFT JOIN taps ON location_id = n_nationkey GROUP BY 1",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkmalt.functions import normalize, packaging, style
 from sparkmalt.functions.text import null_if_empty
-from sparkmalt.operators import classify, extract, headers, mapping, quality, repair, rules
+from sparkmalt.operators import classify, extract, headers, mapping, quality, repair, rules, scan
 from sparkmalt.operators.headers import SHEET
 from sparkmalt.sources import xlsx
 from sparkmalt.sources.shared import written
@@ -42,9 +42,12 @@ def sheets(cells: DataFrame) -> DataFrame:
     return found.select(*SHEET, "header_row", "mapping", "supplier", price_columns(F.col("mapping"), F.col("columns")).alias("prices"))
 
 
-def placed(cells: DataFrame, known: DataFrame) -> DataFrame:
-    """A row per sheet row under the heading, a column per field, with ``supplier`` and ``options``: the prices of a row with several."""
-    body = cells.repartition("file_id").join(known, SHEET).where("row_idx > header_row")
+def placed(cells: DataFrame, known: DataFrame, crowded: bool = False) -> DataFrame:
+    """A row per sheet row under the heading, a column per field, with ``supplier`` and ``options``: the prices of a row with several.
+
+    Cells are dealt by file, so what follows needs no other exchange, unless files are ``crowded``: then they are dealt by row.
+    """
+    body = (cells if crowded else cells.repartition("file_id")).join(known, SHEET).where("row_idx > header_row")
     at = lambda f: F.first(F.when(rules.at(F.col("mapping"), f) == F.col("col_idx"), null_if_empty(F.col("value"))), ignorenulls=True).alias(f)
     price = F.get(F.filter("prices", lambda p: p["col_idx"] == F.col("col_idx")), F.lit(0))
     option = F.when(price.isNotNull() & F.col("value").rlike(r"\d"), F.struct("col_idx", packaging.first_price(F.col("value")).alias("price"), price["of"].alias("of")))
@@ -52,15 +55,16 @@ def placed(cells: DataFrame, known: DataFrame) -> DataFrame:
     return rows
 
 
-def raw_rows(cells: DataFrame) -> DataFrame:
-    """Mapped, completed and repaired rows of all product sheets."""
+def raw_rows(cells: DataFrame, most: int = scan.MOST) -> DataFrame:
+    """Mapped, completed and repaired rows of all product sheets; a sheet of over ``most`` rows is spread over tasks."""
     cells = written(xlsx.active_rows(xlsx.product_sheets(cells)), "cells")
-    rows = extract.split_cells(placed(cells, written(sheets(cells), "sheets")))
+    crowded = bool(cells.where(F.col("row_idx") >= most).take(1))
+    rows = extract.split_cells(placed(cells, written(sheets(cells), "sheets"), crowded))
     rows = extract.by_options(rows)
     # the brewery of the rows above holds for a distributor's list; a brewery's list has one name
-    filled = extract.forward_filled(extract.continued(rows).withColumn("own_brewery", F.col("brewery")))
+    filled = extract.forward_filled(extract.continued(rows, crowded=crowded).withColumn("own_brewery", F.col("brewery")), crowded=crowded)
     brewery = F.when(F.col("supplier.kind") == "brewery", F.coalesce("own_brewery", "supplier.name", "brewery")).otherwise(F.col("brewery"))
-    return repair.repaired(filled.withColumn("brewery", brewery).drop("own_brewery", "supplier"))
+    return repair.repaired(filled.withColumn("brewery", brewery).drop("own_brewery", "supplier"), crowded=crowded)
 
 
 def finished(rows: DataFrame) -> DataFrame:
@@ -71,9 +75,9 @@ def finished(rows: DataFrame) -> DataFrame:
     return quality.validated(out.drop("is_product", "row_text"))
 
 
-def items(cells: DataFrame) -> DataFrame:
-    """Items of all product sheets."""
-    return finished(raw_rows(cells))
+def items(cells: DataFrame, most: int = scan.MOST) -> DataFrame:
+    """Items of all product sheets; ``most`` rows of a sheet are one task's at most."""
+    return finished(raw_rows(cells, most))
 
 
 def metadata(cells: DataFrame) -> DataFrame:

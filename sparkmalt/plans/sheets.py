@@ -171,6 +171,7 @@ QUERIES = {
     "column_assignment": mapped,
     "fuzzy_header_scores": lambda s, d: mapping.header_scores(misspelt(s, d)).drop("exact"),
     "text_dump": lambda s, d: files.text_dump(cells(s, d)).select("file_id", "row_idx", "text"),
+    "long_sheet_fill": lambda s, d: extract.forward_filled(gappy(s, d).withColumns({"file_id": F.lit("one"), "sheet": F.lit("long"), "row_idx": F.col("id")}), crowded=True).select("id", "brewery"),
     "forward_fill": lambda s, d: extract.forward_filled(gappy(s, d)).select("id", "brewery"),
     "continuation": lambda s, d: extract.continued(gappy(s, d)).select("id", "beer_name", "style"),
     "price_columns": price_columns,
@@ -193,6 +194,7 @@ ORACLES = {
     "grid_ingest": _LISTS + "SELECT fid AS file_id, count(*) AS total_items, count(*) AS valid, 0::BIGINT AS invalid, 0::BIGINT AS total_errors, sum(CASE WHEN price < 50 * volume OR price > 10000 * volume THEN 1 ELSE 0 END)::BIGINT AS total_warnings FROM lists GROUP BY 1",
     "column_assignment": _LISTS + f", a AS ({_ASSIGNED}) SELECT DISTINCT fid AS file_id, field, col_idx FROM lists, a",
     "text_dump": _LISTS + f"SELECT fid AS file_id, row_idx, concat_ws(' ', brewery, beer_name, style, price, volume::INT || ' л', format_type) AS text FROM lists UNION ALL SELECT DISTINCT fid, 0, '{' '.join(COLUMNS)}' FROM lists",
+    "long_sheet_fill": _GAPPY + "SELECT id, last_value(b IGNORE NULLS) OVER (ORDER BY id) AS brewery FROM g",
     "forward_fill": _GAPPY + "SELECT id, last_value(b IGNORE NULLS) OVER (PARTITION BY fid ORDER BY row_idx) AS brewery FROM g",
     "continuation": _GAPPY + "SELECT id, last_value(n IGNORE NULLS) OVER w AS beer_name, last_value(CASE WHEN n IS NOT NULL THEN st END IGNORE NULLS) OVER w AS style FROM g WINDOW w AS (PARTITION BY fid ORDER BY row_idx)",
     "price_columns": f"WITH {bound.ITEMS} SELECT id, floor(price)::BIGINT AS price, 'банка' AS format_type, 0.33::DOUBLE AS volume FROM items WHERE id % 3 > 0 UNION ALL SELECT id, floor(price * 10)::BIGINT, 'кег', 20.0 FROM items WHERE id % 2 > 0",
