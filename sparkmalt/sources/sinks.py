@@ -19,10 +19,14 @@ ORDER_HEADINGS = ["наименование пивоварни", "наимено
 BOM = "﻿"
 
 
-def updated_by_id(rows: DataFrame, edits: DataFrame, key: str = "id") -> DataFrame:
-    """``rows`` with the fields of ``edits`` (key and some columns; the last one wins where ids repeat is not defined, so ids are unique) in place where they aren't null."""
-    fields = [c for c in edits.columns if c != key]
-    new = edits.select(key, *[F.col(c).alias(f"__{c}") for c in fields])
+def updated_by_id(rows: DataFrame, edits: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """``rows`` with the fields of ``edits`` (key and some columns) in place where they aren't null.
+
+    Of several edits of a field the last by the column ``order`` wins; without it, or where it ties, the greatest value.
+    """
+    fields = [c for c in edits.columns if c not in (key, order)]
+    by = lambda c: F.struct(*([order] if order else []), c)
+    new = edits.groupBy(key).agg(*[F.max(F.when(F.col(c).isNotNull(), by(c)))[c].alias(f"__{c}") for c in fields])
     out = rows.join(new, key, "left")
     return out.select(*[F.coalesce(F.col(f"__{c}").cast(rows.schema[c].dataType), F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns])
 

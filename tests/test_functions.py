@@ -158,3 +158,16 @@ def test_zip_and_replace(spark, tmp_path):
 def test_sessions_and_fill(spark):
     df = spark.createDataFrame([("f", "s", i, b) for i, b in enumerate([None, "A", "", None, "B"])], "file_id string, sheet string, row_idx int, brewery string")
     assert [r["brewery"] for r in extract.forward_filled(df).orderBy("row_idx").collect()] == [None, "A", "A", "A", "B"]
+
+
+def test_a_city_alone_stays_the_brewery(spark):
+    """what the city rules would leave empty is restored."""
+    df = spark.createDataFrame([("Москва", "a"), ("Alt г. Москва", "b"), ("Alt", "c")], "brewery string, beer_name string").withColumns({c: F.lit(None).cast("string") for c in ("abv", "price", "volume", "format_type")})
+    got = {r["beer_name"]: r["brewery"] for r in normalize.normalized(df).collect()}
+    assert got == {"a": "Москва", "b": "Alt", "c": "Alt"}
+
+
+def test_a_price_heading_is_no_stock(spark):
+    """E8."""
+    df = spark.createDataFrame([("Цена банка", "a"), ("12", "b"), (None, "c")], "stock string, beer_name string").withColumns({c: F.lit(None).cast("string") for c in ("brewery", "style", "abv", "ibu", "price", "volume", "format_type", "description")})
+    assert {r["beer_name"]: r["stock"] for r in extract.split_cells(df).collect()} == {"a": None, "b": "12", "c": None}

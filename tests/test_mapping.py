@@ -194,3 +194,13 @@ def test_supplier_kinds(spark):
     }
     got = {f: (r["supplier"]["kind"], r["supplier"]["name"]) for f, r in ruled(spark, books).items()}
     assert got == {"many": ("distributor", None), "one": ("brewery", "Alt"), "named": ("brewery", "Dusk"), "Brewery Fox.xlsx": ("brewery", None), "x/Каталог.xlsx": ("distributor", None)}
+
+
+def test_contents_are_the_last_guess(spark):
+    """Numbers whose largest is no price: by position there is nothing, by the first rows a price and, beside brewery words, a name."""
+    books = {"n": [["500"], ["20000"], ["700"]], "both": [["500", "Two Foxes brewery"], ["20000", "Owl brewery"], ["700", "Elk brewery"]]}
+    heads = spark.createDataFrame([(f, "s", -1) for f in books], "file_id string, sheet string, header_row int")
+    seen = rules.profiles(cells(spark, books), heads)
+    got = {r["file_id"]: (r["a"], r["b"]) for r in seen.select("file_id", rules.guessed(F.col("columns")).alias("a"), rules.guessed_by_content(F.col("columns")).alias("b")).collect()}
+    assert got == {"n": ({}, {"price": 0}), "both": ({"brewery": 1}, {"price": 0, "brewery": 1})}
+    assert {r["file_id"]: r["mapping"]["price"] for r in rules.mapped(seen).collect()} == {"n": 0, "both": 0}

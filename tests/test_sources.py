@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkmalt import streaming
 from sparkmalt.plans import ingest
-from sparkmalt.sources import files, sinks, xlsx
+from sparkmalt.sources import files, keyed, sinks, xlsx
 
 HEAD = ["Пивоварня", "Название", "Стиль", "Цена", "Объем", "Тип тары"]
 ROWS = [["Alt", f"Kellerbier {i}", "lager", 200 + i, "0,5 л", "банка"] for i in range(5)] + [["Neu", "Rauchbier", "ale", 310, "20 л", "кег"]]
@@ -110,3 +110,29 @@ def test_sheet_names(spark, original, explicit, want):
 
 def test_columns_of_a_form(spark):
     assert [r["x"] for r in spark.createDataFrame([(1,), (26,), (27,), (52,), (53,)], "n int").select(sinks.column_letters(F.col("n")).alias("x")).collect()] == ["A", "Z", "AA", "AZ", "BA"]
+
+
+def test_last_edit_wins(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "c", 3)], "id int, name string, n int")
+    edits = spark.createDataFrame([(1, "x", None, 1), (1, "y", None, 3), (1, None, 7, 2), (9, "z", 1, 1), (None, "no", 1, 1)], "id int, name string, n int, at int")
+    assert sorted(map(tuple, sinks.updated_by_id(rows, edits, order="at").collect()), key=str) == [(1, "y", 7), (2, "b", 2), (None, "c", 3)]
+    assert sinks.updated_by_id(rows, edits.drop("at")).where("id = 1").collect() == [(1, "y", 7)]
+
+
+def test_changes_touch_the_folders_of_their_keys(spark, tmp_path):
+    """Edits, deletions that empty a folder, keys that don't exist and null keys, against the same changes in plain Python; other folders keep their files."""
+    path = f"{tmp_path}/items"
+    data = {i: f"name {i}" for i in [*range(-25, 400), 10_000]}
+    rows = spark.createDataFrame([*data.items(), (None, "none")], "id long, name string")
+    keyed.stored(rows, path, width=100)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "items").rglob("*.parquet")}
+    edits = spark.createDataFrame([(5, "first", 1), (5, "second", 2), (150, "new", 1), (777, "nowhere", 1), (None, "no", 1)], "id long, name string, at int")
+    deleted = spark.createDataFrame([(10_000,), (7,), (888,), (None,)], "id long")
+    assert keyed.changed(spark, path, edits, deleted, width=100, order="at") == 3
+    want = {i: n for i, n in (data | {5: "second", 150: "new"}).items() if i not in (7, 10_000)}
+    got = keyed.read(spark, path).collect()
+    assert {r["id"]: r["name"] for r in got if r["id"] is not None} == want and len(got) == len(want) + 1
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "items").rglob("*.parquet")}
+    kept = {p.parent.name for p in before.keys() & after.keys() if before[p] == after[p]}
+    assert kept == {"key_range=-1", "key_range=2", "key_range=3", "key_range=__HIVE_DEFAULT_PARTITION__"}
+    assert keyed.changed(spark, path, deleted=spark.createDataFrame([(5_000,)], "id long"), width=100) == 0
