@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmalt import streaming
 from sparkmalt.functions.text import contains_ci
 from sparkmalt.operators import changes, quality, scan
 from sparkmalt.plans import bound
-from sparkmalt.sources import sinks
+from sparkmalt.sources import shared, sinks
 
 STATUS = {"active": "На кране", "free": "Свободен", "next": "Следующий", "fresh": "Свежий"}  # fixed values
 TAP_FIELDS = ["brewery", "beer_name", "description", "abv_text", "volume_price_text", "bitterness_ibu", "next_beer_1", "next_beer_2"]
@@ -137,7 +138,15 @@ def busy_tap_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.change_log(states, ["tap_id"], ["created_at", "state_id"], most=LARGE).select("tap_id", "state_id", "change_type", "old_beer_name", "old_price")
 
 
+def streamed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log from a stream of the events."""
+    out = shared.fresh(spark, "changes")
+    streaming.log_changes(bound.arriving_states(spark, sf_dir), out, shared.fresh(spark, "changes-checkpoint")).awaitTermination()
+    return spark.read.parquet(out).select("tap_id", "state_id", "change_type", "old_beer_name", "beer_name", "old_price", "price")
+
+
 QUERIES = {
+    "streamed_changes": streamed_changes,
     "queue_places": queue_places,
     "busy_tap_changes": busy_tap_changes,
     "location_counts": lambda s, d: with_tap_count(locations(s, d), taps(s, d)),
@@ -171,6 +180,7 @@ ORACLES = {
     "board_layout": f"WITH {_TAPS}, b AS (SELECT tap_id, position - 1 AS a, CAST(ceil(count(*) OVER (PARTITION BY location_id) / 3.0) AS INT) AS n FROM taps) SELECT tap_id, a // n AS board_column, a % n AS board_row FROM b",
     "tap_search": f"WITH {_TAPS} SELECT tap_id, beer_name FROM taps WHERE is_visible AND contains(lower(beer_name), '#0000000')",
     "board_requests": f"WITH {bound.ITEMS} SELECT s_suppkey AS request_id, s_suppkey * 37 AS source_item_id, beer_name AS item_name FROM supplier LEFT JOIN items ON id = s_suppkey * 37 WHERE format_type IS NULL OR format_type = 'кега'",
+    "streamed_changes": _LOG + "SELECT tap_id, state_id, change_type, old_beer_name, beer_name, old_price, price FROM log WHERE change_type IS NOT NULL",
     "change_log": _LOG + "SELECT tap_id, state_id, change_type, old_beer_name, beer_name, old_price, price FROM log WHERE change_type IS NOT NULL",
     "tap_history": _LOG + "SELECT tap_id, state_id, change_type FROM log WHERE change_type IS NOT NULL ORDER BY created_at DESC, state_id DESC LIMIT 50",
     "latest_state": f"WITH {bound.STATES} SELECT tap_id, state_id, brewery, beer_name, price FROM states QUALIFY row_number() OVER (PARTITION BY tap_id ORDER BY created_at DESC, state_id DESC) = 1",

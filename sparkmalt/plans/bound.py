@@ -81,9 +81,19 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tap_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tap_id, created_at, state_id, brewery, beer_name, price: a tap's beer after each event; an error event empties it."""
+    return states_of(table(spark, sf_dir, "events"))
+
+
+def arriving_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of the table's files."""
+    schema = table(spark, sf_dir, "events").schema
+    return states_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def states_of(events: DataFrame) -> DataFrame:
     kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("long")
     filled = lambda c: F.when(kind == "error", F.lit("")).otherwise(c)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("tap_id"),
         F.col("ts").alias("created_at"),
         F.col("event_id").alias("state_id"),

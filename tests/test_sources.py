@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import random
 import re
 import zipfile
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkmalt import streaming
+from sparkmalt.operators import changes
 from sparkmalt.plans import ingest
 from sparkmalt.sources import files, keyed, sinks, xlsx
 
@@ -136,3 +139,29 @@ def test_changes_touch_the_folders_of_their_keys(spark, tmp_path):
     kept = {p.parent.name for p in before.keys() & after.keys() if before[p] == after[p]}
     assert kept == {"key_range=-1", "key_range=2", "key_range=3", "key_range=__HIVE_DEFAULT_PARTITION__"}
     assert keyed.changed(spark, path, deleted=spark.createDataFrame([(5_000,)], "id long"), width=100) == 0
+
+
+def test_stream_of_changes_goes_on_after_a_restart(spark, tmp_path):
+    """Files of states in three runs over one checkpoint give the log of the whole table; late, repeated and null-ordered rows are told apart."""
+    inbox, out = tmp_path / "in", tmp_path / "out"
+    schema = "tap_id long, created_at timestamp, state_id long, brewery string, beer_name string, price long"
+    draw, at = random.Random(4), datetime(2024, 5, 1)
+    rows = [(draw.choice([1, 2, 3, None]), at + timedelta(minutes=i), i, draw.choice(["", "Alt", "Neu"]), draw.choice(["", "Rot"]), draw.choice([None, 5, 6])) for i in range(200)]
+    run = lambda: streaming.log_changes(spark.readStream.schema(schema).parquet(str(inbox)), str(out), str(tmp_path / "check")).awaitTermination()
+    fields = ["tap_id", "state_id", "change_type", "old_brewery", "old_beer_name", "old_price", "brewery", "price"]
+    for part in (rows[:80], rows[80:90], rows[90:]):
+        draw.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(inbox))
+        run()
+    run()
+    want = changes.change_log(spark.createDataFrame(rows, schema), ["tap_id"], ["created_at", "state_id"]).select(*fields)
+    got = spark.read.parquet(str(out)).select(*fields)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 100
+    late = [(1, at - timedelta(days=1), 900, "Neu", "Rot", 5), (1, None, 901, "Neu", "Rot", 5), next(r for r in rows if r[0] == 2)]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(inbox))
+    run()
+    assert {(r["tap_id"], r["state_id"], r["old_brewery"]) for r in spark.read.parquet(str(out)).where("change_type = 'late'").collect()} == {(1, 900, None), (1, 901, None), (2, late[2][2], None)}
+    last = max((r for r in rows if r[0] == 3), key=lambda r: r[1])
+    spark.createDataFrame([(3, at + timedelta(days=9), 999, "Fox", "Blau", 1)], schema).coalesce(1).write.mode("append").parquet(str(inbox))
+    run()
+    assert spark.read.parquet(str(out)).where("state_id = 999").first()["old_brewery"] == last[3]
