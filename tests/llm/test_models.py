@@ -43,6 +43,16 @@ def test_quality_query(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.5
 
 
+def test_quality_held_out(spark):
+    """Labels of a third of the ids are not learned from: their junk goes, and their clean rows stay."""
+    stats = quality.rule_stats(spark.read.parquet(f"{BIG}/documents.parquet"), carry=["doc_id"])
+    labels = spark.read.parquet(f"{BIG}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    out = quality.apply(stats, quality.fit(stats, labels.where(~held))).join(labels.where(held), "doc_id").select("quality", "rules.kept").collect()
+    good, bad = ([r["kept"] for r in out if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 90 and np.mean(good) > 0.93 and len(bad) > 10 and not any(bad)
+
+
 def test_quality_hostile(spark):
     docs = hostile(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (6, 1), (None, 1), (7, None)], "doc_id long, quality int")
@@ -75,6 +85,34 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows.values())
 
 
+def test_toxicity_scores_are_those_of_the_lexicon(spark):
+    """Every score of the query against a plain reading: each term looked for at each place, hits in exceptions left out, and the curve."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{BIG}/labels.parquet")
+    lexicon = toxicity.fit(docs, labels.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))))
+
+    def places(form, part):
+        return [m.start() for m in re.finditer(f"(?={re.escape(part)})", form)]
+
+    def plain(text):
+        total = 0.0
+        folded, accented = toxicity.forms(text or "")
+        for form, ascii_ in ((folded, True), (accented, False)):
+            free = [(n, n + len(p)) for p in lexicon.exceptions if p.isascii() == ascii_ for n in places(form, p)]
+            for term, weight in lexicon.weights.items():
+                if term.isascii() == ascii_:
+                    total += weight * sum(not any(a <= n and n + len(term) <= b for a, b in free) for n in places(form, term))
+        bias, x, y = lexicon.curve
+        z = bias + (x * math.log1p(total) + y * math.log1p(100 * total / (folded.count(" ") + 20)) if total else 0.0)
+        return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+    got = queries.op5_toxicity(spark, BIG).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert lexicon.weights and len(got) == len(texts)
+    for r in got:
+        assert abs(r["score"] - plain(texts[r["doc_id"]])) < 1e-9 and r["predicted"] == (r["score"] >= 0.7)
+
+
 def test_toxicity_folding_and_exceptions(spark):
     lexicon = toxicity.Lexicon({" idiot ": 5.0, " tras": 4.0}, (" trash can ",), (-2.0, 1.0, 1.0))
     docs = spark.createDataFrame([(1, "an idiot"), (2, "an 1d10t"), (3, "аn іdіоt"), (4, "the trash can"), (5, "you trash"), (6, None), (7, ""), (8, "ÍDIÓT!"), (8, "ÍDIÓT!")], "doc_id long, text string")

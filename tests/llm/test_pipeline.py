@@ -8,6 +8,7 @@ import corpus_pipeline
 from sparkmalt.llm import quality
 from sparkmalt.llm.queries import bpe_model
 from tests.llm.fixtures import SF, components, hostile, repeats
+from tests.llm.test_models import plain_matches
 
 
 def test_run(spark):
@@ -33,6 +34,9 @@ def test_run(spark):
             for (i, t), (_, gone, left) in repeats([(i, r["text"]) for i, r in before.items()], 35).items():
                 assert after[i]["text"] == (left if gone else t)
                 assert after[i]["n_chars"] == (len(left) if gone else before[i]["n_chars"])
+        if name == "benchmark_leaks":
+            items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+            assert set(after) == {i for i, r in before.items() if not plain_matches(items, r["text"])}
         if name == "tokens":
             sp = sentencepiece.SentencePieceProcessor(model_file=bpe_model())
             for i, r in after.items():
