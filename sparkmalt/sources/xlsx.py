@@ -1,16 +1,21 @@
 """Workbooks as cells, and a small writer for tests and exports.
 
 A workbook can't be split, so a task decodes whole files, one at a time, from
-Spark's ``binaryFile`` rows; everything after that works on cells.
+Spark's ``binaryFile`` rows; everything after that works on cells. Sheets and
+strings are parsed as they are unpacked, row by row, and cells go out in batches:
+what a task holds is the packed file, its shared strings and one batch.
 """
 
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 CELLS = "file_id string, sheet string, row_idx int, col_idx int, value string, hidden boolean, strike boolean, font_rgb string"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+CELLS_AT_ONCE = 20_000
 SKIPPED_SHEETS = ["инструк", "instruction", "readme", "условия", "доставка", "контакт", "contact", "оглавление"]  # fixed values
 
 
@@ -34,10 +40,25 @@ def texts(node: ET.Element) -> str:
     return "".join(t.text or "" for t in node.iter(f"{MAIN}t"))
 
 
-def cells_in(sheet: ET.Element) -> Iterator[tuple[int, int, bool, ET.Element]]:
+def elements(book: zipfile.ZipFile, part: str, tag: str) -> Iterator[ET.Element]:
+    """The elements of one kind in a part of a workbook, each gone when the next is asked for."""
+    with book.open(part) as f:
+        above: list[ET.Element] = []
+        for event, e in ET.iterparse(f, events=("start", "end")):
+            if event == "start":
+                above.append(e)
+                continue
+            above.pop()
+            if e.tag == f"{MAIN}{tag}":
+                yield e
+                if above:
+                    above[-1].clear()
+
+
+def cells_in(book: zipfile.ZipFile, part: str) -> Iterator[tuple[int, int, bool, ET.Element]]:
     """(row, column, hidden, cell) of a sheet; places that the file doesn't name follow on from the ones before."""
     row = -1
-    for r in sheet.iter(f"{MAIN}row"):
+    for r in elements(book, part, "row"):
         row = int(r.get("r")) - 1 if r.get("r") else row + 1
         hidden, column = r.get("hidden") in ("1", "true"), -1
         for cell in r.iter(f"{MAIN}c"):
@@ -45,28 +66,45 @@ def cells_in(sheet: ET.Element) -> Iterator[tuple[int, int, bool, ET.Element]]:
             yield row, column, hidden, cell
 
 
-def decode(file_id: str, content: bytes) -> list[tuple]:
-    """Cells of all sheets of a workbook; raises ValueError for a file that is none."""
+def parts_of(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of a workbook's sheets."""
+    links = {r.get("Id"): r.get("Target").lstrip("/") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    sheets = [(s.get("name"), links[s.get(LINK)]) for s in ET.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
+    return [(name, target if target.startswith("xl/") else f"xl/{target}") for name, target in sheets]
+
+
+def checked(content: bytes) -> zipfile.ZipFile:
+    """The opened workbook; raises ValueError for a file that is none, before any cell is given.
+
+    Every sheet must be there and well formed; a first pass that keeps nothing sees to that.
+    """
     try:
         book = zipfile.ZipFile(io.BytesIO(content))
-        names = set(book.namelist())
-        sheets = ET.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet")
-        links = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        shared = [texts(s) for s in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
-        looks = fonts_of(book, names)
-        out = []
-        for sheet in sheets:
-            target = links[sheet.get(LINK)].lstrip("/")
-            path = target if target.startswith("xl/") else f"xl/{target}"
-            for row, column, hidden, cell in cells_in(ET.fromstring(book.read(path))):
-                kind, raw = cell.get("t"), cell.findtext(f"{MAIN}v")
-                value = texts(cell) if kind == "inlineStr" else shared[int(raw)] if kind == "s" and raw else raw
-                if value is not None and value != "":
-                    strike, rgb = looks.get(cell.get("s"), (False, None))
-                    out.append((file_id, sheet.get("name"), row, column, value, hidden, strike, rgb))
-    except (zipfile.BadZipFile, KeyError, IndexError, ET.ParseError) as e:
+        fonts_of(book, set(book.namelist()))
+        for part in [p for _, p in parts_of(book)] + [p for p in book.namelist() if p == "xl/sharedStrings.xml"]:
+            with book.open(part) as f:
+                expat.ParserCreate().ParseFile(f)
+    except (zipfile.BadZipFile, zlib.error, KeyError, IndexError, AttributeError, ET.ParseError, expat.ExpatError) as e:
         raise ValueError(f"no workbook: {type(e).__name__}") from e
-    return out
+    return book
+
+
+def decode(file_id: str, content: bytes) -> Iterator[tuple]:
+    """Cells of all sheets of a workbook; raises ValueError for a file that is none. A cell whose shared string isn't there is empty."""
+    book = checked(content)
+    names = set(book.namelist())
+    shared = [texts(s) for s in elements(book, "xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in names else []
+    looks = fonts_of(book, names)
+    for sheet, part in parts_of(book):
+        for row, column, hidden, cell in cells_in(book, part):
+            kind, value = cell.get("t"), cell.findtext(f"{MAIN}v")
+            if kind == "inlineStr":
+                value = texts(cell)
+            elif kind == "s" and value:
+                value = shared[int(value)] if value.isdecimal() and int(value) < len(shared) else None
+            if value is not None and value != "":
+                strike, rgb = looks.get(cell.get("s"), (False, None))
+                yield file_id, sheet, row, column, value, hidden, strike, rgb
 
 
 def fonts_of(book: zipfile.ZipFile, names: set[str]) -> dict[str, tuple[bool, str | None]]:
@@ -86,7 +124,9 @@ def cells_of(files: DataFrame) -> DataFrame:
         for batch in batches:
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
                 try:
-                    yield pd.DataFrame(decode(file_id, bytes(content)), columns=names)
+                    cells = decode(file_id, bytes(content or b""))
+                    while part := list(itertools.islice(cells, CELLS_AT_ONCE)):
+                        yield pd.DataFrame(part, columns=names)
                 except ValueError:
                     continue
 
@@ -100,7 +140,7 @@ def unreadable(files: DataFrame) -> DataFrame:
         for batch in batches:
             for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
                 try:
-                    decode(file_id, bytes(content))
+                    checked(bytes(content or b""))
                 except ValueError as e:
                     yield pd.DataFrame([(file_id, str(e))], columns=["file_id", "error"])
 

@@ -24,11 +24,17 @@ def arriving(spark: SparkSession, folder: str, files_per_batch: int = 100) -> Da
     return found.select(F.col("path").alias("file_id"), "content")
 
 
-def ingest_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """Parses each new workbook once and writes its items by file; a batch that runs again replaces the same files."""
+def ingest_folder(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_batch: int = 100, unreadable: str | None = None) -> StreamingQuery:
+    """Parses each new workbook once and writes its items by file; a batch that runs again replaces the same files.
+
+    Files that are no workbooks go to the Parquet folder ``unreadable`` (file_id,
+    error), if there is one, by file as well.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         files.replace_files(ingest.items(xlsx.cells_of(df)), out)
+        if unreadable:
+            files.replace_files(xlsx.unreadable(df), unreadable)
 
     return arriving(spark, folder, files_per_batch).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

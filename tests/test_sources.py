@@ -48,6 +48,42 @@ def test_workbooks_as_they_come(spark):
     assert {r["file_id"] for r in xlsx.unreadable(df).collect()} == {"no sheet", "text"}
 
 
+def test_a_workbook_is_decoded_in_little_memory():
+    """A sheet of 80000 rows, 28 MB unpacked, with its cells in order, while a fifth of that is held at most."""
+    import tracemalloc
+
+    book = xlsx.workbook({"a": [[f"row {i}", i, "x" * 40] for i in range(80_000)], "b": [["last"]]})
+    size = zipfile.ZipFile(io.BytesIO(book)).getinfo("xl/worksheets/s1.xml").file_size
+    tracemalloc.start()
+    n, last = 0, None
+    for cell in xlsx.decode("f", book):
+        if cell[1] == "a":
+            assert (cell[2], cell[3]) == divmod(n, 3) and (cell[3] != 1 or cell[4] == str(cell[2]))
+            n += 1
+        last = cell
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 240_000 and last[1:5] == ("b", 0, 0, "last")
+    assert peak < size / 5, (peak, size)
+
+
+def test_a_broken_workbook_gives_no_cell(spark):
+    """The second sheet breaks off; nothing of the first is given. A shared string that isn't there is an empty cell."""
+    book = xlsx.workbook({"a": [["x"]], "b": [["y", 5]]})
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as a, zipfile.ZipFile(out, "w") as b:
+        for name in a.namelist():
+            raw = a.read(name)
+            b.writestr(name, raw[:-30] if "s2" in name else raw)
+    lost = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as a, zipfile.ZipFile(lost, "w") as b:
+        for name in a.namelist():
+            b.writestr(name, a.read(name).replace(b"<v>5</v>", b"<v>7</v>").replace(b'<c r="B1">', b'<c r="B1" t="s">'))
+    df = spark.createDataFrame([("broken", out.getvalue()), ("lost", lost.getvalue()), ("none", None), ("zip", out.getvalue()[:50])], "file_id string, content binary")
+    assert {(r["file_id"], r["value"]) for r in xlsx.cells_of(df).collect()} == {("lost", "x"), ("lost", "y")}
+    assert {r["file_id"] for r in xlsx.unreadable(df).collect()} == {"broken", "none", "zip"}
+
+
 def test_csv_to_items(spark, tmp_path):
     (tmp_path / "list.csv").write_text("\n".join(",".join(map(str, r)) for r in [HEAD, *[[*r[:4], r[4].replace(",", "."), r[5]] for r in ROWS]]), encoding="utf-8")
     got = {r["beer_name"]: (r["brewery"], float(r["price"]), r["volume"]) for r in ingest.items(files.csv_cells(spark, str(tmp_path))).collect()}
@@ -89,13 +125,15 @@ def test_stream_takes_new_workbooks_once(spark, tmp_path):
     inbox, out = tmp_path / "in", tmp_path / "out"
     inbox.mkdir()
     (inbox / "a.xlsx").write_bytes(xlsx.workbook({"Пиво": [HEAD, *ROWS]}))
-    run = lambda: streaming.ingest_folder(spark, str(inbox), str(out), str(tmp_path / "check"), files_per_batch=1).awaitTermination()
+    run = lambda: streaming.ingest_folder(spark, str(inbox), str(out), str(tmp_path / "check"), files_per_batch=1, unreadable=str(tmp_path / "bad")).awaitTermination()
     run()
     assert spark.read.parquet(str(out)).count() == len(ROWS)
     (inbox / "b.xlsx").write_bytes(xlsx.workbook({"Пиво": [HEAD, *ROWS[:2]]}))
+    (inbox / "c.xlsx").write_bytes(b"no workbook")
     run()
     run()
     assert sorted(r["count"] for r in spark.read.parquet(str(out)).groupBy("file_id").count().collect()) == [2, len(ROWS)]
+    assert [r["file_id"][-6:] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["c.xlsx"]
 
 
 def test_csv_files(spark, tmp_path):
