@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sparkmalt.plans import boards, catalogue, exports, lists, orders, runs, search, sheets, texts
+from sparkmalt.plans import boards, catalogue, details, exports, lists, orders, runs, search, sheets, texts
 
-MODULES = (orders, catalogue, boards, runs, texts, sheets, lists, exports, search)
+MODULES = (orders, catalogue, boards, runs, texts, sheets, lists, exports, search, details)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
