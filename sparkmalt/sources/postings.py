@@ -6,7 +6,8 @@ signs in a row of a field's lower-case text; folders by field and hash of the gr
 files by ranges of gram and key, so that a gram of a third of all rows is many
 files and rare grams share one. ``counts`` has the number of postings of each gram
 and, under the empty gram, of rows. ``columns`` is an empty table that keeps the
-types of the rows.
+types of the rows and the number of buckets; a large table wants many, so that a
+search reads little besides its lists, a small one few.
 
 A text that a search finds, in any of its modes, holds all grams of the search.
 Its rarest gram therefore names all rows that can match; grams up to ``SPREAD``
@@ -22,6 +23,8 @@ A table without rows can be stored and searched.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,7 @@ from sparkmalt.sources.shared import written
 SPREAD, DENSE = 16, 8
 MOST_GRAMS = 16  # grams of a search whose lists are intersected
 MOST_FOLDERS = 10_000  # named one by one in the scan of rows; with more, all are read
-BUCKETS, TOTALS = 64, -1  # folders of grams, and the one of the number of rows
+BUCKETS, TOTALS = 8, -1  # folders of a field's grams, and the one of the number of rows
 NO_RANGE = -1 << 62  # folder of null keys
 RANGE, KEY = "rows_range", "rows_key"
 
@@ -49,28 +52,36 @@ def range_of(key: Column, width: int) -> Column:
     return F.coalesce(F.floor(key / width).cast("long"), F.lit(NO_RANGE))
 
 
-def bucket_of(gram: Column) -> Column:
-    return F.pmod(F.crc32(gram.cast("binary")), F.lit(BUCKETS)).cast("int")
+def asked_grams(text: str) -> set[str]:
+    """The grams of the text that ``matches`` looks for."""
+    t = text.lower()
+    return {t[i : i + 3] for i in range(len(t) - 2)}
+
+
+def bucket_of(gram: str, buckets: int) -> int:
+    return zlib.crc32(gram.encode()) % buckets
 
 
-def stored(rows: DataFrame, path: str, fields: list[str], key: str = "id", width: int = WIDTH, mode: str = "overwrite") -> None:
-    """Writes rows with their posting lists; mode ``append`` adds rows to a stored table.
+def stored(rows: DataFrame, path: str, fields: list[str], key: str = "id", width: int = WIDTH, mode: str = "overwrite", buckets: int = BUCKETS) -> None:
+    """Writes rows with their posting lists; mode ``append`` adds rows to a stored table, in its buckets.
 
     Rows come last: a job that is lost before leaves postings without rows, which the
     test of the rows drops, and can be run again.
     """
+    if mode == "append":
+        buckets = kept_schema(rows.sparkSession, path)[RANGE].metadata["buckets"]
     lists = [rows.select(F.lit(f).alias("field"), F.explode(grams(F.col(f))).alias("gram"), F.col(key).alias(KEY)) for f in fields]
     all_lists = lists[0]
     for other in lists[1:]:
         all_lists = all_lists.union(other)
-    lists_ = written(all_lists.withColumns({"bucket": bucket_of(F.col("gram")), RANGE: range_of(F.col(KEY), width)}), "postings")
+    lists_ = written(all_lists.withColumns({"bucket": (F.crc32(F.col("gram").cast("binary")) % buckets).cast("int"), RANGE: range_of(F.col(KEY), width)}), "postings")
     by_gram = lists_.repartitionByRange("field", "bucket", "gram", KEY).sortWithinPartitions("field", "bucket", "gram", KEY)
     by_gram.write.mode(mode).partitionBy("field", "bucket").parquet(f"{path}/postings")
     total = rows.agg(F.count("*").alias("n")).select(F.lit(fields[0]).alias("field"), F.lit(TOTALS).alias("bucket"), F.lit("").alias("gram"), "n")
     counts = lists_.groupBy("field", "bucket", "gram").agg(F.count("*").alias("n")).unionByName(total)
     counts.repartition("field", "bucket").sortWithinPartitions("field", "bucket", "gram").write.mode(mode).partitionBy("field", "bucket").parquet(f"{path}/counts")
     placed = rows.withColumn(RANGE, range_of(F.col(key), width))
-    placed.limit(0).write.mode(mode).parquet(f"{path}/columns")
+    placed.limit(0).withMetadata(RANGE, {"buckets": buckets}).write.mode(mode).parquet(f"{path}/columns")
     # a range holds many rows where keys repeat, so it is dealt by key as well
     placed.repartitionByRange(RANGE, key).sortWithinPartitions(RANGE, key).write.mode(mode).partitionBy(RANGE).parquet(f"{path}/rows")
 
@@ -79,20 +90,16 @@ def _table(spark: SparkSession, path: str, name: str, columns: str) -> DataFrame
     return spark.read.schema(columns).parquet(f"{path}/{name}")
 
 
-def stored_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All rows, with the column of their folder."""
-    return spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows")
+def kept_schema(spark: SparkSession, path: str) -> T.StructType:
+    return spark.read.parquet(f"{path}/columns").schema
 
 
-def chosen(spark: SparkSession, path: str, asked: list[Search]) -> list[tuple[str, str, int]] | None:
+def chosen(spark: SparkSession, path: str, asked: list[Search], buckets: int) -> list[tuple[str, str, int]] | None:
     """(field, gram, number of postings) to intersect, the rarest first; [] if a gram is nowhere, so that nothing matches; None for a scan."""
-    wanted = spark.range(1).select(*[grams(F.lit(q)).alias(f"q{i}") for i, (_, _, q) in enumerate(asked)]).first()
-    pairs = sorted({(f, g) for (f, _, _), of in zip(asked, wanted) for g in of})
+    pairs = sorted({(f, g) for f, _, q in asked for g in asked_grams(q)})  # no more than the searches have signs
     if not pairs:
         return None
-    # no more rows than the searches have signs
-    buckets = spark.createDataFrame(pairs, "field string, gram string").select("field", "gram", bucket_of(F.col("gram")).alias("bucket")).collect()
-    here = [(F.col("field") == p["field"]) & (F.col("bucket") == p["bucket"]) & (F.col("gram") == p["gram"]) for p in buckets]
+    here = [(F.col("field") == f) & (F.col("bucket") == bucket_of(g, buckets)) & (F.col("gram") == g) for f, g in pairs]
     any_of = F.col("bucket") == TOTALS
     for other in here:
         any_of = any_of | other
@@ -107,13 +114,13 @@ def chosen(spark: SparkSession, path: str, asked: list[Search]) -> list[tuple[st
     return [(f, g, n) for n, f, g in found if n <= SPREAD * found[0][0]][:MOST_GRAMS]
 
 
-def candidates(spark: SparkSession, path: str, lists: list[tuple[str, str, int]], key_type: T.DataType) -> DataFrame:
+def candidates(spark: SparkSession, path: str, lists: list[tuple[str, str, int]], key_type: T.DataType, buckets: int) -> DataFrame:
     """(rows_key, rows_range), one row per key that stands in all of the ``lists``."""
     number = F.lit(None).cast("long")
     here = F.lit(False)
     for i, (field, gram, _) in enumerate(lists):
         # folder and gram are constants, so that they reach the scan
-        this = (F.col("field") == field) & (F.col("bucket") == bucket_of(F.lit(gram))) & (F.col("gram") == gram)
+        this = (F.col("field") == field) & (F.col("bucket") == bucket_of(gram, buckets)) & (F.col("gram") == gram)
         number, here = F.when(this, F.lit(1 << i).cast("long")).otherwise(number), here | this
     postings = _table(spark, path, "postings", f"gram string, {KEY} {key_type.simpleString()}, {RANGE} long, field string, bucket int").where(here)
     return postings.groupBy(KEY, RANGE).agg(F.bit_or(number).alias("has")).where(F.col("has") == (1 << len(lists)) - 1).drop("has")
@@ -127,15 +134,16 @@ def folders(hits: DataFrame) -> list[int] | None:
 
 def found(spark: SparkSession, path: str, asked: list[Search], key: str = "id") -> DataFrame:
     """Rows that match all of the searches, without regard to case; all rows for no search."""
-    rows = stored_rows(spark, path)
+    kept = kept_schema(spark, path)
+    rows, buckets = spark.read.schema(kept).parquet(f"{path}/rows"), kept[RANGE].metadata["buckets"]
     fits = F.lit(True)
     for field, mode, text in asked:
         fits = fits & matches(F.col(field), mode, text)
-    lists = chosen(spark, path, asked) if asked else None
+    lists = chosen(spark, path, asked, buckets)
     if lists == []:
         return rows.where(F.lit(False)).drop(RANGE)
     if lists is not None:
-        hits = written(candidates(spark, path, lists, rows.schema[key].dataType), "candidates")
+        hits = written(candidates(spark, path, lists, rows.schema[key].dataType, buckets), "candidates")
         if (named := folders(hits)) is not None:
             rows = rows.where(F.col(RANGE).isin(named)) if named else rows.where(F.lit(False))
         rows = rows.join(hits.withColumnRenamed(RANGE, "__range"), (F.col(RANGE) == F.col("__range")) & F.col(key).eqNullSafe(F.col(KEY)), "left_semi")

@@ -8,7 +8,7 @@ import pytest
 from sparkmalt.sources import postings
 from sparkmalt.sources.shared import fresh
 
-FIELDS = ["name", "brewery"]
+FIELDS, BUCKETS = ["name", "brewery"], 5
 ASKED = [
     [],
     [("name", "contains", "")],
@@ -43,7 +43,7 @@ def data() -> list[tuple]:
 def index(spark, data) -> str:
     path = fresh(spark, "index")
     frame = lambda rows: spark.createDataFrame(rows, "id long, name string, brewery string")
-    postings.stored(frame(data[:400]), path, FIELDS, width=50)
+    postings.stored(frame(data[:400]), path, FIELDS, width=50, buckets=BUCKETS)
     postings.stored(frame(data[400:]), path, FIELDS, width=50, mode="append")
     return path
 
@@ -58,17 +58,17 @@ def test_found(spark, data, index, asked, dense, monkeypatch):
 
 
 def test_only_folders_with_candidates(spark, data, index, capsys):
-    lists = postings.chosen(spark, index, [("name", "contains", "5%_x"), ("brewery", "contains", "баб")])
+    lists = postings.chosen(spark, index, [("name", "contains", "5%_x"), ("brewery", "contains", "баб")], BUCKETS)
     assert [g for _, g, _ in lists][:2] == ["%_x", "5%_"] and all(n <= postings.SPREAD for _, _, n in lists)
-    hits = postings.candidates(spark, index, lists, postings.stored_rows(spark, index).schema["id"].dataType)
+    hits = postings.candidates(spark, index, lists, postings.kept_schema(spark, index)["id"].dataType, BUCKETS)
     assert postings.folders(hits) == [9001 // 50]
     postings.found(spark, index, [("name", "contains", "5%_x")]).explain("formatted")
     scan = next(line for line in capsys.readouterr().out.splitlines() if line.startswith("PartitionFilters") and postings.RANGE in line)
     assert "rows_range#" in scan and " = 180" in scan.replace("IN (180)", "= 180")
     hits.explain("formatted")
     assert "bucket" in capsys.readouterr().out.split("PartitionFilters:")[1].splitlines()[0]
-    assert postings.chosen(spark, index, [("name", "contains", "abc"), ("name", "contains", "qqq")]) == []
-    assert postings.chosen(spark, index, [("name", "contains", "ab")]) is None
+    assert postings.chosen(spark, index, [("name", "contains", "abc"), ("name", "contains", "qqq")], BUCKETS) == []
+    assert postings.chosen(spark, index, [("name", "contains", "ab")], BUCKETS) is None
 
 
 def test_many_folders(spark, data, index, monkeypatch):
