@@ -68,6 +68,7 @@ PAGE_STYLES = [
     "Pale Ale|American Pale Ale|English Pale Ale|Blonde Ale|Golden Ale|Amber Ale|Red Ale|Brown Ale|Scottish Ale|Irish Red Ale",
     "Belgian|Dubbel|Tripel|Quad|Quadrupel|Singel|Blonde|Dark|Strong|Weak|Table|Trappist|Abbey|Golden Strong|Dark Strong",
 ]
+JSON_NOTHING = ["", "0", "false", "[]", "{}"]
 META_STYLES = "IPA|Stout|Porter|Lager|Ale|Wheat|Sour|Gose|Pilsner|Saison|Farmhouse|Barleywine"
 NO_LABELS = ["badge-beer-default", "beer-default", "brewery-default", "default_avatar", "/temp/", "placeholder", "blank.gif", "/badges/", "/profile/", "_100x100", "_50x50", "/og/beer/"]
 LABEL_RANKS = [("/site/beer_logos_hd/", 500), ("/site/beer_logos/beer-.*_hd\\.", 450), ("/site/beer_logos/beer-.*_sm\\.", 200), ("/site/beer_logos/beer-", 250), ("assets\\..*brewery", 40)]
@@ -80,15 +81,17 @@ def page_text(html: Column) -> Column:
 
 
 def page_style(html: Column, name: Column) -> Column:
-    """A style by a page: from its meta fields, else the first style group in its text that isn't in the beer's name, else from its JSON data."""
+    """A style by a page: from its meta fields, else the first style group in its text that isn't in the beer's name, else from the first of its JSON objects that names one."""
     found = lambda c, words: F.nullif(F.regexp_extract(c, f"(?iu)({words})", 1), F.lit(""))
     meta = F.filter(F.regexp_extract_all(html, F.lit(r'(?i)<meta[^>]*property="(?:og:|beer:)[^"]*"[^>]*content="([^"]*)"'), F.lit(1)), lambda x: F.lower(x).rlike("style|ipa|stout"))
     by_meta = F.get(F.filter(F.transform(meta, lambda x: found(x, META_STYLES)), lambda x: x.isNotNull()), F.lit(0))
     text, low = page_text(html), F.lower(F.coalesce(name, F.lit("")))
     own = [F.when((F.length(found(text, g)) > 2) & ~F.contains(low, F.lower(found(text, g))), found(text, g)) for g in PAGE_STYLES]
-    data = F.regexp_extract(html, r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
-    told = F.coalesce(*[F.nullif(F.get_json_object(data, f"$.{k}"), F.lit("")) for k in ("genre", "category", "keywords")])
-    return F.coalesce(by_meta, *own, F.when(told.rlike("(?i)(IPA|Stout|Porter|Lager|Ale|Wheat|Sour)"), F.trim(told)))
+    data = F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    some = lambda c: F.when(~c.isin(JSON_NOTHING), c)
+    told = F.transform(data, lambda t: F.coalesce(*[some(F.get_json_object(t, f"$.{k}")) for k in ("genre", "category", "keywords")]))
+    first = F.get(F.filter(told, lambda x: x.rlike("(?i)(IPA|Stout|Porter|Lager|Ale|Wheat|Sour)")), F.lit(0))
+    return F.coalesce(by_meta, *own, F.trim(first))
 
 
 def label_candidates(html: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkmalt.functions import contacts, display, normalize, packaging, text
+from sparkmalt.functions import contacts, display, normalize, packaging, style, text
 from sparkmalt.operators import changes, classify, dedup, extract, quality
 from sparkmalt.plans import boards, ingest, orders
 from sparkmalt.sources import files, xlsx
@@ -171,3 +171,18 @@ def test_a_price_heading_is_no_stock(spark):
     """E8."""
     df = spark.createDataFrame([("Цена банка", "a"), ("12", "b"), (None, "c")], "stock string, beer_name string").withColumns({c: F.lit(None).cast("string") for c in ("brewery", "style", "abv", "ibu", "price", "volume", "format_type", "description")})
     assert {r["beer_name"]: r["stock"] for r in extract.split_cells(df).collect()} == {"a": None, "b": "12", "c": None}
+
+
+def test_style_from_json_of_a_page(spark):
+    """Every JSON object of a page is read, in order; what is nothing, lists and broken ones are passed over."""
+    script = lambda *texts: "".join(f'<script type="application/ld+json">{t}</script>' for t in texts)
+    pages = {
+        "second": script('{"genre": "Brewery"}', '{"category": " Hazy Sour "}'),
+        "falsy": script('{"genre": "", "category": [], "keywords": "Amber Ale"}'),
+        "broken": script("{genre: Stout", '[{"genre": "Porter"}]', "", '{"keywords": "Lager"}'),
+        "masked": script('{"genre": "Food", "category": "IPA"}'),
+        "none": "<p>text</p>",
+    }
+    df = spark.createDataFrame([*pages.items(), ("null", None)], "k string, html string")
+    got = {r["k"]: r["s"] for r in df.select("k", style.page_style(F.col("html"), F.lit("x")).alias("s")).collect()}
+    assert got == {"second": "Hazy Sour", "falsy": "Amber Ale", "broken": "Lager", "masked": None, "none": None, "null": None}
