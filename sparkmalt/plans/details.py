@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmalt.functions import normalize
-from sparkmalt.operators import classify, extract, repair
+from sparkmalt.operators import classify, extract, headers, repair, rules
 from sparkmalt.plans import bound, lists, sheets
 from sparkmalt.sources import files
 from sparkmalt.sources.shared import fresh
@@ -105,7 +105,21 @@ def zip_members(s: SparkSession, d: str) -> DataFrame:
     return cells.groupBy("file_id").agg(F.count_distinct("row_idx").alias("rows"), F.count("*").alias("cells"), F.sum(F.length("value")).alias("chars"))
 
 
+def profile_columns(s: SparkSession, d: str) -> DataFrame:
+    """What the kind of supplier says of columns: a distributor's brewery column or names with several breweries, one brewery's names and styles; names beyond the third column say nothing."""
+    n, i = F.col("list"), F.col("id")
+    kind = n % 3
+    name = F.concat(F.when((kind == 2) | (i % 2 == 0), "NORD BREW").otherwise("SUED BRAU"), F.lit(" (lot "), i.cast("string"), F.lit(") pale"))
+    first = F.when(kind == 0, F.upper("brewery")).otherwise(F.concat(F.lit("K"), (i % 9).cast("string")))
+    rows = lists.numbered(s, d).withColumn("values", F.array(first, name, one_of(i, "Session Ale", "Black IPA"), (i % 900 + 50).cast("string")))
+    heading = F.array(F.when(kind == 0, "Пивоварня").otherwise("Wert A"), *map(F.lit, ["Wert B", "Wert C", "Wert D"]))
+    cells = lists.spread(rows, heading, F.lit(0), F.lit(4))
+    told = rules.with_supplier(rules.profiles(cells, headers.found(cells)))
+    return told.select("file_id", F.col("supplier.kind").alias("kind"), F.explode(rules.profile_map(F.col("supplier"), F.col("columns"))).alias("field", "col_idx"))
+
+
 QUERIES = {
+    "profile_columns": profile_columns,
     "list_metadata": list_metadata,
     "doubtful_breweries": doubtful_breweries,
     "stock_headings": stock_headings,
@@ -116,6 +130,9 @@ QUERIES = {
 _LISTS = f"WITH {bound.ITEMS}, lists AS (SELECT *, format('list-{{:06d}}', id // {sheets.ROWS}) AS fid, (id // {sheets.ROWS})::INT AS n, (id % {sheets.ROWS})::INT AS pos FROM items)"
 _SAID = " UNION ALL ".join(f"SELECT fid, '{phrase}' AS p FROM c WHERE {when}" for phrase, when in [("акция", "id % 2 = 0"), ("новинка", "id % 2 = 1"), ("без ндс", "id % 3 = 0"), ("цены без ндс", "id % 3 = 0")])
 ORACLES = {
+    "profile_columns": _LISTS
+    + """, told AS (SELECT DISTINCT fid, n, unnest(CASE n % 3 WHEN 0 THEN ['brewery'] WHEN 1 THEN ['beer_name'] ELSE ['beer_name', 'style'] END) AS field FROM lists WHERE n % 3 = 0 OR n % 4 <> 2)
+        SELECT fid AS file_id, CASE WHEN n % 3 = 2 THEN 'brewery' ELSE 'distributor' END AS kind, field, ((CASE field WHEN 'brewery' THEN 0 WHEN 'beer_name' THEN 1 ELSE 2 END + n) % 4)::INT AS col_idx FROM told""",
     "list_metadata": _LISTS
     + f""", c AS (SELECT id, fid, pos, (id % 900 + 100)::VARCHAR AS k FROM lists WHERE pos % 17 = 3), said AS (SELECT fid, string_agg(DISTINCT p, '|' ORDER BY p) AS extra_text FROM ({_SAID}) GROUP BY fid)
         SELECT fid AS file_id, string_agg('+7 495 1234567', '|') AS phones, string_agg('info' || k || '@brew.example', '|' ORDER BY pos) AS emails, string_agg('ул. Ленина ' || k || '|г. Тверь', '|' ORDER BY pos) AS addresses,
