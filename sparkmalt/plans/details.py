@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmalt.functions import normalize
-from sparkmalt.operators import classify, extract, headers, repair, rules
+from sparkmalt.operators import classify, extract, headers, mapping, repair, rules
 from sparkmalt.plans import bound, lists, sheets
 from sparkmalt.sources import files
 from sparkmalt.sources.shared import fresh
@@ -118,7 +118,31 @@ def profile_columns(s: SparkSession, d: str) -> DataFrame:
     return told.select("file_id", F.col("supplier.kind").alias("kind"), F.explode(rules.profile_map(F.col("supplier"), F.col("columns"))).alias("field", "col_idx"))
 
 
+KINDS = ["price", "strength", "litres", "name", "brewery", "packaging", "text"]
+
+
+def content_scores(s: SparkSession, d: str) -> DataFrame:
+    """How much each column of a list looks like each field, by its first values."""
+    i = F.col("id")
+    values = [
+        (i % 900 + 50).cast("string"),
+        F.concat((i % 9 + 3).cast("string"), F.lit(".5")),
+        F.col("volume").cast("int").cast("string"),
+        F.col("beer_name"),
+        F.col("brewery"),
+        F.col("format_type"),
+        F.concat(F.lit("Сухой и хмелевой, с нотами хлеба, карамели и цитруса: "), F.col("beer_name")),
+    ]
+    cells = lists.numbered(s, d).where(F.col("at") < mapping.SAMPLE_ROWS).select("file_id", "at", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in zip(KINDS, values, strict=True)])).alias("c"))
+    columns = cells.groupBy("file_id", "c.kind").agg(F.sort_array(F.collect_list(F.struct("at", "c.v")))["v"].alias("values"))
+    scored = mapping.content_scored(columns)
+    fields = [c for c in scored.columns if c.startswith("s_")]
+    long = scored.select("file_id", "kind", F.explode(F.array(*[F.struct(F.lit(c[2:]).alias("field"), F.col(c).cast("double").alias("score")) for c in fields])).alias("s"))
+    return long.select("file_id", "kind", "s.field", F.round("s.score", 6).alias("score"))
+
+
 QUERIES = {
+    "content_scores": content_scores,
     "profile_columns": profile_columns,
     "list_metadata": list_metadata,
     "doubtful_breweries": doubtful_breweries,
@@ -129,7 +153,33 @@ QUERIES = {
 }
 _LISTS = f"WITH {bound.ITEMS}, lists AS (SELECT *, format('list-{{:06d}}', id // {sheets.ROWS}) AS fid, (id // {sheets.ROWS})::INT AS n, (id % {sheets.ROWS})::INT AS pos FROM items)"
 _SAID = " UNION ALL ".join(f"SELECT fid, '{phrase}' AS p FROM c WHERE {when}" for phrase, when in [("акция", "id % 2 = 0"), ("новинка", "id % 2 = 1"), ("без ндс", "id % 3 = 0"), ("цены без ндс", "id % 3 = 0")])
+_VALUES = ["(id % 900 + 50)::VARCHAR", "(id % 9 + 3) || '.5'", "volume::INT::VARCHAR", "beer_name", "brewery", "format_type", "'Сухой и хмелевой, с нотами хлеба, карамели и цитруса: ' || beer_name"]
+
+
+def _any(words: list[str]) -> str:
+    return " + ".join(f"contains(t, '{w}')::INT" for w in words)
+
+
+_SCORES = {
+    "price": "CASE WHEN k < 0.5 * n THEN 0 WHEN in_price = 0 THEN 1 ELSE 4 + 6 * in_price / k END",
+    "abv": "CASE WHEN in_abv > 0 AND k >= 0.4 * n THEN 3 + 7 * in_abv / k ELSE 0 END",
+    "ibu": "CASE WHEN in_ibu > 0 AND k >= 0.5 * n THEN 5 + 5 * in_ibu / k ELSE 0 END",
+    "volume": "CASE WHEN k >= 0.7 * n AND in_litres >= 0.8 * k THEN 0 WHEN in_volume > 0 AND k >= 0.4 * n THEN 4 + 6 * in_volume / k ELSE 0 END",
+    "stock": f"CASE WHEN whole > 0 AND k >= 0.6 * n THEN 3 + 7 * whole / k WHEN {_any(mapping.CONTENT_STOCK)} > 0 THEN 5 ELSE 0 END",
+    "beer_name": "CASE WHEN packs >= greatest(1, n // 2) OR k > 0.8 * n THEN 0 WHEN len < 8 THEN 1 WHEN len > 120 THEN 2 ELSE 2 + 8 * worded / n END",
+    "brewery": "CASE WHEN k > 0.5 * n THEN 0 WHEN len BETWEEN 3 AND 40 THEN 3 + 7 * short / n ELSE 0 END",
+    "style": f"CASE WHEN {_any(mapping.CONTENT_STYLES)} > 0 AND len < 60 THEN 4 + 2 * ({_any(mapping.CONTENT_STYLES)}) ELSE 0 END",
+    "description": "CASE WHEN len > 50 THEN 4 + (len - 50) / 25 ELSE 0 END",
+    "format_type": f"CASE WHEN {_any(mapping.CONTENT_PACKS)} > 0 THEN 8 ELSE 0 END",
+}
 ORACLES = {
+    "content_scores": _LISTS
+    + f""", c AS ({" UNION ALL ".join(f"SELECT fid, pos, '{k}' AS kind, {v} AS v FROM lists WHERE pos < {mapping.SAMPLE_ROWS}" for k, v in zip(KINDS, _VALUES, strict=True))}),
+        w AS (SELECT *, try_cast(v AS DOUBLE) AS x FROM c),
+        a AS (SELECT fid, kind, count(*) AS n, count(x) AS k, avg(length(v)) AS len, lower(string_agg(v, ' ' ORDER BY pos)) AS t, count(*) FILTER (x BETWEEN 15 AND 100000) AS in_price, count(*) FILTER (x BETWEEN 0 AND 20) AS in_abv,
+          count(*) FILTER (x BETWEEN 0 AND 120) AS in_ibu, count(*) FILTER (x BETWEEN 0.5 AND 25) AS in_litres, count(*) FILTER (x BETWEEN 0.05 AND 100) AS in_volume, count(*) FILTER (x = floor(x) AND x BETWEEN 0 AND 50000) AS whole,
+          count(*) FILTER (v IN ('банка', 'бутылка', 'кега')) AS packs, count(*) FILTER (x IS NULL) AS worded, count(*) FILTER (length(v) BETWEEN 2 AND 35) AS short FROM w GROUP BY fid, kind)
+        {" UNION ALL ".join(f"SELECT fid AS file_id, kind, '{f}' AS field, round(least(10, {score})::DOUBLE, 6) AS score FROM a" for f, score in _SCORES.items())}""",
     "profile_columns": _LISTS
     + """, told AS (SELECT DISTINCT fid, n, unnest(CASE n % 3 WHEN 0 THEN ['brewery'] WHEN 1 THEN ['beer_name'] ELSE ['beer_name', 'style'] END) AS field FROM lists WHERE n % 3 = 0 OR n % 4 <> 2)
         SELECT fid AS file_id, CASE WHEN n % 3 = 2 THEN 'brewery' ELSE 'distributor' END AS kind, field, ((CASE field WHEN 'brewery' THEN 0 WHEN 'beer_name' THEN 1 ELSE 2 END + n) % 4)::INT AS col_idx FROM told""",
