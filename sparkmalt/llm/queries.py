@@ -108,8 +108,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, vector) of ``embeddings``, components as whole 256ths."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("vector"))
+    """(vec_id, vector) of ``embeddings``, components as whole 256ths; what no long can hold is whole already, or not finite."""
+    whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: whole(256 * x.cast("double"))).alias("vector"))
 
 
 def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +127,7 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = centroids.clusters(whole_vectors(spark, sf_dir), k=40, rounds=5, dim=64, seed=2)
+    found = centroids.clusters(whole_vectors(spark, sf_dir), k=40, rounds=5, dim=64, seed=2, limited=False)
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -236,3 +238,31 @@ def test_damage(spark):
             row = (i, t, "user" if kind == 4 else "assistant", "" if kind == 1 else "a b c" if kind == 2 else "a. b! c?")
             want += [] if kind == 0 else [row] * (2 if kind == 3 else 1)
     assert sorted(map(tuple, turns.damaged(df).collect()), key=str) == sorted(want, key=str)
+def plain_op13(data: list[tuple]) -> list[tuple]:
+    """The rows of op13 by its contract, in Python's whole numbers."""
+    good = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in data if v is not None and len(v) == 64 and all(x is not None and abs(x) < INF for x in v)]
+    c = [v for _, v in sorted(good, key=lambda r: hashlib.sha256(f"2:{r[0]}".encode()).hexdigest())[:40]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, m)), j) for j, m in enumerate(c))
+    for _ in range(5):
+        at = [near(v)[1] for _, v in good]
+        mine = [[v for (_, v), a in zip(good, at) if a == j] for j in range(len(c))]
+        c = [[sum(col) // len(vs) for col in zip(*vs)] if vs else m for vs, m in zip(mine, c)]
+    out = [(i, near(v)) for i, v in good]
+    held = lambda x: x if x < 2**63 else None
+    sums = [sum(d for _, (d, m) in out if m == j) for j in range(len(c))]
+    return sorted((i, j, held(d), held(sums[j]), held(sum(sums)), hashlib.sha256(",".join(map(str, c[j])).encode()).hexdigest()) for i, (d, j) in out)
+
+
+@pytest.mark.parametrize("far", [2.0**20, 3e38])
+def test_centroids_of_far_vectors(spark, tmp_path, far):
+    """Components beyond 2**27 256ths count as they are, as centroids and as vectors, alone and among near ones; NaN and infinity are no numbers."""
+    draw = np.random.default_rng(11)
+    data: list[tuple] = [(i, (draw.normal(size=64) * (1 + i % 3)).astype(np.float32).tolist()) for i in range(160)]
+    for i in range(160, 200):
+        v = draw.normal(size=64).astype(np.float32)
+        v[i % 64] = far * (1 if i % 2 else -1) * (1 - i % 5 / 8)
+        data.append((i, v.tolist()))
+    data += [(300, [NAN] * 64), (301, [INF] + [0.0] * 63), (302, [1.0] * 63), (303, None), (304, [None] * 64), (305, [-INF] * 64)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.op13_centroids(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(plain_op13(data), key=str)
