@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkmalt.functions import normalize, packaging
 from sparkmalt.functions.text import DASHES, clean, null_if_empty, present, settled
 from sparkmalt.operators import scan
-from sparkmalt.operators.headers import SHEET
+from sparkmalt.operators.headers import SHEET, with_rows
 
 WIDE = ["brewery", "beer_name", "style", "abv", "ibu", "price", "currency", "volume", "format_type", "stock", "supplier_name", "description"]
 EMPTY = [*DASHES, "nan", "none", "null", "n/a", "na"]
@@ -22,7 +22,7 @@ def empty(c: Column) -> Column:
 
 def wide(cells: DataFrame, header_rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """A row per sheet row under the headings, a column per field."""
-    body = cells.join(header_rows, SHEET).where("row_idx > header_row").join(mapping, [*SHEET, "col_idx"])
+    body = with_rows(cells, header_rows).where("row_idx > header_row").join(mapping, [*SHEET, "col_idx"])
     return body.groupBy(*SHEET, "row_idx").pivot("field", WIDE).agg(F.first(null_if_empty(F.col("value"))))
 
 

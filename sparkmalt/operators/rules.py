@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmalt.functions.text import clean, named, settled
-from sparkmalt.operators.headers import SHEET
+from sparkmalt.operators.headers import SHEET, with_rows
 from sparkmalt.sources.registry import FIELDS
 
 PROFILE_ROWS, PRICE_ROWS, GUESSED_COLUMNS = 20, 120, 10
@@ -71,7 +71,7 @@ def profiles(cells: DataFrame, header_rows: DataFrame, rows: int = PROFILE_ROWS)
 
     A sheet without a heading row has header_row -1 in ``header_rows``.
     """
-    near = cells.join(header_rows, SHEET).where(F.col("row_idx").between(F.col("header_row"), F.col("header_row") + PRICE_ROWS))
+    near = with_rows(cells, header_rows).where(F.col("row_idx").between(F.col("header_row"), F.col("header_row") + PRICE_ROWS))
     at = F.col("row_idx") - F.col("header_row")
     one = near.groupBy(*SHEET, "col_idx").agg(
         F.coalesce(F.max(F.when(at == 0, F.lower(F.trim("value")))), F.lit("")).alias("header"),

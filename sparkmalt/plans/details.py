@@ -114,7 +114,7 @@ def profile_columns(s: SparkSession, d: str) -> DataFrame:
     rows = lists.numbered(s, d).withColumn("values", F.array(first, name, one_of(i, "Session Ale", "Black IPA"), (i % 900 + 50).cast("string")))
     heading = F.array(F.when(kind == 0, "Пивоварня").otherwise("Wert A"), *map(F.lit, ["Wert B", "Wert C", "Wert D"]))
     cells = lists.spread(rows, heading, F.lit(0), F.lit(4))
-    told = rules.with_supplier(rules.profiles(cells, headers.found(cells)))
+    told = rules.with_supplier(rules.profiles(*ingest.headed(cells)))
     return told.select("file_id", F.col("supplier.kind").alias("kind"), F.explode(rules.profile_map(F.col("supplier"), F.col("columns"))).alias("field", "col_idx"))
 
 
