@@ -17,6 +17,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkmalt.sources.shared import small_batches
+
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -24,7 +26,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 STEP = U(0xD6E8FEB86659FD93)
 CHUNK = 1 << 19
-BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -95,12 +96,6 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, lis
         begin = stop
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of text that go to a Python worker at once, unless the session has set a bound of its own."""
-    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_CONF, BATCH_BYTES)
-
-
 def per_text(spark: SparkSession, judge: Callable[..., pa.Array], kind: T.DataType) -> Callable[..., Column]:
     """A column function of a text column (and another one): ``judge`` gets texts of about CHUNK bytes (and that column's slice) and gives a value for each.
 

@@ -6,7 +6,6 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,25 +81,21 @@ def replaced_files(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.count("*").alias("items"), F.sum("price_cents").alias("cents"))
 
 
-def archived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(file_id, content): an archive of each list, with a folder of system files; every fifth is no archive."""
-    for batch in batches:
-        out = []
-        for fid, number, text in zip(batch["file_id"], batch["list"], batch["text"], strict=True):
-            held = io.BytesIO()
-            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(f"{fid}/", "")
-                z.writestr(f"{fid}/items.csv", text)
-                z.writestr(f"__MACOSX/{fid}/items.csv", "x,y")
-            out.append((f"{fid}.zip", b"no archive" if number % 5 == 4 else held.getvalue()))
-        yield pd.DataFrame(out, columns=["file_id", "content"])
+def archived(of: dict) -> Iterator[tuple]:
+    """(file_id, content): an archive of a list, with a folder of system files; every fifth is no archive."""
+    fid, held = of["file_id"], io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(f"{fid}/", "")
+        z.writestr(f"{fid}/items.csv", of["text"])
+        z.writestr(f"__MACOSX/{fid}/items.csv", "x,y")
+    yield f"{fid}.zip", b"no archive" if of["list"] % 5 == 4 else held.getvalue()
 
 
 def zip_members(s: SparkSession, d: str) -> DataFrame:
     """Lists as CSV files in archives, read back: rows, cells and characters of each file."""
     line = F.concat_ws(",", "brewery", "beer_name", F.col("id").cast("string"))
     whole = lists.numbered(s, d).groupBy("file_id", "list").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", line.alias("line"))))["line"], "\n").alias("text"))  # sheets.ROWS rows each
-    archives = whole.select("file_id", "list", "text").mapInPandas(archived, "file_id string, content binary")
+    archives = files.one_by_one(whole.select("file_id", "list", "text"), archived, files.CONTENTS)
     cells = files.csv_records(files.members(archives))
     return cells.groupBy("file_id").agg(F.count_distinct("row_idx").alias("rows"), F.count("*").alias("cells"), F.sum(F.length("value")).alias("chars"))
 

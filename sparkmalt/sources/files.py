@@ -7,13 +7,14 @@ import csv
 import io
 import sys
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmalt.sources.shared import small_batches
+
 ENCODINGS = ["utf-8-sig", "cp1251"]  # of price lists, the first that fits; what fits none is read as the last, with marks for what it lacks
 CELLS_AT_ONCE = 20_000
 
@@ -29,21 +30,36 @@ def export_url(url: Column) -> Column:
     return F.when(key != "", F.concat(F.lit("https://docs.google.com/spreadsheets/d/"), key, F.lit("/export?format=csv"), F.when(gid != "", F.concat(F.lit("&gid="), gid)).otherwise(F.lit(""))))
 
 
-def members(archives: DataFrame) -> DataFrame:
-    """(archive, file_id, content): the files in zip archives (file_id, content), one archive at a time."""
+def one_by_one(rows: DataFrame, make: Callable[[dict], Iterable[tuple]], kinds: pa.Schema) -> DataFrame:
+    """What ``make`` gives for each row, of which a task holds one at a time beside the packed batch."""
+    small_batches(rows.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["file_id"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                        for m in z.infolist():
-                            if not m.is_dir() and "__MACOSX" not in m.filename:
-                                yield pd.DataFrame([(name, m.filename, z.read(m))], columns=["archive", "file_id", "content"])
-                except zipfile.BadZipFile:
-                    continue
+            for i in range(batch.num_rows):
+                for out in make(batch.slice(i, 1).to_pylist()[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(out, kinds, strict=True)], schema=kinds)
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.type}" for f in kinds))
+
+
+CONTENTS = pa.schema([("file_id", pa.string()), ("content", pa.binary())])
+
+
+def members(archives: DataFrame) -> DataFrame:
+    """(archive, file_id, content): the files in zip archives (file_id, content), one file at a time."""
+
+    def inside(row: dict) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(row["content"])) as z:
+                for m in z.infolist():
+                    if not m.is_dir() and "__MACOSX" not in m.filename:
+                        yield row["file_id"], m.filename, z.read(m)
+        except zipfile.BadZipFile:
+            return
 
-    return archives.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, "archive string, file_id string, content binary")
+    kinds = pa.schema([("archive", pa.string()), *CONTENTS])
+    return one_by_one(archives.select(F.col("file_id").cast("string").alias("file_id"), "content"), inside, kinds)
 
 
 def with_looks(cells: DataFrame) -> DataFrame:
@@ -73,6 +89,7 @@ def csv_records(contents: DataFrame, sheet: str = "csv", sep: str = ",") -> Data
     without content. Files are UTF-8, with or without a mark, or windows-1251. A
     file is read by one task, record by record, and cells go out in batches.
     """
+    small_batches(contents.sparkSession)
     kinds = pa.schema([("file_id", pa.string()), ("row_idx", pa.int32()), ("col_idx", pa.int32()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,3 +203,11 @@ def test_stream_of_changes_goes_on_after_a_restart(spark, tmp_path):
     spark.createDataFrame([(3, at + timedelta(days=9), 999, "Fox", "Blau", 1)], schema).coalesce(1).write.mode("append").parquet(str(inbox))
     run()
     assert spark.read.parquet(str(out)).where("state_id = 999").first()["old_brewery"] == last[3]
+
+
+def test_one_row_at_a_time(spark):
+    """Of a batch's rows each is unpacked when the one before is done, and the batch that goes to Python is bounded."""
+    rows = spark.range(50, numPartitions=1).selectExpr("cast(id as string) AS file_id", "repeat('x', 100) AS text")
+    out = files.one_by_one(rows, lambda r: [(r["file_id"], r["text"].encode())] * (int(r["file_id"]) % 3), files.CONTENTS)
+    assert [r["file_id"] for r in out.collect()] == [str(i) for i in range(50) for _ in range(i % 3)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
