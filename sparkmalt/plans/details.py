@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmalt.functions import normalize
-from sparkmalt.operators import classify, extract, headers, mapping, repair, rules
+from sparkmalt.operators import classify, extract, mapping, repair, rules
 from sparkmalt.plans import bound, ingest, lists, sheets
 from sparkmalt.sources import files
 from sparkmalt.sources.shared import fresh
