@@ -214,3 +214,14 @@ def test_cells_are_not_broadcast(spark, tmp_path):
     heads = spark.createDataFrame([("a", "s", 0)], "file_id string, sheet string, header_row int")
     for made in (mapping.samples(cells, heads), rules.profiles(cells, heads)):
         assert "Broadcast" not in made._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_scores_of_contents_are_not_broadcast(spark, tmp_path):
+    """There is a row of them for every column of every sheet; what a heading locks is told once for a column, not once for each field."""
+    sheet = [["Цена", "Название"], ["100", "Lot one"], ["200", "Lot two"]]
+    cells(spark, {"f": sheet}).write.parquet(str(tmp_path / "cells"))
+    found = mapping.candidates(spark.read.parquet(str(tmp_path / "cells")), spark.createDataFrame([("f", "s", 0)], "file_id string, sheet string, header_row int"))
+    joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "file_id" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+    assert {(r["header"], r["locked"]) for r in found.select("header", "locked").collect()} == {("Цена", "price"), ("Название", None)}
+    assert {r["field"]: r["col_idx"] for r in mapping.assigned(found).collect()} == {"price": 0, "beer_name": 1}
