@@ -211,3 +211,26 @@ def test_one_row_at_a_time(spark):
     out = files.one_by_one(rows, lambda r: [(r["file_id"], r["text"].encode())] * (int(r["file_id"]) % 3), files.CONTENTS)
     assert [r["file_id"] for r in out.collect()] == [str(i) for i in range(50) for _ in range(i % 3)]
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
+def test_cells_are_made_once(spark):
+    """Rows that count come with all their cells from one pass; what goes is hidden, struck out or grey in one of the first cells."""
+    looks = {0: (False, False, None), 1: (True, False, None), 2: (False, True, None), 3: (False, False, "FF808080"), 4: (None, None, "FFFF0000")}
+    cells = spark.createDataFrame([("f", "s", r, c, f"{r}-{c}", *(looks[r] if c == 1 else looks[0])) for r in looks for c in range(3)], xlsx.CELLS)
+    rows = xlsx.active_rows(cells)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["row_idx"]: sorted(c["value"] for c in r["cells"]) for r in rows.collect()} == {r: [f"{r}-{c}" for c in range(3)] for r in (0, 4)}
+    assert xlsx.cells_of_rows(rows).count() == 6
+
+
+def test_places_of_a_row(spark):
+    """Fields from the cells at their columns, the first text of a place that stands twice, no text for signs of nothing, prices in order of columns; no side of the join is broadcast."""
+    cell = "array<struct<col_idx:int,value:string>>"
+    rows = spark.createDataFrame([("f", "s", 0, [(0, "Name")]), ("f", "s", 1, [(3, "9 / 1"), (0, "-"), (0, " Lot "), (2, "7 "), (1, "nan")]), ("f", "t", 1, [(0, "x")])], f"file_id string, sheet string, row_idx int, cells {cell}")
+    of = "struct<format_type:string,volume:double>"
+    known = spark.createDataFrame([("f", "s", 0, {"beer_name": 0, "style": 1, "description": 5}, ("unknown", None, False, False), [(2, ("кег", 20.0)), (3, ("банка", 0.33)), (1, ("кег", 1.0))])], f"file_id string, sheet string, header_row int, mapping map<string,int>, supplier struct<kind:string,name:string,has_column:boolean,in_names:boolean>, prices array<struct<col_idx:int,of:{of}>>")
+    placed = ingest.placed(rows, known)
+    assert "Broadcast" not in placed._jdf.queryExecution().sparkPlan().toString()
+    (row,) = placed.collect()
+    assert (row["row_idx"], row["beer_name"], row["style"], row["description"], row["price"]) == (1, "Lot", None, None, None)
+    assert [(o["col_idx"], o["price"], o["of"]["volume"]) for o in row["options"]] == [(2, "7", 20.0), (3, "9", 0.33)]
