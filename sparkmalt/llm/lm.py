@@ -46,6 +46,9 @@ VOCABULARY, KNOWN, TAILS, MEMBERS, HIDDEN, SIDE = 4096, 65536, 64, 64, 16, 2
 UNSEEN = 0.5  # occurrences, in each class, of words without a count
 FIXED = 1 << 32  # log shares of joined words are summed in whole parts of this, so that their order doesn't matter
 BATCH, RATE = 8192, 0.1
+ROWS = 512  # positions whose logits are worked out at once, so that they stay in the processor's cache
+PREFIX = 18  # bits of a hash by which it is looked up
+SAFE = 60.0  # logits within this need no shift before exp
 BLOCKS = 32  # of the averaged weights
 MOST_COUNTED = 400_000
 
@@ -70,10 +73,24 @@ class Symbols:
     classes: np.ndarray  # tail class of each ending
     counts: str | None = None  # path of the counts of all words (h, n)
 
+    def __post_init__(self) -> None:
+        before = (self.hashes >> np.uint64(64 - PREFIX)).astype(np.int64)
+        self.begins = np.searchsorted(before, np.arange(1 << PREFIX)).astype(np.int32)  # first of the known hashes that begin with each PREFIX bits
+        self.longest = int(np.bincount(before).max(initial=1))
+
     @property
     def edge(self) -> int:
         return len(self.kind)
 
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where each of ``h`` is among the known hashes, if it is there: found by its first bits, then step by step."""
+        at, last = self.begins.take(h >> np.uint64(64 - PREFIX)), len(self.hashes) - 1
+        np.minimum(at, last, out=at)
+        for _ in range(self.longest - 1):
+            at += self.hashes.take(at) < h
+            np.minimum(at, last, out=at)
+        return at
+
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, first): symbols of the words of each text, with SIDE edges before, between and after texts."""
         return self.with_hashes(texts)[:2]
@@ -84,8 +101,8 @@ class Symbols:
         h = w.hashes()
         got = self.classes[endings(w)]
         if len(self.hashes) and len(h):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            got = np.where(self.hashes[at] == h, self.symbol[at], got)
+            at = self.places(h)
+            got = np.where(self.hashes.take(at) == h, self.symbol.take(at), got)
         doc = np.repeat(np.arange(len(texts)), w.counts)
         out = np.full(len(h) + SIDE * (len(texts) + 1), self.edge, dtype=np.int64)
         out[np.arange(len(h)) + SIDE * (doc + 1)] = got
@@ -163,13 +180,35 @@ def symbol_table(found: dict[bytes, int], mass: np.ndarray, vocabulary: int, pat
     inner = np.log(np.concatenate((np.full(TAILS, UNSEEN), n)) / of[kind])
     row = np.where(np.arange(len(kind)) < TAILS + told, np.arange(len(kind)), kind)
     order = np.argsort(hashes)
-    return Symbols(hashes[order], order + TAILS, kind, member, inner, np.log((of + 0.5) / (of + 0.5).sum()), np.append(row, TAILS + told), classes, path)
+    return Symbols(hashes[order], order + TAILS, kind, member, inner, np.log((of + 0.5) / (of + 0.5).sum()), np.append(row, TAILS + told).astype(np.min_scalar_type(TAILS + told)), classes, path)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+@dataclass
+class Softmax:
+    """Softmaxes by output weights (the bias is their last row) of some rows at a time, in space that is used again and again."""
+
+    out: np.ndarray
+    safe: bool
+    room: np.ndarray
+    begins: np.ndarray
+    ones: np.ndarray
+
+    @staticmethod
+    def of(out: np.ndarray, bias: np.ndarray) -> Softmax:
+        out, width = np.concatenate((out, bias[..., None, :]), axis=-2), out.shape[-1]
+        # hidden values are within 1, which bounds the logits
+        safe = bool(np.abs(out).sum(axis=-2).max(initial=0.0) < SAFE)
+        return Softmax(out, safe, np.empty((ROWS, width), dtype=np.float32), np.arange(ROWS) * width, np.ones(width, dtype=np.float32))
+
+    def raised(self, h: np.ndarray, right: np.ndarray, group: object = ...) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """exp of the logits of each row of ``h`` (at most ROWS) and the rows' sums; places of the classes ``right`` in it, flat, and their logits."""
+        x = np.matmul(h, self.out[group], out=self.room[: len(h)])
+        if not self.safe:
+            x -= x.max(axis=1, keepdims=True)
+        places = self.begins[: len(h)] + right
+        told = x.reshape(-1).take(places)
+        np.exp(x, out=x)
+        return x, x @ self.ones, places, told
 
 
 @dataclass
@@ -204,62 +243,83 @@ class Network:
         return Network(*(y.reshape(x.shape) for x, y in zip(self.parts(), np.split(flat.astype(np.float32), ends[:-1]), strict=True)), self.symbols)
 
     def hidden(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Hidden values at the positions ``at``, and the embedding rows that they come from, by slot."""
+        """Hidden values at the positions ``at``, with a last column of ones, and the embedding rows that they come from, by slot."""
         rows = [self.symbols.row[seq[at + move]] for move in range(-SIDE, SIDE + 1) if move]
-        total = self.tables[0][rows[0]]
+        total = self.tables[0].take(rows[0], axis=0)  # take is faster than an index by an array
         for table, ids in zip(self.tables[1:], rows[1:], strict=True):
-            total += table[ids]
-        return np.tanh(total), rows
-
-    def grouped(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(group, places in ``words``) of the words that have a group."""
-        kind = self.symbols.kind[words]
+            total += table.take(ids, axis=0)
+        h = np.ones((len(at), total.shape[1] + 1), dtype=np.float32)
+        np.tanh(total, out=h[:, :-1])
+        return h, rows
+
+    def by_kind(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Places in ``at`` in the order of their words' kinds, and (group, slice of these) for each group that has words, of ROWS at most."""
+        kind = self.symbols.kind[seq[at]].astype(np.min_scalar_type(len(self.bias)))  # 16 bits or less are sorted by digits
         order = np.argsort(kind, kind="stable")
         ends = np.searchsorted(kind[order], np.arange(TAILS, len(self.bias) + 1))
-        for g in np.flatnonzero(np.diff(ends)):
-            yield int(g), order[ends[g] : ends[g + 1]]
+        return order, [(int(g), slice(a, min(a + ROWS, ends[g + 1]))) for g in np.flatnonzero(np.diff(ends)) for a in range(ends[g], ends[g + 1], ROWS)]
 
     def log_probs(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-probability of the word at each position given the words around it."""
+        order, groups = self.by_kind(seq, at)
+        at = at[order]
         words, (h, _) = seq[at], self.hidden(seq, at)
         s = self.symbols
-        out = log_softmax(h @ self.out + self.bias)[np.arange(len(at)), s.kind[words]].astype(np.float64)
-        out += np.where(s.member[words] < 0, s.inner[words], 0.0)
-        for g, some in self.grouped(words):
-            out[some] += log_softmax(h[some] @ self.inner_out[g] + self.inner_bias[g])[np.arange(len(some)), s.member[words[some]]]
-        return out
+        kind, member = s.kind[words], s.member[words]
+        value = np.where(member < 0, s.inner[words], 0.0)
+
+        def add(some: slice, softmax: Softmax, right: np.ndarray, group: object = ...) -> None:
+            _, total, _, told = softmax.raised(h[some], right[some], group)
+            value[some] += told - np.log(total)
+
+        outer, inner = Softmax.of(self.out, self.bias), Softmax.of(self.inner_out, self.inner_bias)
+        for a in range(0, len(at), ROWS):
+            add(slice(a, a + ROWS), outer, kind)
+        for g, some in groups:
+            add(some, inner, member, g)
+        back = np.empty(len(at))
+        back[order] = value
+        return back
 
     def learn(self, seq: np.ndarray, at: np.ndarray, sums: Network, rate: float) -> None:
         """One Adagrad step towards the words at ``at``; ``sums`` has the squares so far."""
+        order, groups = self.by_kind(seq, at)
+        at = at[order]
         words, (h, rows), n = seq[at], self.hidden(seq, at), np.float32(len(at))
-
-        def slopes(logits: np.ndarray, right: np.ndarray) -> np.ndarray:
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True) * n
-            logits[np.arange(len(right)), right] -= 1 / n
-            return logits
-
-        def step(x: np.ndarray, s: np.ndarray, g: np.ndarray, where: object = ...) -> None:
-            s[where] += g * g
-            x[where] -= rate * g / np.sqrt(s[where])
-
-        d = slopes(h @ self.out + self.bias, self.symbols.kind[words])
-        into = d @ self.out.T
-        step(self.out, sums.out, h.T @ d)
-        step(self.bias, sums.bias, d.sum(axis=0))
-        for g, some in self.grouped(words):
-            some_h = h[some]
-            e = slopes(some_h @ self.inner_out[g] + self.inner_bias[g], self.symbols.member[words[some]])
-            into[some] += e @ self.inner_out[g].T
-            step(self.inner_out, sums.inner_out, some_h.T @ e, g)
-            step(self.inner_bias, sums.inner_bias, e.sum(axis=0), g)
-        into *= 1 - h * h
+        kind, member = self.symbols.kind[words], self.symbols.member[words]
+        into = np.zeros((len(at), h.shape[1] - 1), dtype=np.float32)
+
+        def slopes(some: slice, softmax: Softmax, right: np.ndarray, group: object = ...) -> np.ndarray:
+            x, total, places, _ = softmax.raised(h[some], right[some], group)
+            x.reshape(-1)[places] -= total
+            share = (1 / (total * n))[:, None]  # x by this are the slopes of the logits
+            into[some] += (x @ softmax.out[group][:-1].T) * share
+            return (h[some] * share).T @ x
+
+        def step(x: np.ndarray, s: np.ndarray, g: np.ndarray) -> None:
+            s += g * g
+            x -= rate * g / np.sqrt(s)
+
+        outer, inner = Softmax.of(self.out, self.bias), Softmax.of(self.inner_out, self.inner_bias)
+        slope, inner_slope = np.zeros_like(outer.out), np.zeros_like(inner.out)
+        for a in range(0, len(at), ROWS):
+            slope += slopes(slice(a, a + ROWS), outer, kind)
+        for g, some in groups:
+            inner_slope[g] += slopes(some, inner, member, g)
+        step(self.out, sums.out, slope[:-1])
+        step(self.bias, sums.bias, slope[-1])
+        step(self.inner_out, sums.inner_out, inner_slope[:, :-1])
+        step(self.inner_bias, sums.inner_bias, inner_slope[:, -1])
+        into *= 1 - h[:, :-1] ** 2
         for x, s, ids in zip(self.tables, sums.tables, rows, strict=True):
-            order = np.argsort(ids)
+            order = np.argsort(ids, kind="stable")
             ids = ids[order]
             new = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            step(x, s, np.add.reduceat(into[order], new, axis=0), ids[new])
+            ids, g = ids[new], np.add.reduceat(into.take(order, axis=0), new, axis=0)
+            square = s.take(ids, axis=0)
+            square += g * g
+            s[ids] = square
+            x[ids] -= rate * g / np.sqrt(square)
 
 
 def train(docs: DataFrame, text: str = "text", hidden: int = HIDDEN, rate: float = RATE, seed: int = 3, vocabulary: int = VOCABULARY, known: int = KNOWN) -> tuple[Symbols, Network]:

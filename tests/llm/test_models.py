@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -246,6 +247,52 @@ def test_network_gradient():
         assert abs((loss(flat + step) - loss(flat - step)) / 2e-2) == pytest.approx(size[i], abs=2e-3)
 
 
+def test_network_step_holds_logits_of_few_positions():
+    """A step's softmaxes are worked out some rows at a time: with those of the whole batch at once it held 5.5 MB."""
+    table, _ = small_table(known=400, vocabulary=400)
+    net = lm.Network.start(table, lm.HIDDEN, 1)
+    sums = net.like(np.full(net.flat().shape, 1e-6))
+    seq = np.random.default_rng(0).integers(0, table.edge, lm.BATCH + 4)
+    at = np.arange(2, lm.BATCH + 2)
+    for step in (lambda: net.learn(seq, at, sums, 0.1), lambda: net.log_probs(seq, at)):
+        step()
+        tracemalloc.start()
+        step()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 5e6
+
+
+def test_network_with_large_weights():
+    """Logits that exp can't take are shifted: the same probabilities as by double arithmetic, and steps stay finite."""
+    table, _ = small_table()
+    net = lm.Network.start(table, 4, 1)
+    net = net.like(net.flat() * 300)
+    seq = np.random.default_rng(0).integers(0, table.edge, 600)
+    at = np.arange(2, 590)
+    h, _ = net.hidden(seq, at)
+    soft = lambda x: x - x.max(axis=1, keepdims=True) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True))
+    h = h[:, :-1].astype(np.float64)
+    kind, member = table.kind[seq[at]], table.member[seq[at]]
+    want = soft(h @ net.out + net.bias)[np.arange(len(at)), kind]
+    for n in range(len(at)):
+        g = kind[n] - lm.TAILS
+        want[n] += soft(h[n : n + 1] @ net.inner_out[g] + net.inner_bias[g])[0, member[n]] if member[n] >= 0 else table.inner[seq[at[n]]]
+    assert want.min() < -200 and np.allclose(net.log_probs(seq, at), want, rtol=1e-4, atol=1e-2)
+    net.learn(seq, at, net.like(np.full(net.flat().shape, 1e-6)), 0.1)
+    assert np.isfinite(net.flat()).all()
+
+
+def test_known_words_are_found_by_their_hashes():
+    """Hashes with the same first bits, at both ends and in between; those that aren't known stay so."""
+    known = np.array([0, 1, 2, 5, 9, 1 << 63, (1 << 63) + 1, (1 << 64) - 1], dtype=np.uint64)
+    none = np.zeros(0, dtype=np.int64)
+    table = lm.Symbols(known, none, none, none, none, none, none, none)
+    assert np.array_equal(table.places(known), np.arange(len(known)))
+    other = np.array([3, 10, 1 << 40, (1 << 63) + 2, (1 << 64) - 2], dtype=np.uint64)
+    assert not (known[table.places(other)] == other).any()
+
+
 def test_word_probabilities_sum_to_one():
     """Over all words and, for each tail class, those without a count; in any surroundings, trained or not."""
     table, counts = small_table()
