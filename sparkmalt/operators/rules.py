@@ -18,6 +18,7 @@ from sparkmalt.operators.headers import SHEET, with_rows
 from sparkmalt.sources.registry import FIELDS
 
 PROFILE_ROWS, PRICE_ROWS, GUESSED_COLUMNS = 20, 120, 10
+CELLS = 1 << 17  # about so many cells are one task's work at most
 # Words and patterns of the rules: fixed values.
 CODE_HEADINGS = ["егаис", "егаис код", "код егаис", "код товара", "артикул"]
 BREWERY_HEADINGS = ["пивоварня", "brewery", "производитель", "manufacturer", "бренд", "brand"]
@@ -69,14 +70,22 @@ def mean_length(values: Column) -> Column:
 def profiles(cells: DataFrame, header_rows: DataFrame, rows: int = PROFILE_ROWS) -> DataFrame:
     """A row per sheet with ``columns``: its columns in order, each with heading and what its first rows hold.
 
-    A sheet without a heading row has header_row -1 in ``header_rows``.
+    A sheet without a heading row has header_row -1 in ``header_rows``. Tasks hold
+    their cells while they group them, and Spark deals by packed bytes, which say
+    little about the number of cells; so the cells are counted, and more than
+    ``CELLS`` are dealt by sheet to as many parts as that makes, or the session's.
     """
+    if (parts := cells.count() // CELLS + 1) > 1:
+        cells, header_rows = cells.repartition(parts, *SHEET), header_rows.repartition(parts, *SHEET)
     near = with_rows(cells, header_rows).where(F.col("row_idx").between(F.col("header_row"), F.col("header_row") + PRICE_ROWS))
-    at = F.col("row_idx") - F.col("header_row")
+    at, v = F.col("at"), F.col("v")
+    row = F.col("row_idx") - F.col("header_row")
+    # below the first rows no text is needed, only whether it has a digit
+    near = near.select(*SHEET, "col_idx", row.alias("at"), F.when(row <= rows, F.trim("value")).alias("v"), ((row >= 1) & F.col("value").rlike(r"\d")).alias("digit"))
     one = near.groupBy(*SHEET, "col_idx").agg(
-        F.coalesce(F.max(F.when(at == 0, F.lower(F.trim("value")))), F.lit("")).alias("header"),
-        F.sort_array(F.collect_list(F.when(at.between(1, rows) & ~F.lower(F.trim("value")).isin("", "nan"), F.struct(at.alias("at"), F.trim("value").alias("v"))))).alias("cells"),
-        F.count_if(at.between(1, PRICE_ROWS) & F.col("value").rlike(r"\d")).alias("priced"),
+        F.coalesce(F.max(F.when(at == 0, F.lower(v))), F.lit("")).alias("header"),
+        F.sort_array(F.collect_list(F.when(at.between(1, rows) & ~F.lower(v).isin("", "nan"), F.struct("at", "v")))).alias("cells"),
+        F.count_if("digit").alias("priced"),
     )
     texts = lambda most: F.transform(F.filter("cells", lambda x: x["at"] <= most), lambda x: x["v"])
     one = settled(one, {"values": texts(10), "all_values": texts(rows)})

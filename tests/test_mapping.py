@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
@@ -13,6 +14,7 @@ from sparkmalt.functions.numbers import counted
 from sparkmalt.operators import headers, mapping, rules
 from sparkmalt.plans import sheets
 from sparkmalt.sources import registry
+from sparkmalt.sources.shared import written
 
 CELLS = "file_id string, sheet string, row_idx int, col_idx int, value string"
 
@@ -225,3 +227,16 @@ def test_scores_of_contents_are_not_broadcast(spark, tmp_path):
     assert joins and not [line for line in joins if "Broadcast" in line]
     assert {(r["header"], r["locked"]) for r in found.select("header", "locked").collect()} == {("Цена", "price"), ("Название", None)}
     assert {r["field"]: r["col_idx"] for r in mapping.assigned(found).collect()} == {"price": 0, "beer_name": 1}
+
+
+def test_profiles_are_made_in_parts_of_bounded_size(spark):
+    """Cells that pack well are still dealt to tasks by their number, and every sheet is whole."""
+    n, width = F.col("id"), 20
+    row = ((n % 400) / width).cast("int")
+    value = F.when(row == 0, "Цена").otherwise(F.concat(F.lit("text "), row.cast("string")))
+    cells = written(spark.range(1000 * 400).select(F.format_string("f%d", F.floor(n / 400)).alias("file_id"), F.lit("s").alias("sheet"), row.alias("row_idx"), (n % width).cast("int").alias("col_idx"), value.alias("value")), "many-cells")
+    heads = cells.select("file_id", "sheet").distinct().withColumn("header_row", F.lit(0))
+    seen = rules.profiles(cells, heads).select(F.spark_partition_id().alias("part"), F.size("columns").alias("n"), *[F.col("columns")[3][c].alias(c) for c in ("header", "priced", "values")]).collect()
+    assert len(seen) == 1000 and {(r["n"], r["header"], r["priced"]) for r in seen} == {(width, "цена", 19)}
+    assert {tuple(r["values"]) for r in seen} == {tuple(f"text {i}" for i in range(1, 11))}
+    assert max(Counter(r["part"] for r in seen).values()) * 400 <= 1.5 * (1 << 17)
